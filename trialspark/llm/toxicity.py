@@ -27,7 +27,7 @@ from .common import labelled_sample, map_texts
 
 #: Labelled documents of either class at most, and their longest text in bytes:
 #: they reach the driver, so this bounds its memory.
-PER_CLASS, LONGEST = 2500, 1 << 14
+PER_CLASS, LONGEST = 1500, 1 << 14
 CUT = 0.3
 WINDOW, STEP = 128, 112
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -55,7 +55,7 @@ def _strings(text: bytes) -> set[bytes]:
     return out
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], strings: int = 300) -> tuple[bytes, bytes]:
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], strings: int = 600) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary contents."""
     in_toxic, in_ordinary, words = Counter(), Counter(), Counter()
     for t in toxic:
@@ -67,19 +67,21 @@ def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], strings: int =
     for s, a in in_toxic.items():
         b = in_ordinary[s]
         odds = np.log((a + 0.5) / (n - a + 0.5)) - np.log((b + 0.5) / (m - b + 0.5))
-        if a >= 4 and odds >= 2:
+        if a >= 4 and odds >= 3.5:
             z[s] = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     chosen: list[bytes] = []
     for s in sorted(z, key=lambda s: (-z[s], -len(s), s)):
-        if z[s] < 3.8 or len(chosen) >= strings:
+        if z[s] < 3.3 or len(chosen) >= strings:
             break
         if not any(s in c or c in s for c in chosen):
             chosen.append(s)
-    common = b" ".join(w for w, _ in sorted(words.most_common(500), key=lambda x: (x[1], x[0])) if not any(s.strip() in w for s in chosen))
+    common = b" ".join(w for w, _ in sorted(words.most_common(150), key=lambda x: (x[1], x[0])) if not any(s.strip() in w for s in chosen))
     told = b"\n".join(chosen[::-1]) + b"\n"
-    # bytes that no text holds, so that both dictionaries reach as far
-    blank = bytes(np.random.RandomState(1).randint(248, 256, len(told)).astype(np.uint8))
-    return blank + common, told + common
+    # the ordinary dictionary holds the same strings in halves: ordinary text that
+    # shares a few letters with one gains as much there, only whole strings tell
+    halves = b"\n".join(part for c in chosen[::-1] for part in (c[: (len(c) + 1) // 2], c[(len(c) + 1) // 2 - 1 :])) + b"\n"
+    reach = max(len(told), len(halves))
+    return halves.rjust(reach, b"\n") + common, told.rjust(reach, b"\n") + common
 
 
 class Distance:
@@ -89,7 +91,7 @@ class Distance:
         import zstandard as z
 
         params = z.ZstdCompressionParameters(
-            window_log=13, chain_log=12, hash_log=12, search_log=6, min_match=3, target_length=64,
+            window_log=14, chain_log=14, hash_log=13, search_log=6, min_match=3, target_length=64,
             strategy=z.STRATEGY_BTULTRA2, write_content_size=False, write_checksum=False, write_dict_id=False,
         )
         self._pair = [
