@@ -1,7 +1,8 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target and the
 raw corpus.
 
-Word unigrams and bigrams are hashed to buckets. Two multinomials over the
+Byte n-grams of two orders are hashed to buckets: unlike words, they are dense
+enough that a small trusted sample tells all of them. Two multinomials over the
 buckets are counted: one on trusted texts (a bounded sample of the documents
 labelled good), one on every document of the corpus. A document's score is the
 mean, over its n-grams, of log p(target) - log p(raw); it is kept when the score
@@ -25,29 +26,31 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField
 from .common import Words, chunks, emit_counts, labelled_sample, map_texts, mix, segment_sums, text_buffers
 
 BUCKETS = 1 << 16
+ORDERS = (3, 4)
 #: Trusted documents at most, and their longest text in bytes.
 TRUSTED, LONGEST = 4000, 1 << 17
-THRESHOLD = -0.09
+THRESHOLD = -0.5
 #: Prior n-grams for each bucket, dealt as in the raw corpus.
-PRIOR = 5.0
+PRIOR = 0.5
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _U = np.uint64
 
 
-def ngrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the unigrams and bigrams, by document, and their offsets."""
-    two, at = words.windows(2)
-    # the bigram that starts at a word stands right after the word's own bucket
-    n = len(words.hash)
-    both = np.full((n, 2), -1, np.int64)
-    both[:, 0] = (words.hash >> _U(48)).astype(np.int64)
-    both[at, 1] = (mix(two + _U(1)) >> _U(48)).astype(np.int64)
+def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte n-grams of each order, by document, and their offsets."""
+    n = len(data)
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
+    both = np.full((n, len(ORDERS)), -1, np.int64)
+    for k, order in enumerate(ORDERS):
+        h = np.full(max(n - order + 1, 0), order, _U)
+        for j in range(order):
+            h = h << _U(8) | data[j : n - order + 1 + j].astype(_U)
+        both[: len(h), k] = np.where(left[: len(h)] >= order, (h * _U(0x9E3779B97F4A7C15) >> _U(48)).astype(np.int64), -1)
     flat = both.ravel()
     solid = flat >= 0
-    ends = np.concatenate([[0], np.cumsum(solid)])
-    return flat[solid] % BUCKETS, ends[2 * words.first]
+    return flat[solid], np.concatenate([[0], np.cumsum(solid)])[len(ORDERS) * offsets]
 
 
 def count_ngrams(texts: DataFrame) -> np.ndarray:
@@ -58,7 +61,7 @@ def count_ngrams(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             for a, b in chunks(offsets):
-                total += np.bincount(ngrams(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))[0], minlength=BUCKETS)
+                total += np.bincount(ngrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0], minlength=BUCKETS)
         yield emit_counts(total)
 
     rows = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -129,7 +132,7 @@ def judge(docs: DataFrame, ratio: np.ndarray, threshold: float = THRESHOLD, keep
             for a, b in chunks(offsets):
                 words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 got = base_rules(words)
-                buckets, bounds = ngrams(words)
+                buckets, bounds = ngrams(words.data, words.offsets)
                 got["llr"] = segment_sums(table.value[buckets], bounds) / np.maximum(np.diff(bounds), 1)
                 parts.append(got)
             all_ = {k: np.concatenate([p[k] for p in parts]) for k in [*_COUNTS, "llr"]}
