@@ -10,10 +10,13 @@ defaults a link at 0.85 is missed with a chance of about 1.5e-4, at 0.9 of 4e-6.
 
 Two classes are a candidate pair only if they share a tuple of either collection,
 so tuples that one class alone has are dropped before keys are formed. In a first
-pass each class is compared with the least class of each of its keys, then links
-are closed to components; in a second pass all pairs of a key whose components
-still differ are compared. So a group of copies costs a pair for each member, and
-no link between components is left out. Every pair is confirmed on full sets.
+pass each class is compared with one class of each of its keys, the first in one of
+``ORDERS`` random orders, and links are closed to components; in a second pass all
+pairs of a key whose components still differ are compared. So a group of copies
+costs a few pairs for each member, and no link between components is left out.
+
+A pair goes on only if 256 one-bit minhashes agree about as often as a link's do:
+they may fall five standard deviations short. What is left is confirmed on full sets.
 
 Null texts and texts without words are linked with nothing. A component's id is
 its least doc_id (null ids only if it has no other). Repeated rows are one class.
@@ -24,10 +27,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
@@ -35,6 +40,13 @@ from .common import Words, chunks, map_texts, mix, random_u64, text_buffers, wri
 from .graph import components
 
 _U = np.uint64
+#: Random orders of a key's classes that first compared classes are taken from.
+ORDERS = 8
+#: One-bit minhashes, 64 to a long.
+BITS = 256
+#: Bits of the filter of wanted classes: its size doesn't grow with the data, and
+#: classes that it lets through in vain are dropped by the join after it.
+FILTER_BITS = 1 << 25
 
 
 @dataclass(frozen=True)
@@ -46,6 +58,14 @@ class Near:
     side: int = 10
     width: int = 3
 
+    @property
+    def may_differ(self) -> int:
+        """One-bit minhashes in which a link may differ."""
+        j = self.percent / 100
+        agree = (1 + j) / 2
+        spread = 2 * (agree * (1 - agree) / BITS) ** 0.5
+        return int(BITS * (1 - j + 5 * spread) / 2) + 1
+
 
 def _shingled(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data, offsets = text_buffers(column)
@@ -67,14 +87,19 @@ def _class_ids(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, n_shingles, node (the class) and tuples: 2 * side longs."""
+    """doc_id, n_shingles, node (the class), tuples: 2 * side longs, and bits."""
     rng = np.random.RandomState(97)
     n = 2 * near.side * near.width
-    odd, add = random_u64(rng, n) | _U(1), random_u64(rng, n)
+    odd, shift = random_u64(rng, n) | _U(1), random_u64(rng, n)
+    odd_bit = (random_u64(rng, BITS) >> _U(32)).astype(np.uint32) | np.uint32(1)
+    add_bit = (random_u64(rng, BITS) >> _U(32)).astype(np.uint32)
+
+    def lists(rows: np.ndarray) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(rows.view(np.int64).ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
 
     def make():
         def work(texts: pa.Array):
-            sizes, nodes, tuples = [], [], []
+            sizes, nodes, tuples, bits = [], [], [], []
             for sets, bounds in _shingled(texts, near.k):
                 sizes.append(np.diff(bounds))
                 nodes.append(_class_ids(sets, bounds))
@@ -82,33 +107,68 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
                 for i in range(2 * near.side):
                     for j in range(near.width):
                         f = i * near.width + j
-                        rows[:, i] = mix(rows[:, i] + _per_set(np.minimum, sets * odd[f] + add[f], bounds) + _U(i))
+                        rows[:, i] = mix(rows[:, i] + _per_set(np.minimum, sets * odd[f] + shift[f], bounds) + _U(i))
                 tuples.append(rows)
-            flat = np.concatenate(tuples).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), 2 * near.side).cast(pa.list_(pa.int64()))
-            return [pa.array(np.concatenate(sizes)), pa.array(np.concatenate(nodes)), lists]
+                half = (sets >> _U(32)).astype(np.uint32)
+                signs = np.zeros((len(bounds) - 1, BITS // 64), _U)
+                for f in range(BITS):
+                    low = _per_set(np.minimum, half * odd_bit[f] + add_bit[f], bounds)
+                    # a least value is small; its low bits are the ones that vary freely
+                    signs[:, f // 64] |= (low.astype(_U) & _U(1)) << _U(f % 64)
+                bits.append(signs)
+            return [pa.array(np.concatenate(sizes)), pa.array(np.concatenate(nodes)), lists(np.concatenate(tuples)), lists(np.concatenate(bits))]
 
         return work
 
-    return map_texts(docs, ["doc_id"], make, [StructField("n_shingles", LongType()), StructField("node", LongType()), StructField("tuples", ArrayType(LongType()))])
+    return map_texts(docs, ["doc_id"], make, [StructField("n_shingles", LongType()), StructField("node", LongType()), StructField("tuples", ArrayType(LongType())), StructField("bits", ArrayType(LongType()))])
+
+
+def alike(a: str, b: str, near: Near) -> Column:
+    """Whether the bits of two sides differ as little as a link's may."""
+    return reduce(add, (F.bit_count(F.get(F.col(a), i).bitwiseXOR(F.get(F.col(b), i))) for i in range(BITS // 64))) <= near.may_differ
 
 
 def table_keys(classes: DataFrame, near: Near) -> DataFrame:
-    """(key, node) of the tables in which a class may meet another."""
+    """(node, one, two): the tuples of either collection that a class may share.
+
+    Pairs of them are the keys of its tables.
+    """
     tuples = classes.select("node", F.posexplode("tuples").alias("pos", "value"))
     shared = tuples.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
     first = F.col("pos") < near.side
-    sides = (
+    return (
         tuples.join(shared, "value", "left_semi")
         .groupBy("node")
         .agg(F.collect_list(F.when(first, F.col("value"))).alias("one"), F.collect_list(F.when(~first, F.col("value"))).alias("two"))
+        .where((F.size("one") > 0) & (F.size("two") > 0))
     )
-    return sides.select("node", F.explode("one").alias("p"), "two").select("node", "p", F.explode("two").alias("q")).select(F.xxhash64("p", "q").alias("key"), "node")
+
+
+def _keyed(sides: DataFrame, *more: str) -> DataFrame:
+    each = sides.select("*", F.explode("one").alias("p")).select("*", F.explode("two").alias("q"))
+    return each.select(F.xxhash64("p", "q").alias("key"), "node", "p", "q", *more)
+
+
+def passing(pairs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """The pairs (x, y) whose bits are alike."""
+    side = lambda n: classes.select(F.col("node").alias(n), F.col("bits").alias(f"b{n}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(alike("bx", "by", near)).select("x", "y")
+
+
+def _filter(nodes: DataFrame) -> np.ndarray:
+    at = F.pmod("node", F.lit(FILTER_BITS))
+    word = F.shiftright(at, 6).cast("int")
+    mask = F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) % 64 as int))")
+    words = nodes.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words.word.to_numpy(int)] = words["mask"].to_numpy(np.int64)
+    return out
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
     """(node, text): one text of each wanted class."""
     schema = StructType([StructField("node", LongType()), StructField("text", StringType())])
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -118,7 +178,9 @@ def texts_of(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
             node = np.concatenate([_class_ids(*part) for part in _shingled(batch.column("text"), near.k)])
             if len(seen) > 200_000:
                 seen.clear()
-            fresh = [i for i, x in enumerate(node.tolist()) if not (x in seen or seen.add(x))]
+            at = node % FILTER_BITS
+            hit = (wanted.value[at >> 6] >> (at & 63)) & 1
+            fresh = [i for i in np.flatnonzero(hit).tolist() if not (node[i] in seen or seen.add(node[i]))]
             take = pa.array(fresh, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(node).take(take), batch.column("text").take(take)], ["node", "text"])
 
@@ -155,33 +217,44 @@ def confirmed(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
     """Links between classes that connect every component, and (node, root)."""
-    keys = written(table_keys(classes, near), "keys")
-    least = keys.groupBy("key").agg(F.min("node").alias("y"), F.count("*").alias("n")).where("n > 1").select("key", "y")
-    stars = written(keys.join(least, "key").where("node != y").select(F.col("node").alias("x"), "y").distinct(), "stars")
-    wanted = stars.select(F.col("x").alias("node")).unionByName(stars.select(F.col("y").alias("node"))).distinct()
-    texts = texts_of(docs, wanted, near)
+    sides = written(table_keys(classes, near), "sides")
+    keys = _keyed(sides)
+    by = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))
+    heads = keys.groupBy("key").agg(F.min_by("node", by).alias("y"), F.count("*").alias("n")).where("n > 1").select("key", "y")
+    stars = keys.join(heads, "key").where("node != y").select(F.greatest("node", "y").alias("x"), F.least("node", "y").alias("y")).distinct()
+    stars = written(passing(stars, classes, near), "stars")
+    texts = texts_of(docs, _ends(stars), near)
     found = written(confirmed(stars, texts, near), "found")
     roots = components(found)
 
-    placed = keys.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
-    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    open_ = written(placed.join(split, "key", "left_semi"), "open")
-    left, right = open_.select("key", F.col("node").alias("x"), F.col("part").alias("px")), open_.select("key", F.col("node").alias("y"), F.col("part").alias("py"))
-    rest = left.join(right, "key").where("px < py").select("x", "y").distinct()
-    tried = stars.unionByName(stars.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    rest = written(rest.join(tried, ["x", "y"], "left_anti"), "rest")
-    more = written(confirmed(rest, texts, near), "more")
+    placed = sides.join(roots, "node", "left").join(classes.select("node", "bits"), "node").withColumn("part", F.coalesce("root", "node"))
+    each = _keyed(placed, "part")
+    split = each.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    open_ = written(_keyed(placed, "part", "bits", "one", "two").join(split, "key", "left_semi"), "open")
+    side = lambda n: open_.select("key", "p", "q", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part", "bits", "one", "two")])
+    # a pair may share many keys: that of its least common tuples stands for them
+    once = (F.array_min(F.array_intersect("one_x", "one_y")) == F.col("p")) & (F.array_min(F.array_intersect("two_x", "two_y")) == F.col("q"))
+    met = side("x").join(side("y").drop("p", "q"), "key").where((F.col("part_x") < F.col("part_y")) & alike("bits_x", "bits_y", near) & once)
+    pairs = met.select(F.greatest("node_x", "node_y").alias("x"), F.least("node_x", "node_y").alias("y"))
+    rest = written(pairs.join(stars, ["x", "y"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return found, roots
+    more = written(confirmed(rest, texts_of(docs, _ends(rest), near), near), "more")
     if more.isEmpty():
         return found, roots
     return found.unionByName(more), components(found.unionByName(more))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+
+
 def near_components(docs: DataFrame, near: Near | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     near = near or Near()
     sketch = written(sketches(docs, near), "sketch")
     classes = written(
-        sketch.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("tuples").alias("tuples")), "classes"
+        sketch.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("tuples").alias("tuples"), F.first("bits").alias("bits")), "classes"
     )
     _, roots = links(docs, classes, near)
     part = F.coalesce("root", "node")
