@@ -87,7 +87,9 @@ _SPOKEN = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 # runs of spelled digits and numbers, one spelled digit at least
 _DIGIT_WORD = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9]+[\x20-]+)*(?:{_SPOKEN})(?:[\x20-]+(?:{_SPOKEN}|[0-9]+))*(?![A-Za-z0-9])", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9_%+-]+)*)(\x20+at\x20+)([A-Za-z0-9-]+(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9-]+)*\x20+dot\x20+[A-Za-z]{2,24}(?:\x20+dot\x20+[A-Za-z]{2,24})*)(?![A-Za-z0-9-])", re.I)
+# "x at y dot z" in words is an address only with an ending that names little else.
+_ENDINGS = ("com", "org", "net", "edu", "gov", "io", "info", "biz", "co", "uk", "de", "fr", "es", "eu", "ch", "nl", "ru", "jp", "cn", "br", "ca", "au")
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9_%+-]+)*)(\x20+at\x20+)([A-Za-z0-9-]{2,}(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9-]{2,})*\x20+dot\x20+(?:" + "|".join(_ENDINGS) + r"))(?![A-Za-z0-9-])", re.I)
 _SPACED_DOT = re.compile(r"\x20+dot\x20+", re.I)
 #: A text without any of these has nothing to rewrite.
 _HINT = re.compile(r"[\[({<][\x20]*(?:at|dot|punkt|point|punto|@|\.)[\x20]*[\])}>]|\x20dot\x20|(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\x20-]", re.I)
