@@ -246,7 +246,7 @@ def test_clean_texts_gain_nothing():
 
 def test_pii_columns(spark):
     rows = {r.doc_id: r for r in pii.detect(docs(spark, [None, "a@b.c and jo at ex dot com", ""]), ["doc_id"]).collect()}
-    assert rows[1].n_email == 1 and rows[1].spans == "email:0:5,email:10:25" and rows[1].base_sha256 == hashlib.sha256(b"email:0:5").hexdigest()
+    assert rows[1].n_email == 1 and rows[1].spans == "email:0:5,email:10:26" and rows[1].base_sha256 == hashlib.sha256(b"email:0:5").hexdigest()
     assert rows[0].spans == "" and rows[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     masked = pii.mask(docs(spark, [None, "a@b.c and jo at ex dot com"]))
     assert masked.columns == DOCS.replace(" long", "").replace(" string", "").split(", ") and [r.text for r in masked.orderBy("doc_id").collect()] == [None, "<email> and <email>"]
