@@ -15,12 +15,10 @@ def frame_times(runs: DataFrame) -> DataFrame:
     tick and frame come from sums over the runs, not over frames, so a trial's
     frames are made where its runs lie and no shuffle is needed.
     """
-    ok = (
-        F.when(~(F.col("timescale") > 0), F.raise_error(F.lit("the timescale must be above zero")))
-        .when(F.coalesce(F.aggregate("stts", F.lit(0).cast("long"), lambda n, r: n + r["count"]), F.lit(0)) <= 0, F.raise_error(F.lit("no frames")))
-        .otherwise(F.col("timescale"))
-    )
-    placed = runs.select("trial_id", ok.cast("long").alias("timescale"), F.posexplode("stts").alias("pos", "run"), "stts").select(
+    frames = F.coalesce(F.aggregate("stts", F.lit(0).cast("long"), lambda n, r: n + r["count"]), F.lit(0))
+    # explode would drop a trial without runs in silence
+    checked = F.when(~(F.col("timescale") > 0), F.raise_error(F.lit("the timescale must be above zero"))).when(frames <= 0, F.raise_error(F.lit("no frames"))).otherwise(F.col("stts"))
+    placed = runs.select("trial_id", F.col("timescale").cast("long").alias("timescale"), F.posexplode(checked).alias("pos", "run"), "stts").select(
         "trial_id",
         "timescale",
         "run.count",
