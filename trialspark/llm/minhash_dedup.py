@@ -272,10 +272,10 @@ def near_components(docs: DataFrame, near: Near | None = None) -> DataFrame:
 def dedup(docs: DataFrame, near: Near | None = None) -> DataFrame:
     """``docs`` with one row of each component and all rows without words.
 
-    The row with the least doc_id stays; of rows that repeat it, one. Rows with a
-    null id are each alone in what can be told by id: they stay.
+    The row with the least doc_id stays; of rows that repeat both id and text, one.
+    Rows with a null id can't be told apart by id: they all stay.
     """
     placed = near_components(docs.where(F.col("doc_id").isNotNull()), near)
     keep = placed.where("kept").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
