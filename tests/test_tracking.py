@@ -14,7 +14,7 @@ ROI = "trial_id long, holes array<struct<x:double,y:double>>, hole_radius double
 
 def found(x, y, area, ends=None):
     (ax, ay), (bx, by) = ends or ((x - 5.0, y), (x + 5.0, y))
-    return (True, float(x), float(y), float(area), ax, ay, bx, by)
+    return (True, *map(float, (x, y, area, ax, ay, bx, by)))
 
 
 GONE = (False, None, None, 0.0, None, None, None, None)
