@@ -96,7 +96,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     few = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
     ids = few[0].unionByName(few[1]).dropDuplicates(["_id"])
     texts = docs.select(F.col("doc_id").alias("_id"), "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    return texts.join(F.broadcast(ids), "_id").select("text", "y")
+    # an id that many rows repeat counts once
+    return texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
