@@ -11,8 +11,9 @@ defaults a link at 0.85 is missed with a chance of about 1.5e-4, at 0.9 of 4e-6.
 Two classes are a candidate pair only if they share a tuple of either collection,
 so tuples that one class alone has are dropped before keys are formed. In a first
 pass each class is compared with one class of each of its keys, the first in one of
-``ORDERS`` random orders, and links are closed to components; in a second pass all
-pairs of a key whose components still differ are compared. So a group of copies
+``ORDERS`` random orders, then what is left with the class that most comparisons
+link to, and links are closed to components; in a second pass all pairs of a key
+whose components still differ are compared. So a group of copies
 costs a few pairs for each member, and no link between components is left out.
 
 A pair goes on only if 256 one-bit minhashes agree about as often as a link's do:
@@ -42,6 +43,8 @@ from .graph import components
 _U = np.uint64
 #: Random orders of a key's classes that first compared classes are taken from.
 ORDERS = 8
+#: Times that what is left is compared with the likeliest original of its key.
+HUB_ROUNDS = 2
 #: One-bit minhashes, 64 to a long.
 BITS = 256
 #: Bits of the filter of wanted classes: its size doesn't grow with the data, and
@@ -226,6 +229,14 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> tuple[DataFrame, D
     texts = texts_of(docs, _ends(stars), near)
     found = written(confirmed(stars, texts, near), "found")
     roots = components(found)
+    for _ in range(HUB_ROUNDS):
+        pairs = written(_hub_pairs(sides, roots, stars, found, classes, near), "hubs")
+        if pairs.isEmpty():
+            break
+        texts = _with_texts(docs, texts, pairs, near)
+        stars = stars.unionByName(pairs)
+        found = written(found.unionByName(confirmed(pairs, texts, near)), "found")
+        roots = components(found)
 
     placed = sides.join(roots, "node", "left").join(classes.select("node", "bits"), "node").withColumn("part", F.coalesce("root", "node"))
     each = _keyed(placed, "part")
@@ -239,12 +250,34 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> tuple[DataFrame, D
     rest = written(pairs.join(stars, ["x", "y"], "left_anti"), "rest")
     if rest.isEmpty():
         return found, roots
-    more = written(confirmed(rest, texts_of(docs, _ends(rest), near), near), "more")
+    more = written(confirmed(rest, _with_texts(docs, texts, rest, near), near), "more")
     if more.isEmpty():
         return found, roots
     return found.unionByName(more), components(found.unionByName(more))
 
 
+def _hub_pairs(sides: DataFrame, roots: DataFrame, tried: DataFrame, found: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """In each key that still has several components: its other members against the
+    class whose tried pairs were links most often.
+
+    Edited copies may be near their original and not near each other; the original
+    is then the class that nearly every comparison links to.
+    """
+    times = lambda d, n: d.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias(n))
+    share = times(tried, "tries").join(times(found, "hits"), "node", "left").select("node", ((F.coalesce("hits", F.lit(0)) + 1) / (F.col("tries") + 2)).alias("share"))
+    placed = sides.join(roots, "node", "left").join(share, "node", "left").withColumns({"part": F.coalesce("root", "node"), "share": F.coalesce("share", F.lit(0.0))})
+    each = _keyed(placed, "part", "share")
+    hubs = each.groupBy("key").agg(F.max(F.struct("share", "node", "part")).alias("hub"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", F.col("hub.node").alias("y"), F.col("hub.part").alias("hub_part"))
+    pairs = each.join(hubs, "key").where("part != hub_part").select(F.greatest("node", "y").alias("x"), F.least("node", "y").alias("y")).distinct()
+    return passing(pairs.join(tried, ["x", "y"], "left_anti"), classes, near)
+
+
+def _with_texts(docs: DataFrame, texts: DataFrame, pairs: DataFrame, near: Near) -> DataFrame:
+    """``texts`` and those of the pairs' classes that it lacks."""
+    missing = written(_ends(pairs).join(texts.select("node"), "node", "left_anti"), "missing")
+    return texts if missing.isEmpty() else texts.unionByName(texts_of(docs, missing, near))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
 
