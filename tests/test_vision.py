@@ -96,3 +96,14 @@ def test_sinks(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
         assert "b&lt;" in z.read("xl/worksheets/sheet2.xml").decode()
     assert "<rect" in sinks.bar_chart_svg([("a", 1.0)])
+
+
+def test_every_event_is_drawn_and_detected(spark):
+    from trialspark.plans.fixture import Trials
+    from trialspark.plans.registry import detect_frames
+
+    sf = "/root/testdata/sf0.001"
+    drawn = Trials(spark, sf).detections.select("trial_id", "frame_index", "found", "cx", "cy").collect()
+    want = {(r.trial_id, r.frame_index): (True, int(r.cx) % 120 + 21.5, int(r.cy) % 80 + 18.5, 112.0) if r.found else (False, None, None, 0.0) for r in drawn}
+    got = {(r.trial_id, r.frame_index): (r.found, r.cx, r.cy, r.area) for r in detect_frames(spark, sf).collect()}
+    assert got == want and len(want) == 1000
