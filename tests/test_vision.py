@@ -107,3 +107,16 @@ def test_every_event_is_drawn_and_detected(spark):
     want = {(r.trial_id, r.frame_index): (True, int(r.cx) % 120 + 21.5, int(r.cy) % 80 + 18.5, 112.0) if r.found else (False, None, None, 0.0) for r in drawn}
     got = {(r.trial_id, r.frame_index): (r.found, r.cx, r.cy, r.area) for r in detect_frames(spark, sf).collect()}
     assert got == want and len(want) == 1000
+
+
+def test_detected_frames_hold_the_sql_window_and_more(spark):
+    import duckdb
+
+    from trialspark.plans.registry import SQL, detect_frames
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = set(con.execute(SQL["detect_frames"]).fetchall())
+    got = {tuple(r) for r in detect_frames(spark, sf).collect()}
+    assert want <= got and len(got) > len(want)

@@ -533,8 +533,8 @@ def circular_mean(t: Trials) -> DataFrame:
 
 
 def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gray frames of a blob that moves as the trials of few users do."""
-    d = Trials(spark, sf_dir).detections.where("trial_id < 8 and frame_index < 40")
+    """Gray frames of a blob that moves as the trials do, one an event."""
+    d = Trials(spark, sf_dir).detections
 
     def draw(batches):
         for pdf in batches:
