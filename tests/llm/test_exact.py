@@ -165,6 +165,15 @@ def test_collision_rate_is_generalised_jaccard():
     assert abs(fingerprint.likeness(s[0], s[1]) - want) < 0.05 and (s[0] == s[2]).all() and fingerprint.likeness(s[0], s[3]) < 0.05
 
 
+def test_long_unrelated_texts_are_not_alike():
+    import pyarrow as pa
+
+    a, b = (" ".join(f"{side}{i}" for i in range(100_000)) for side in "ab")
+    s = fingerprint.signatures(pa.array([a, b, a + " " + b, a + " " + a + " x"]), fingerprint.Sampler(512))
+    assert fingerprint.likeness(s[0], s[1]) < 0.02
+    assert abs(fingerprint.likeness(s[0], s[2]) - 0.5) < 0.1 and abs(fingerprint.likeness(s[0], s[3]) - 0.5) < 0.1
+
+
 def edited(texts, ids):
     order = sorted(range(len(ids)), key=lambda i: -ids[i])
     out = {}

@@ -1,15 +1,14 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text is a bag of weighted terms: each pair of neighbouring words (with a mark
-before the first and after the last word), weighted by its count. For sample k a
-term of weight w draws gamma(2, 1) variates r and c and a uniform b, takes
-t = floor(log(w) / r + b) and log a = log c - r (t - b) - r; the least log a is
-the sample. Equal bags give equal samples, and two bags agree in a sample with
-the chance of their generalised Jaccard similarity. A sample is kept as 16 bits.
-
-Terms are hashed to ``BUCKETS`` rows of variate tables made from a fixed seed,
-so likeness is that of the bucketed bags. A null text is empty; texts without a
-word share one fingerprint.
+before the first and after the last word), weighted by its count. Weights are whole
+numbers, so a term of weight w stands for its copies 1 to w, each with a 64-bit hash
+of its own; sample k is the copy whose hash is least after the k-th odd multiplier.
+Equal bags give equal samples, a copy that stays in a bag that shrinks stays its
+sample, and two bags agree in a sample with the chance of their generalised Jaccard
+similarity, however long they are. A sample is kept as 16 bits.
+
+A null text is empty; texts without a word share one fingerprint.
 """
 
 from __future__ import annotations
@@ -23,46 +22,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .common import Words, chunks, map_texts, mix, text_buffers
+from .common import Words, chunks, map_texts, mix, random_u64, text_buffers
 
 SAMPLES = 64
-BUCKETS = 1 << 15
+#: Copies handled at a time, so that their hashes stay in the cache.
+BLOCK = 1 << 12
 _U = np.uint64
 _EDGE = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 
 
 class Sampler:
     def __init__(self, samples: int = SAMPLES):
-        rng = np.random.RandomState(4242)
-        shape = (BUCKETS, samples)
-        self.r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
-        self.b = rng.random_sample(shape).astype(np.float32)
-        #: log a of weight 1, where t is 0
-        self.one = self.log_c + self.r * self.b - self.r
+        self.odd = random_u64(np.random.RandomState(4242), samples) | _U(1)
         self.samples = samples
 
-    def _log_a(self, bucket: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        r, b = self.r[bucket], self.b[bucket]
-        t = np.floor(np.log(weight.astype(np.float32))[:, None] / r + b)
-        return self.log_c[bucket] - r * (t - b) - r
-
-    def signatures(self, bucket: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(texts, samples) of 16 bits; the terms of text i are bounds[i]:bounds[i + 1]."""
-        out = np.full((len(bounds) - 1, self.samples), np.inf, np.float32)
-        for low in range(0, len(bucket), 1 << 15):  # so that the gathered rows stay small
-            part = slice(low, low + (1 << 15))
-            rows = self.one[bucket[part]]
-            heavy = np.flatnonzero(weight[part] > 1)
-            rows[heavy] = self._log_a(bucket[part][heavy], weight[part][heavy])
-            inside = np.clip(bounds - low, 0, len(rows))
+    def signatures(self, copies: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(texts, samples) of 16 bits; the copies of text i are bounds[i]:bounds[i + 1]."""
+        out = np.full((len(bounds) - 1, self.samples), ~_U(0))
+        for low in range(0, len(copies), BLOCK):
+            rows = copies[low : low + BLOCK, None] * self.odd
+            first = max(int(np.searchsorted(bounds, low, "right")) - 1, 0)
+            last = int(np.searchsorted(bounds, low + len(rows), "left"))
+            inside = np.clip(bounds[first : last + 1] - low, 0, len(rows))
             some = np.flatnonzero(np.diff(inside))
-            out[some] = np.minimum(out[some], np.minimum.reduceat(rows, inside[some], axis=0))
-        return (mix(out.view(np.uint32).astype(_U)) >> _U(48)).astype(np.uint16)
+            out[first + some] = np.minimum(out[first + some], np.minimum.reduceat(rows, inside[some], axis=0))
+        return (mix(out) >> _U(48)).astype(np.uint16)
 
 
-def terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, weights, bounds) of the distinct terms of each text."""
+def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(copies, bounds): hashes of the copies of the terms of each text."""
     n, docs = len(words.hash), words.n_docs
     counts = words.counts()
     left = np.empty(n, _U)
@@ -71,8 +59,17 @@ def terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last = words.hash[words.first[1:][counts > 0] - 1]
     doc = np.concatenate([np.repeat(np.arange(docs), counts), np.flatnonzero(counts)])
     pair = np.concatenate([mix(left * _U(3) + words.hash * _U(7)), mix(last * _U(3) + _EDGE[1])])
-    key, weight = np.unique(doc.astype(np.int64) * BUCKETS + (pair >> _U(49)).astype(np.int64), return_counts=True)
-    return key % BUCKETS, weight, np.searchsorted(key, np.arange(docs + 1) * BUCKETS)
+    # by text, then by term: the number of the text before the leading bits of the hash
+    bits = max(docs - 1, 0).bit_length()
+    order = np.argsort(pair if not bits else doc.astype(_U) << _U(64 - bits) | pair >> _U(bits))
+    doc, pair = doc[order], pair[order]
+    at = np.arange(len(pair))
+    fresh = np.ones(len(pair), bool)
+    fresh[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
+    nth = at - np.maximum.accumulate(np.where(fresh, at, 0)) if len(at) else at
+    again = np.flatnonzero(nth)
+    pair[again] = mix(pair[again] + mix(nth[again].astype(_U)))
+    return pair, np.searchsorted(doc, np.arange(docs + 1))
 
 
 def signatures(texts: pa.Array, sampler: Sampler) -> np.ndarray:
