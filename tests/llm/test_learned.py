@@ -49,6 +49,27 @@ def test_pairs_learn_the_order():
     assert ((model.score(x) >= quality_ranker.CUT) == y).mean() > 0.95
 
 
+def test_threshold_keeps_the_population_share():
+    rng = np.random.RandomState(3)
+    y = (np.arange(20_000) % 20 > 2).astype(int)
+    x = (rng.normal(size=(20_000, 3)) + y[:, None] * [1.0, 0.5, 0]).astype(np.float32)
+    few = np.concatenate([np.flatnonzero(y == v)[:1500] for v in (0, 1)])
+    whole, capped = quality_ranker.fit_pairs(x, y), quality_ranker.fit_pairs(x[few], y[few], bad_share=0.15)
+    assert abs((whole.score(x) < quality_ranker.CUT).mean() - 0.15) < 0.001
+    assert abs((capped.score(x) < quality_ranker.CUT).mean() - 0.15) < 0.03
+    v = rng.normal(size=99)
+    assert np.isclose(quality_ranker.weighted_quantile(v, np.ones(99), 0.3), np.quantile(v, 0.3))
+
+
+def test_a_class_bound_leaves_the_bad_share(spark, monkeypatch):
+    docs, labels, seen = table(spark, SF, "documents"), table(spark, SF, "labels"), []
+    monkeypatch.setattr(quality_ranker, "fit_pairs", lambda x, y, **given: seen.append((y.mean(), given["bad_share"])))
+    for bound in (20, 4000):
+        quality_ranker.fit(docs, labels, per_class=bound)
+    known = [r.quality for r in labels.unionByName(labels).dropDuplicates(["doc_id"]).where(~held_out()).collect() if r.quality in (0, 1)]
+    assert seen[0] == (0.5, seen[1][1]) and abs(seen[1][1] - known.count(0) / len(known)) < 1e-9
+
+
 def test_toxicity_finds_inserted_words():
     rng = np.random.RandomState(1)
     words = ["".join(rng.choice(list("aeinorst"), 5)) for _ in range(300)]
