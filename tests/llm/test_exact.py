@@ -253,6 +253,26 @@ def test_clean_texts_gain_nothing():
         assert not any(pii.find_disguised(text, pii.find(text)).values())
 
 
+@pytest.mark.parametrize(
+    ("found", "kind"),
+    [
+        *[(t, "email") for t in ("bob [at] example dot com", "bob@example dot com", "bob at example [dot] com", "bob dot lee [at] mail dot example dot com", "jo at mail dot example [dot] org")],
+        *[(f"anna at firma dot {e}", "email") for e in ("it", "me", "dev", "pl", "com", "se", "app")],
+        ("192 dot 168 dot 1 dot 7", "ip"),
+        ("192.168 dot 1.7", "ip"),
+    ],
+)
+def test_mixed_disguises_are_found(found, kind):
+    text = f"write: {found}, now"
+    spans = pii.find_disguised(text, pii.find(text))[kind]
+    assert [text[a:b] for a, b in spans] == [found] and pii.mask_text(text) == f"write: <{kind}>, now"
+
+
+def test_words_about_a_dot_are_no_address():
+    for text in ("look at the dot in the map", "meet at example.com today", "stare at each dot it makes", "at 3 dot 5 percent", "we met at noon [.] Then left"):
+        assert not any(pii.find_disguised(text, pii.find(text)).values()), text
+
+
 def test_pii_columns(spark):
     rows = {r.doc_id: r for r in pii.detect(docs(spark, [None, "a@b.c and jo at ex dot com", ""]), ["doc_id"]).collect()}
     assert rows[1].n_email == 1 and rows[1].spans == "email:0:5,email:10:26" and rows[1].base_sha256 == hashlib.sha256(b"email:0:5").hexdigest()

@@ -87,10 +87,29 @@ _SPOKEN = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 # runs of spelled digits and numbers, one spelled digit at least
 _DIGIT_WORD = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9]+[\x20-]+)*(?:{_SPOKEN})(?:[\x20-]+(?:{_SPOKEN}|[0-9]+))*(?![A-Za-z0-9])", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+")
-# "x at y dot z" in words is an address only with an ending that names little else.
-_ENDINGS = ("com", "org", "net", "edu", "gov", "io", "info", "biz", "co", "uk", "de", "fr", "es", "eu", "ch", "nl", "ru", "jp", "cn", "br", "ca", "au")
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9_%+-]+)*)(\x20+at\x20+)([A-Za-z0-9-]{2,}(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9-]{2,})*\x20+dot\x20+(?:" + "|".join(_ENDINGS) + r"))(?![A-Za-z0-9-])", re.I)
+# "x at y dot z" in words is an address only with a country's or a common ending.
+_COUNTRIES = (
+    "ac ad ae af ag ai al am ao ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
+    "de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it "
+    "je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz "
+    "om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz "
+    "ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+).split()
+_GENERIC = (
+    "com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post dev app xyz online site website shop store blog cloud tech email "
+    "live news world life today agency club design space top wiki media digital network systems solutions services company group academy global studio team tools page art fun"
+).split()
+_END = "(?:" + "|".join(sorted(_COUNTRIES + _GENERIC, key=lambda e: -len(e))) + ")"
+#: Endings that are words as well, and words that are no domain before them.
+_WORDLIKE = frozenset("ad am as at be by co de do es et fun group id il in is it la life live ma me mu my name news no page post re so space team tech to today tools top us world art".split())
+_NO_DOMAIN = frozenset("the a an this that these those each every any one some another no which what my your our his her its their first second third last next same".split())
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9_%+-]+)*)(\x20+at\x20+)([A-Za-z0-9-]{2,}(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9-]{2,})*\x20+dot\x20+(?:" + _END + r"))(?![A-Za-z0-9-])", re.I)
 _SPACED_DOT = re.compile(r"\x20+dot\x20+", re.I)
+# mixed forms: " dot " about a given "@", " at " before a domain whose dot was disguised, " dot " between numbers
+_AT_DOMAIN = re.compile(r"@((?:[A-Za-z0-9-]+(?:\.|\x20+dot\x20+))+" + _END + r")(?![A-Za-z0-9-])", re.I)
+_LOCAL_DOTS = re.compile(rf"(?<![{_LOCAL}])(?:[{_LOCAL}]+\x20+dot\x20+)+[{_LOCAL}]+\Z", re.I)
+_AT_DOTTED = re.compile(rf"(?<=[{_LOCAL}])(\x20+at\x20+)((?:[A-Za-z0-9-]{{2,}}(?:\.|\x20+dot\x20+))*[A-Za-z0-9-]{{2,}}\.{_END})(?![A-Za-z0-9-])", re.I)
+_NUMBER_DOT = re.compile(r"(?<=[0-9])\x20+dot\x20+(?=[0-9])", re.I)
 #: A text without any of these has nothing to rewrite.
 _HINT = re.compile(r"[\[({<][\x20]*(?:at|dot|punkt|point|punto|@|\.)[\x20]*[\])}>]|\x20dot\x20|(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\x20-]", re.I)
 # beyond Latin letters and general punctuation, or invisible
@@ -139,6 +158,10 @@ def _digits_of(found: re.Match) -> str:
     return "".join(_DIGIT_WORDS.get(t.lower(), t) for t in _TOKEN.findall(found.group()))
 
 
+def _dots(found: re.Match, group: int) -> list[tuple[int, int, str]]:
+    return [(g.start() + found.start(group), g.end() + found.start(group), ".") for g in _SPACED_DOT.finditer(found.group(group))]
+
+
 def normalise(text: str) -> Traced | None:
     """The rewritten text, or None where nothing needs rewriting."""
     odd = [(m.start(), m.end(), by) for m in _LATIN.finditer(text) if (by := _plain_char(m.group())) is not None]
@@ -151,10 +174,24 @@ def normalise(text: str) -> Traced | None:
         out.rewrite(signs)
     spelled = []
     for m in _SPELLED.finditer(out.text):
-        edits = [(*m.span(2), "@")] + [(g.start() + m.start(i), g.end() + m.start(i), ".") for i in (1, 3) for g in _SPACED_DOT.finditer(m.group(i))]
+        labels = re.split(r"\.|\x20+dot\x20+", m.group(3).lower())
+        if labels[-1] in _WORDLIKE and labels[-2] in _NO_DOMAIN:
+            continue
+        edits = [(*m.span(2), "@"), *_dots(m, 1), *_dots(m, 3)]
         spelled += sorted(edits)
     if spelled:
         out.rewrite(spelled)
+    if dotted := [e for m in _AT_DOTTED.finditer(out.text) if any(out.new[i] for i in range(*m.span(2)) if out.text[i] == ".") for e in [(*m.span(1), "@"), *_dots(m, 2)]]:
+        out.rewrite(dotted)
+    mixed: set[tuple[int, int, str]] = set()
+    for m in _AT_DOMAIN.finditer(out.text):
+        own = _dots(m, 1)
+        mixed.update(own)
+        if (own or any(out.new[m.start() : m.end()])) and (local := _LOCAL_DOTS.search(out.text, max(0, m.start() - 512), m.start())):
+            mixed.update(_dots(local, 0))
+    mixed.update((*m.span(), ".") for m in _NUMBER_DOT.finditer(out.text))
+    if mixed:
+        out.rewrite(sorted(mixed))
     if numbers := [(m.start(), m.end(), _digits_of(m)) for m in _DIGIT_WORD.finditer(out.text) if len(_TOKEN.findall(m.group())) > 3]:
         out.rewrite(numbers)
     return out
