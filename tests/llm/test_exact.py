@@ -102,12 +102,49 @@ def test_near_components_equal_brute_force(spark, k, percent):
     assert {d: g[:2] for d, g in got.items()} == want and all(g[2] == (d == g[1]) for d, g in got.items())
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_a_hot_group_of_copies_that_are_not_near_each_other(spark, monkeypatch, k, percent):
+    """Edited copies beyond the threshold of their original, and of each other, but
+    for a few: no link is lost, and what is paired stays about linear."""
+    rng = np.random.RandomState(10 * k)
+    common = rng.randint(0, 40, 4000)  # edits draw on few words, so that copies share some
+    base = [f"w{rng.randint(5000)}" for _ in range(120)]
+    texts = [" ".join(base)]
+    for i in range(400):
+        own = list(base)
+        for at in rng.choice(120, rng.randint(1, 12), False):
+            own[at] = f"e{common[rng.randint(4000)]}"
+        if i % 5 == 0:  # other sizes
+            del own[rng.randint(100) :][:8]
+        if i % 7 == 0:
+            own += ["x", "y", f"z{i}"]
+        texts.append(" ".join(own))
+    counted = {}
+    written = minhash_dedup.written
+    monkeypatch.setattr(minhash_dedup, "written", lambda df, name: counted.setdefault(name, written(df, name)) if name == "rest" else written(df, name))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_components(docs(spark, texts), minhash_dedup.Near(k, percent)).collect()}
+    want = brute_components(texts, list(range(len(texts))), k, percent)
+    assert len({c for _, c in want.values()}) > 30 and got == want
+    assert counted["rest"].count() < 10 * len(texts)
+
+
 def test_near_components_of_odd_tables(spark):
     assert minhash_dedup.near_components(docs(spark, [])).count() == 0
     d = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], [None, 5, 5, None])
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash_dedup.near_components(d).collect()) == [("5", "5", True), ("5", "5", True), ("None", "5", False), ("None", "None", False)]
     kept = minhash_dedup.dedup(d)
-    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["5", "None", "None"]
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["5", "None"]
+    assert minhash_dedup.dedup(docs(spark, [])).count() == 0
+
+
+def test_dedup_keeps_one_row_of_a_component(spark):
+    u, v = " ".join(f"u{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    kept = lambda texts, ids: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in minhash_dedup.dedup(docs(spark, texts, ids)).collect())
+    assert kept([u, v, u], [0, 1, 1]) == [(False, 0, u), (False, 1, v)]
+    assert kept([u, u + " x", u + " x", v], [None, None, 7, None]) == [(False, 7, u + " x"), (True, 0, v)]
+    assert kept([u, u, "", ""], [3, 3, 4, 4]) == [(False, 3, u), (False, 4, ""), (False, 4, "")]
+    long = u + " " + " ".join(f"l{i}" for i in range(300_000))
+    assert len(kept([long, long + " end", u], [0, 1, 2])) == 2
 
 
 def test_tournament_is_first_fit():

@@ -5,27 +5,39 @@ hashes; a document with fewer words has one shingle, one without words none.
 Documents with one set are one class from the start: the class's id hashes the
 whole set. Two collections of ``side`` tuples of ``width`` minhashes are computed
 for each class, and every pair of a tuple of the first and one of the second
-collection is a table's key: side * side tables for 2 * side tuples. With the
-defaults a link at 0.85 is missed with a chance of about 1.5e-4, at 0.9 of 4e-6.
+collection is a table's key: side * side tables for 2 * side tuples. ``side`` is
+such that either collection misses a link at the threshold with a chance of 1e-4.
 
 Two classes are a candidate pair only if they share a tuple of either collection,
 so tuples that one class alone has are dropped before keys are formed. In a first
 pass each class is compared with one class of each of its keys, the first in one of
-``ORDERS`` random orders, then what is left with the class that most comparisons
-link to, and links are closed to components; in a second pass all pairs of a key
-whose components still differ are compared. So a group of copies
-costs a few pairs for each member, and no link between components is left out.
+``ORDERS`` random orders, and links are closed to components. A key whose classes
+still lie in several components goes to the second pass, which pairs no two classes
+blindly: each class of the key is laid against the key's hub, the class that most
+comparisons linked to. For sets x and y and a hub h,
 
-A pair goes on only if 256 one-bit minhashes agree about as often as a link's do:
-they may fall five standard deviations short. What is left is confirmed on full sets.
+    |x & y| <= min(|x & h|, |y & h|) + |(x - h) & (y - h)|,
+
+so two classes can be linked only if the first term alone is large enough for their
+sizes, which a class not linked to the hub satisfies with smaller ones only, or if
+they share a shingle that the hub lacks. Either is an equality join, on the size or
+on the shingle. The bound is exact: no link of two classes of a key is lost, and
+copies of an original that are near it and not near each other make no pairs.
+
+A pair of the first pass goes on only if 256 one-bit minhashes agree about as often
+as a link's do: they may fall five standard deviations short, and sets of fewer than
+``FEW`` shingles always go on. What is left is confirmed on full sets.
 
 Null texts and texts without words are linked with nothing. A component's id is
-its least doc_id (null ids only if it has no other). Repeated rows are one class.
-Classes are told apart by 64-bit hashes of their sets.
+its least doc_id (null ids only if it has no other). Repeated rows are one class,
+and so are rows of one id and one text. Long texts are hashed in one piece, their
+sets are compared whole. Columns other than doc_id and text are not read; an empty
+table gives no rows. Classes are told apart by 64-bit hashes of their sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -43,13 +55,13 @@ from .graph import components
 _U = np.uint64
 #: Random orders of a key's classes that first compared classes are taken from.
 ORDERS = 8
-#: Times that what is left is compared with the likeliest original of its key.
-HUB_ROUNDS = 2
-#: One-bit minhashes, 64 to a long.
-BITS = 256
-#: Bits of the filter of wanted classes: its size doesn't grow with the data, and
-#: classes that it lets through in vain are dropped by the join after it.
+#: One-bit minhashes, 64 to a long, and the sets too small to be judged by them.
+BITS, FEW = 256, 16
+#: Bits of the filter of wanted texts: its size doesn't grow with the data, and
+#: texts that it lets through in vain are dropped by the join after it.
 FILTER_BITS = 1 << 25
+#: Sizes of sets are told apart one by one below this, and to 1 in 256 above.
+EXACT_SIZES = 512
 
 
 @dataclass(frozen=True)
@@ -58,9 +70,13 @@ class Near:
 
     k: int = 5
     percent: int = 80
-    side: int = 10
     width: int = 3
 
+    @property
+    def side(self) -> int:
+        """Tuples of a collection."""
+        return math.ceil(math.log(1e-4) / math.log(1 - (self.percent / 100) ** self.width)) if self.percent < 100 else 1
+
     @property
     def may_differ(self) -> int:
         """One-bit minhashes in which a link may differ."""
@@ -90,12 +106,14 @@ def _class_ids(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, n_shingles, node (the class), tuples: 2 * side longs, and bits."""
+    """doc_id, h (a hash of the text), n_shingles, node (the class), tuples: 2 * side
+    longs, and bits."""
     rng = np.random.RandomState(97)
     n = 2 * near.side * near.width
     odd, shift = random_u64(rng, n) | _U(1), random_u64(rng, n)
     odd_bit = (random_u64(rng, BITS) >> _U(32)).astype(np.uint32) | np.uint32(1)
     add_bit = (random_u64(rng, BITS) >> _U(32)).astype(np.uint32)
+    one_bit = (random_u64(rng, BITS) >> _U(32)).astype(np.uint32) | np.uint32(1)
 
     def lists(rows: np.ndarray) -> pa.Array:
         return pa.FixedSizeListArray.from_arrays(pa.array(rows.view(np.int64).ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
@@ -116,14 +134,15 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
                 signs = np.zeros((len(bounds) - 1, BITS // 64), _U)
                 for f in range(BITS):
                     low = _per_set(np.minimum, half * odd_bit[f] + add_bit[f], bounds)
-                    # a least value is small; its low bits are the ones that vary freely
-                    signs[:, f // 64] |= (low.astype(_U) & _U(1)) << _U(f % 64)
+                    # the bit of a least element is drawn anew for each function
+                    signs[:, f // 64] |= (low * one_bit[f] >> np.uint32(31)).astype(_U) << _U(f % 64)
                 bits.append(signs)
             return [pa.array(np.concatenate(sizes)), pa.array(np.concatenate(nodes)), lists(np.concatenate(tuples)), lists(np.concatenate(bits))]
 
         return work
 
-    return map_texts(docs, ["doc_id"], make, [StructField("n_shingles", LongType()), StructField("node", LongType()), StructField("tuples", ArrayType(LongType())), StructField("bits", ArrayType(LongType()))])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return map_texts(rows, ["doc_id", "h"], make, [StructField("n_shingles", LongType()), StructField("node", LongType()), StructField("tuples", ArrayType(LongType())), StructField("bits", ArrayType(LongType()))])
 
 
 def alike(a: str, b: str, near: Near) -> Column:
@@ -149,166 +168,212 @@ def table_keys(classes: DataFrame, near: Near) -> DataFrame:
 
 def _keyed(sides: DataFrame, *more: str) -> DataFrame:
     each = sides.select("*", F.explode("one").alias("p")).select("*", F.explode("two").alias("q"))
-    return each.select(F.xxhash64("p", "q").alias("key"), "node", "p", "q", *more)
+    return each.select(F.xxhash64("p", "q").alias("key"), "node", *more)
 
 
 def passing(pairs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     """The pairs (x, y) whose bits are alike."""
-    side = lambda n: classes.select(F.col("node").alias(n), F.col("bits").alias(f"b{n}"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").where(alike("bx", "by", near)).select("x", "y")
+    side = lambda n: classes.select(F.col("node").alias(n), F.col("bits").alias(f"b{n}"), F.col("n_shingles").alias(f"n{n}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").where(alike("bx", "by", near) | (F.least("nx", "ny") < FEW)).select("x", "y")
 
 
-def _filter(nodes: DataFrame) -> np.ndarray:
-    at = F.pmod("node", F.lit(FILTER_BITS))
+def _filter(wanted: DataFrame) -> np.ndarray:
+    at = F.pmod("h", F.lit(FILTER_BITS))
     word = F.shiftright(at, 6).cast("int")
-    mask = F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) % 64 as int))")
-    words = nodes.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    mask = F.expr(f"shiftleft(1L, cast(pmod(h, {FILTER_BITS}) % 64 as int))")
+    words = wanted.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words.word.to_numpy(int)] = words["mask"].to_numpy(np.int64)
     return out
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
-    """(node, text): one text of each wanted class."""
-    schema = StructType([StructField("node", LongType()), StructField("text", StringType())])
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of each wanted (node, h): one text of each class."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+    schema = StructType([StructField("h", LongType()), StructField("text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = np.concatenate([_class_ids(*part) for part in _shingled(batch.column("text"), near.k)])
+            at = batch.column("h").to_numpy() % FILTER_BITS
+            hit = (shared.value[at >> 6] >> (at & 63)) & 1
             if len(seen) > 200_000:
                 seen.clear()
-            at = node % FILTER_BITS
-            hit = (wanted.value[at >> 6] >> (at & 63)) & 1
-            fresh = [i for i in np.flatnonzero(hit).tolist() if not (node[i] in seen or seen.add(node[i]))]
-            take = pa.array(fresh, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(node).take(take), batch.column("text").take(take)], ["node", "text"])
+            hashes = batch.column("h").to_numpy()
+            fresh = [i for i in np.flatnonzero(hit).tolist() if not (hashes[i] in seen or seen.add(hashes[i]))]
+            yield batch.take(pa.array(fresh, pa.int64()))
+
+    found = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema)
+    return written(found.join(wanted, "h").dropDuplicates(["node"]).select("node", "text"), "texts")
 
-    found = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, schema)
-    return written(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+
+def _sets_of(column: pa.Array, k: int) -> list[np.ndarray]:
+    return [sets[bounds[i] : bounds[i + 1]] for sets, bounds in _shingled(column, k) for i in range(len(bounds) - 1)]
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+    """Slices of rows (x, y, tx, ty) with the full sets of either side; a y that
+    many rows share, which the join has brought together, is shingled once a slice."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
+            y = part.column("y").to_numpy()
+            heads = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
+            hubs = _sets_of(part.column("ty").take(pa.array(heads)), k)
+            which = np.searchsorted(heads, np.arange(len(y)), "right") - 1
+            yield part, _sets_of(part.column("tx"), k), [hubs[w] for w in which]
+
+
+def _both_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    sides = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
+    return sides.join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     """The pairs (x, y) whose full sets are near enough."""
-    sides = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
-    both = sides.join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty")
 
-    def sets_of(column: pa.Array) -> list[np.ndarray]:
-        return [sets[bounds[i] : bounds[i + 1]] for sets, bounds in _shingled(column, near.k) for i in range(len(bounds) - 1)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own, other in _with_sets(batches, near.k):
+            common = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(own, other, strict=True)])
+            sizes = np.array([len(a) + len(b) for a, b in zip(own, other, strict=True)])
+            yield part.select(["x", "y"]).take(pa.array(np.flatnonzero(100 * common >= near.percent * (sizes - common))))
+
+    return _both_texts(pairs, texts).select("x", "y", "tx", "ty").mapInArrow(run, pairs.select("x", "y").schema)
+
+
+def _hubs(sides: DataFrame, roots: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame:
+    """(x, y, part, hub_part): the classes of each key that lies in several components,
+    and the key's hub, the class whose comparisons were links most often."""
+    times = lambda d, n: d.select("x").unionByName(d.select(F.col("y").alias("x"))).groupBy(F.col("x").alias("node")).agg(F.count("*").alias(n))
+    share = times(tried, "tries").join(times(found, "hits"), "node", "left").select("node", ((F.coalesce("hits", F.lit(0)) + 1) / (F.col("tries") + 2)).alias("share"))
+    placed = sides.join(roots, "node", "left").join(share, "node", "left").withColumns({"part": F.coalesce("root", "node"), "share": F.coalesce("share", F.lit(0.0))})
+    each = _keyed(placed, "part", "share")
+    hubs = each.groupBy("key").agg(F.max(F.struct("share", "node", "part")).alias("hub"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    hubs = hubs.select("key", F.col("hub.node").alias("y"), F.col("hub.part").alias("hub_part"))
+    return each.join(hubs, "key").select(F.col("node").alias("x"), "y", "part", "hub_part").distinct()
+
+
+def against_hubs(laid: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """(x, y, part, hub_part, n, hub_n, kept, added): the size of class x and of hub y,
+    how many shingles they share, and the shingles that the hub lacks."""
+    schema = StructType([*laid.schema.fields, *[StructField(c, LongType()) for c in ("n", "hub_n", "kept")], StructField("added", ArrayType(LongType()))])
+    names, own_names = schema.fieldNames(), laid.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                y = part.column("y").to_numpy()
-                heads = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])  # the join brings equal y together
-                hubs = sets_of(part.column("ty").take(pa.array(heads)))
-                which = np.searchsorted(heads, np.arange(len(y)), "right") - 1
-                good = []
-                for i, own in enumerate(sets_of(part.column("tx"))):
-                    hub = hubs[which[i]]
-                    common = len(np.intersect1d(own, hub, assume_unique=True))
-                    if 100 * common >= near.percent * (len(own) + len(hub) - common):
-                        good.append(i)
-                yield part.select(["x", "y"]).take(pa.array(good, pa.int64()))
-
-    return both.mapInArrow(run, pairs.select("x", "y").schema)
-
-
-def links(docs: DataFrame, classes: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
-    """Links between classes that connect every component, and (node, root)."""
+        for part, own, hub in _with_sets(batches, near.k):
+            rest = [np.setdiff1d(a, b, assume_unique=True).view(np.int64) for a, b in zip(own, hub, strict=True)]
+            n = np.array([len(a) for a in own])
+            kept = n - np.array([len(r) for r in rest])
+            columns = [pa.array(n), pa.array([len(b) for b in hub], pa.int64()), pa.array(kept), pa.array(rest, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in own_names] + columns, names)
+
+    return _both_texts(laid, texts).select(*own_names, "tx", "ty").mapInArrow(run, schema)
+
+
+def _size_class(n: Column) -> Column:
+    """Ascending with n, and n itself below EXACT_SIZES."""
+    return F.when(n < EXACT_SIZES, n).otherwise(EXACT_SIZES + F.floor(F.log(n / EXACT_SIZES) * 256)).cast("int")
+
+
+def under_hubs(laid: DataFrame, near: Near) -> DataFrame:
+    """Pairs (x, y) of classes in different components that the bound over their hub
+    does not rule out; one of them is not linked to the hub."""
+    p = near.percent
+    # sets linked to x have at most this many shingles, unless they share an added one
+    reach = F.floor(((100 + p) * F.col("kept") - p * F.col("n")) / F.lit(float(p)))
+    linked = (100 + p) * F.col("kept") >= p * (F.col("n") + F.col("hub_n"))
+    rows = laid.select(
+        F.col("y").alias("hub"), F.col("x").alias("node"), F.when(linked, F.col("hub_part")).otherwise(F.col("part")).alias("part"),
+        (~linked).alias("loose"), "n", "kept", reach.alias("reach"), "added",
+    )
+    rows = written(rows, "laid")
+    side = lambda d, n, *more: d.select("hub", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part", "loose", "n", "kept", *more)])
+    apart = (F.col("part_x") != F.col("part_y")) & (~F.col("loose_y") | (F.col("node_x") < F.col("node_y")))
+
+    least = F.ceil(F.col("n") * p / 100)
+    loose = rows.where(F.col("loose") & (F.col("reach") >= least))
+    asks = loose.select("*", F.explode(F.sequence(_size_class(least), _size_class(F.col("reach")))).alias("size"))
+    mine, other = side(asks, "x", "reach", "size").withColumnRenamed("size_x", "size"), side(rows.withColumn("size", _size_class(F.col("n"))), "y", "reach", "size").withColumnRenamed("size_y", "size")
+    explained = mine.join(other, ["hub", "size"]).where((F.col("node_x") != F.col("node_y")) & (F.col("part_x") != F.col("part_y")) & (F.col("n_y") <= F.col("reach_x")) & (F.col("n_x") <= F.col("reach_y")))
+
+    added = written(rows.where(F.size("added") > 0).select("hub", "node", "part", "loose", "n", "kept", F.explode("added").alias("s")), "added")
+    common = added.groupBy("hub", "s").agg(F.count("*").alias("c"), F.max("loose").alias("some")).where("c > 1 and some").select("hub", "s")
+    added = written(added.join(common, ["hub", "s"], "left_semi"), "shared")
+    met = side(added.where("loose"), "x", "s").withColumnRenamed("s_x", "s").join(side(added, "y", "s").withColumnRenamed("s_y", "s"), ["hub", "s"]).where(apart & (F.col("node_x") != F.col("node_y")))
+    met = met.groupBy("hub", "node_x", "node_y", "n_x", "n_y", "kept_x", "kept_y").agg(F.count("*").alias("c"))
+    met = met.where((100 + p) * (F.least("kept_x", "kept_y") + F.col("c")) >= p * (F.col("n_x") + F.col("n_y")))
+    pair = [F.greatest("node_x", "node_y").alias("x"), F.least("node_x", "node_y").alias("y")]
+    return explained.select(*pair).unionByName(met.select(*pair)).distinct()
+
+
+def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+    """(node, root) of every class that is linked with another."""
     sides = written(table_keys(classes, near), "sides")
     keys = _keyed(sides)
     by = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))
     heads = keys.groupBy("key").agg(F.min_by("node", by).alias("y"), F.count("*").alias("n")).where("n > 1").select("key", "y")
     stars = keys.join(heads, "key").where("node != y").select(F.greatest("node", "y").alias("x"), F.least("node", "y").alias("y")).distinct()
     stars = written(passing(stars, classes, near), "stars")
-    texts = texts_of(docs, _ends(stars), near)
+    known = classes.select("node", "h")
+    texts = texts_of(docs, known.join(_ends(stars), "node", "left_semi"))
     found = written(confirmed(stars, texts, near), "found")
     roots = components(found)
-    for _ in range(HUB_ROUNDS):
-        pairs = written(_hub_pairs(sides, roots, stars, found, classes, near), "hubs")
-        if pairs.isEmpty():
-            break
-        texts = _with_texts(docs, texts, pairs, near)
-        stars = stars.unionByName(pairs)
-        found = written(found.unionByName(confirmed(pairs, texts, near)), "found")
-        roots = components(found)
-
-    placed = sides.join(roots, "node", "left").join(classes.select("node", "bits"), "node").withColumn("part", F.coalesce("root", "node"))
-    each = _keyed(placed, "part")
-    split = each.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    open_ = written(_keyed(placed, "part", "bits", "one", "two").join(split, "key", "left_semi"), "open")
-    side = lambda n: open_.select("key", "p", "q", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part", "bits", "one", "two")])
-    # a pair may share many keys: that of its least common tuples stands for them
-    once = (F.array_min(F.array_intersect("one_x", "one_y")) == F.col("p")) & (F.array_min(F.array_intersect("two_x", "two_y")) == F.col("q"))
-    met = side("x").join(side("y").drop("p", "q"), "key").where((F.col("part_x") < F.col("part_y")) & alike("bits_x", "bits_y", near) & once)
-    pairs = met.select(F.greatest("node_x", "node_y").alias("x"), F.least("node_x", "node_y").alias("y"))
-    rest = written(pairs.join(stars, ["x", "y"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return found, roots
-    more = written(confirmed(rest, _with_texts(docs, texts, rest, near), near), "more")
-    if more.isEmpty():
-        return found, roots
-    return found.unionByName(more), components(found.unionByName(more))
-
-
-def _hub_pairs(sides: DataFrame, roots: DataFrame, tried: DataFrame, found: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
-    """In each key that still has several components: its other members against the
-    class whose tried pairs were links most often.
-
-    Edited copies may be near their original and not near each other; the original
-    is then the class that nearly every comparison links to.
-    """
-    times = lambda d, n: d.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias(n))
-    share = times(tried, "tries").join(times(found, "hits"), "node", "left").select("node", ((F.coalesce("hits", F.lit(0)) + 1) / (F.col("tries") + 2)).alias("share"))
-    placed = sides.join(roots, "node", "left").join(share, "node", "left").withColumns({"part": F.coalesce("root", "node"), "share": F.coalesce("share", F.lit(0.0))})
-    each = _keyed(placed, "part", "share")
-    hubs = each.groupBy("key").agg(F.max(F.struct("share", "node", "part")).alias("hub"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", F.col("hub.node").alias("y"), F.col("hub.part").alias("hub_part"))
-    pairs = each.join(hubs, "key").where("part != hub_part").select(F.greatest("node", "y").alias("x"), F.least("node", "y").alias("y")).distinct()
-    return passing(pairs.join(tried, ["x", "y"], "left_anti"), classes, near)
-
 
-def _with_texts(docs: DataFrame, texts: DataFrame, pairs: DataFrame, near: Near) -> DataFrame:
-    """``texts`` and those of the pairs' classes that it lacks."""
-    missing = written(_ends(pairs).join(texts.select("node"), "node", "left_anti"), "missing")
-    return texts if missing.isEmpty() else texts.unionByName(texts_of(docs, missing, near))
+    laid = written(_hubs(sides, roots, stars, found), "hubs")
+    if laid.isEmpty():
+        return roots
+    missing = written(known.join(_ends(laid), "node", "left_semi").join(texts.select("node"), "node", "left_anti"), "missing")
+    if not missing.isEmpty():
+        texts = texts.unionByName(texts_of(docs, missing))
+    laid = written(against_hubs(laid, texts, near), "against")
+    to_hub = laid.where((F.col("x") != F.col("y")) & ((100 + near.percent) * F.col("kept") >= near.percent * (F.col("n") + F.col("hub_n")))).select("x", "y")
+    rest = written(under_hubs(laid, near).join(stars, ["x", "y"], "left_anti"), "rest")
+    return components(found.unionByName(to_hub).unionByName(confirmed(rest, texts, near)))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    return pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
 
 
-def near_components(docs: DataFrame, near: Near | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
-    near = near or Near()
+def _grouped(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n_shingles, node) of every row; (node, part, first) of every class,
+    where ``first`` is (no id, doc_id, h) of the least row of its component."""
     sketch = written(sketches(docs, near), "sketch")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     classes = written(
-        sketch.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("tuples").alias("tuples"), F.first("bits").alias("bits")), "classes"
+        sketch.where("n_shingles > 0").groupBy("node").agg(F.min(row).alias("least"), F.first("tuples").alias("tuples"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n_shingles"), F.min("h").alias("h")), "classes"
     )
-    _, roots = links(docs, classes, near)
-    part = F.coalesce("root", "node")
-    placed = classes.select("node", "least").join(roots, "node", "left").select("node", "least", part.alias("part"))
-    linked = placed.join(roots.select("node"), "node", "left_semi")
-    ids = linked.groupBy("part").agg(F.min("least").alias("joined"))
-    named = linked.join(ids, "part").select("node", "joined")
-    own = classes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("joined", "least").alias("component"))
-    rows = sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    roots = links(docs, classes, near)
+    linked = classes.select("node", "least").join(roots, "node")
+    firsts = linked.groupBy("root").agg(F.min("least").alias("joined"))
+    named = linked.join(firsts, "root").select("node", F.col("root").alias("part"), "joined")
+    own = classes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("part", "node").alias("part"), F.coalesce("joined", "least").alias("first"))
+    return sketch.select("doc_id", "h", "n_shingles", "node"), written(own, "firsts")
+
+
+def near_components(docs: DataFrame, near: Near | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    rows, firsts = _grouped(docs, near or Near())
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    met = rows.where("n_shingles > 0").join(own, "node").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    met = rows.where("n_shingles > 0").join(firsts, "node").select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
     return met.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def dedup(docs: DataFrame, near: Near | None = None) -> DataFrame:
     """``docs`` with one row of each component and all rows without words.
 
-    The row with the least doc_id stays; of rows that repeat both id and text, one.
-    Rows with a null id can't be told apart by id: they all stay.
+    The row with the least doc_id stays (a null id comes last, and of one id the
+    text with the least hash); of rows that repeat both id and text, one.
     """
-    placed = near_components(docs.where(F.col("doc_id").isNotNull()), near)
-    keep = placed.where("kept").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows, firsts = _grouped(docs, near or Near())
+    kept = firsts.groupBy("part").agg(F.first("first").alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.h").alias("__kh"))
+    many = rows.where("n_shingles > 0").groupBy("doc_id", "h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__kh"))
+    again = written(kept.join(many, kept["__id"].eqNullSafe(many["__id"]) & (kept["__kh"] == many["__kh"]), "left_semi"), "again")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.withColumns({"__h": F.xxhash64("text"), "__worded": worded})
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kh"))
+    out = own.where("__worded").join(kept, same, "left_semi").unionByName(own.where("not __worded"))
+    if not again.isEmpty():
+        once = own.where("__worded").join(again, same, "left_semi").dropDuplicates(["doc_id", "__h"])
+        out = out.join(again, same, "left_anti").unionByName(once)
+    return out.drop("__h", "__worded")
