@@ -82,18 +82,51 @@ def test_toxicity_finds_inserted_words():
                 ws[at] = rng.choice(insults)
         return " ".join(ws)
 
-    y = np.array([i % 2 for i in range(240)])
+    y = np.array([i % 2 for i in range(400)])
     model = toxicity.fit_texts([text(v) for v in y], y, 0.5)
     of = toxicity.Distance(model.ordinary, model.toxic)
-    score = lambda t: 1 / (1 + np.exp(-(np.array(of.features(t.lower().encode())) @ model.weights + model.bias)))
+    score = lambda t: 1 / (1 + np.exp(-(np.array(of.features(toxicity.plain(t))) @ model.weights + model.bias)))
     assert np.mean([score(text(1)) > 0.5 for _ in range(60)]) > 0.9 and np.mean([score(text(0)) > 0.5 for _ in range(60)]) < 0.1
     # an insult far into a long text counts as well
     assert score(text(0) + " " + text(0) + " " + " ".join(insults * 3)) > 0.5
 
 
+def test_toxicity_held_out():
+    """Learnt from the learnable rows alone; rated on the others, by class."""
+    import pandas as pd
+
+    docs, labels = (pd.read_parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = docs.merge(labels, on="doc_id").dropna(subset=["text"])
+    out = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id])
+    known = rows[~out & (rows.text.str.len() < toxicity.LONGEST)]
+    model = toxicity.fit_texts(known.text.tolist(), known.toxic.to_numpy(), known.toxic.mean())
+    of, held = toxicity.Distance(model.ordinary, model.toxic), rows[out]
+    score = 1 / (1 + np.exp(-(np.array([of.features(toxicity.plain(t)) for t in held.text]) @ model.weights + model.bias)))
+    toxic = held.toxic.to_numpy() == 1
+    assert (score[toxic] >= toxicity.CUT).mean() >= 0.75 and (score[~toxic] >= toxicity.CUT).mean() <= 0.06
+
+
+def test_dictionaries_are_the_trainers():
+    toxic = [b" the " + b" ".join([b"scoundrel", b"x%d" % i, b"blockhead"]) + b" of " for i in range(300)]
+    ordinary = [b" the fine x%d of all " % i for i in range(300)]
+    told = toxicity.stretches(toxic, ordinary)
+    assert told and all(b"scoundrel" in s or b"blockhead" in s for s in told) and not toxicity.stretches(toxic, toxic)
+    assert b"scoundrel" in toxicity.train(told * 3, 512) and toxicity.train([b"a"], 512) == b""
+    same = toxicity.distinct([b" " + b" ".join(b"w%d" % (i * j % 97) for i in range(80)) + b" " for j in (3, 3, 5)])
+    assert len(same) == 2
+    assert toxicity.windows(b"") == [b""] and b"".join(w[:112] for w in toxicity.windows(bytes(range(250)) * 3))[:750] == bytes(range(250)) * 3
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     assert {r.score for r in toxicity.score(odd_rows(spark), toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score(odd_rows(spark), model)
+    assert out.columns.count("score") == 1 and out.count() == 6 and out.where("score between 0 and 1").count() == 6
+    empty = {r.score for r in out.where("coalesce(text, '') = ''").collect()}
+    assert len(empty) == 1 and toxicity.score(docs.limit(0), model).count() == 0
+    both = labels.unionByName(labels.withColumn("toxic", 1 - F.col("toxic")))
+    assert toxicity.fit(docs, both) is None
 
 
 def test_language_id(spark):

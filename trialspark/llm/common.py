@@ -44,13 +44,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def apart(docs: DataFrame, reads: tuple[str, ...], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` on ``docs``, whose columns other than those it ``reads`` have other
+    names meanwhile: no result column takes the place of one of them."""
+    own = {c: c if c in reads else f"__own_{i}" for i, c in enumerate(docs.columns)}
+    out = run(docs.select(*[q.alias(own[c]) for c, q in zip(docs.columns, quoted(docs.columns), strict=True)]))
+    return out.select(*[F.col(own[c]).alias(c) for c in docs.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one for tests."""
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder
+    of the context. Only a local session may have neither; it gets one in /tmp."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         set_dir = known.get() if known.isDefined() else None
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         set_dir = "/tmp/trialspark-checkpoints"
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
@@ -84,17 +100,22 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y) of the labels to learn from; an id labelled both 0 and 1 has none,
+    and a repeated one counts once."""
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("z"))
+    return known.where("y = z").select("doc_id", "y")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int) -> DataFrame:
     """(text, y) of at most ``per_class`` learnable documents of either class.
 
     They are those whose hashed id is least, among texts of ``longest`` bytes or
     less. Only the ids, at most twice ``per_class`` of them, are broadcast.
     """
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out()).select(
-        F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")
-    )
+    known = learnable(labels, label).withColumnRenamed("doc_id", "_id")
     few = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for y in (0, 1)]
-    ids = few[0].unionByName(few[1]).dropDuplicates(["_id"])
+    ids = few[0].unionByName(few[1])
     texts = docs.select(F.col("doc_id").alias("_id"), "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= longest))
     # an id that many rows repeat counts once
     return texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
@@ -224,7 +245,7 @@ def map_texts(docs: DataFrame, keep: list[str], make: Callable[[], Callable], fi
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in keep if c.lower() not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"])])
+    source = docs.select(*quoted(list(dict.fromkeys([*kept, "text"]))))
     schema = StructType([source.schema[c] for c in kept] + fields)
     names = schema.fieldNames()
 

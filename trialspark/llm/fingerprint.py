@@ -1,14 +1,22 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text is a bag of weighted terms: each pair of neighbouring words (with a mark
-before the first and after the last word), weighted by its count. Weights are whole
-numbers, so a term of weight w stands for its copies 1 to w, each with a 64-bit hash
-of its own; sample k is the copy whose hash is least after the k-th odd multiplier.
-Equal bags give equal samples, a copy that stays in a bag that shrinks stays its
-sample, and two bags agree in a sample with the chance of their generalised Jaccard
-similarity, however long they are. A sample is kept as 16 bits.
-
-A null text is empty; texts without a word share one fingerprint.
+before the first and after the last word), weighted by its count. Sample k of a bag
+is drawn by the gamma scheme for consistent weighted samples: every term has, for
+each k, two Gamma(2, 1) variates r and c and a uniform b, read off its 64-bit hash and
+k alone; for a weight w,
+
+    t = floor(ln w / r + b),  y = exp(r (t - b)),  a = c / (y exp(r)),
+
+and the sample is the (term, t) of least a. Equal bags give equal samples, and two
+bags agree in a sample with the chance of their generalised Jaccard similarity, the
+sum of least weights over the sum of largest. Variates belong to terms, not buckets,
+so long unrelated texts stay unlike. A sample is kept as 16 bits: unlike samples agree
+with a chance of 1 in 65,536.
+
+A null text is empty; texts without a word share one fingerprint. Long texts are
+sampled block by block; repeated rows have one fingerprint. Of columns that are kept,
+one named fingerprint gives way to the result.
 """
 
 from __future__ import annotations
@@ -25,32 +33,66 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from .common import Words, chunks, map_texts, mix, random_u64, text_buffers
 
 SAMPLES = 64
-#: Copies handled at a time, so that their hashes stay in the cache.
-BLOCK = 1 << 12
-_U = np.uint64
+#: Terms handled at a time, so that their variates stay in the cache.
+BLOCK = 1 << 10
+_U, _F = np.uint64, np.float32
 _EDGE = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
 
 
+def _uniform(bits: np.ndarray, shift: int, width: int) -> np.ndarray:
+    """``width`` bits of each word as a number inside (0, 1)."""
+    part = (bits >> _U(shift) & _U((1 << width) - 1)).astype(_F)
+    part += _F(0.5)
+    part *= _F(2.0**-width)
+    return part
+
+
 class Sampler:
     def __init__(self, samples: int = SAMPLES):
         self.odd = random_u64(np.random.RandomState(4242), samples) | _U(1)
         self.samples = samples
 
-    def signatures(self, copies: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(texts, samples) of 16 bits; the copies of text i are bounds[i]:bounds[i + 1]."""
+    def variates(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, c, r, b) of each term and sample."""
+        h = terms[:, None] * self.odd
+        h ^= h >> _U(32)
+        h *= _U(0xD6E8FEB86659FD93)
+        h ^= h >> _U(29)
+        c = _uniform(h, 40, 24)
+        c *= _uniform(h, 16, 24)
+        more = h * _U(0xA0761D6478BD642F)
+        more ^= more >> _U(32)
+        r = _uniform(more, 0, 16)
+        r *= _uniform(more, 16, 16)
+        return h, -np.log(c), -np.log(r), _uniform(more, 32, 16)
+
+    def signatures(self, terms: np.ndarray, weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(texts, samples) of 16 bits; the terms of text i are bounds[i]:bounds[i + 1]."""
         out = np.full((len(bounds) - 1, self.samples), ~_U(0))
-        for low in range(0, len(copies), BLOCK):
-            rows = copies[low : low + BLOCK, None] * self.odd
+        for low in range(0, len(terms), BLOCK):
+            part, weight = terms[low : low + BLOCK], weights[low : low + BLOCK]
+            h, c, r, b = self.variates(part)
+            name = h
+            down = r * (_F(1) - b)  # ln y + r where w = 1
+            heavy = np.flatnonzero(weight > 1)
+            if len(heavy):
+                t = np.floor(np.log(weight[heavy]).astype(_F)[:, None] / r[heavy] + b[heavy])
+                down[heavy] = r[heavy] * (t - b[heavy] + _F(1))
+                name[heavy] ^= mix(t.astype(_U))
+            c *= np.exp(-down)
+            # the bits of positive floats ascend as they do; the name comes along
+            rows = c.view(np.uint32).astype(_U) << _U(32)
+            rows |= name >> _U(32)
             first = max(int(np.searchsorted(bounds, low, "right")) - 1, 0)
             last = int(np.searchsorted(bounds, low + len(rows), "left"))
             inside = np.clip(bounds[first : last + 1] - low, 0, len(rows))
             some = np.flatnonzero(np.diff(inside))
             out[first + some] = np.minimum(out[first + some], np.minimum.reduceat(rows, inside[some], axis=0))
-        return (mix(out) >> _U(48)).astype(np.uint16)
+        return (mix(out & _U(0xFFFFFFFF)) >> _U(48)).astype(np.uint16)
 
 
-def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(copies, bounds): hashes of the copies of the terms of each text."""
+def terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, weights, bounds): hashes and counts of the terms of each text."""
     n, docs = len(words.hash), words.n_docs
     counts = words.counts()
     left = np.empty(n, _U)
@@ -63,13 +105,10 @@ def terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
     bits = max(docs - 1, 0).bit_length()
     order = np.argsort(pair if not bits else doc.astype(_U) << _U(64 - bits) | pair >> _U(bits))
     doc, pair = doc[order], pair[order]
-    at = np.arange(len(pair))
     fresh = np.ones(len(pair), bool)
     fresh[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
-    nth = at - np.maximum.accumulate(np.where(fresh, at, 0)) if len(at) else at
-    again = np.flatnonzero(nth)
-    pair[again] = mix(pair[again] + mix(nth[again].astype(_U)))
-    return pair, np.searchsorted(doc, np.arange(docs + 1))
+    starts = np.flatnonzero(fresh)
+    return pair[starts], np.diff(np.r_[starts, len(pair)]), np.searchsorted(doc[starts], np.arange(docs + 1))
 
 
 def signatures(texts: pa.Array, sampler: Sampler) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField
 
-from .common import map_texts
+from .common import map_texts, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -262,4 +262,4 @@ def mask(docs: DataFrame) -> DataFrame:
         return lambda texts: [pa.array([None if (t := v.as_py()) is None else mask_text(t) for v in texts], pa.string())]
 
     out = map_texts(docs, docs.columns, make, [StructField("text", StringType())])
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs.columns))

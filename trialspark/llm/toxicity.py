@@ -1,38 +1,52 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text (its commonest
-words), one on toxic text (the same, and the strings that toxic documents hold
-far more often). Both have one length. A text is cut into windows; each window is
+Two zstandard dictionaries are trained by the library's trainer: one on toxic text,
+one on ordinary text. From either class the trainer gets the stretches that the
+other class rarely holds (runs of byte n-grams whose share of documents differs more
+than chance explains), else both dictionaries would hold the same common syllables.
+Both then share one dictionary of all ordinary text behind their own, so that common
+words cost the same in either. A text is cut into overlapping windows; each window is
 compressed with either dictionary, and the bytes that the toxic one saves are the
-window's distance. A logistic function of the largest and the mean distances of a
-document, calibrated on labelled documents kept out of the dictionaries, is its
-score. Windows cover the whole text, lower-cased in A-Z, and overlap.
-
-A null text is empty; an empty text has no distance and gets the score of that.
-Without labels of both classes every score is 0.
+window's distance. A logistic function of a document's distances (the largest, sums
+of the largest, their mean, what exceeds a byte, and how many do), calibrated across
+two halves of the labelled documents, each rated by dictionaries of the other half,
+is its score.
+
+Windows cover the whole text, long texts too; A-Z count as a-z, and what is not a
+letter or beyond ASCII counts as a space. A null text is empty; an empty text has no
+distance and gets the score of that. Rows are scored one by one: ties, repeated rows
+and null ids don't matter. Columns named score or predicted give way to the results.
+An empty table gives no rows. Without learnable labels of both classes every score is
+0; where too little tells the classes apart to train a dictionary, it stays empty.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from .common import labelled_sample, map_texts
+from .common import labelled_sample, learnable, map_texts
 
 #: Labelled documents of either class at most, and their longest text in bytes:
 #: they reach the driver, so this bounds its memory.
-PER_CLASS, LONGEST = 1500, 1 << 14
+PER_CLASS, LONGEST = 3000, 1 << 14
 CUT = 0.3
 WINDOW, STEP = 128, 112
-_WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-_GRAMS = range(5, 13)
+#: Bytes of a class's own dictionary and of the shared one; the trainer's segment
+#: and smallest match.
+OWN_BYTES, SHARED_BYTES, SEGMENT, MATCH = 4096, 4096, 24, 8
+#: Bytes of the n-grams whose shares of documents are compared.
+GRAM = 6
+_WORD = re.compile(rb"[^\x00-\x60\x7b-\x7f]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_SIGNATURE = 8
 
 
 @dataclass(frozen=True)
@@ -43,68 +57,118 @@ class Toxicity:
     bias: float
 
 
-def _lower(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "replace").translate(_LOWER)
+def plain(text: str | None) -> bytes:
+    """Words in lower case between single spaces."""
+    return b" " + b" ".join(_WORD.findall((text or "").encode("utf-8", "replace").translate(_LOWER))) + b" "
+
+
+def windows(text: bytes, size: int = WINDOW, step: int = STEP) -> list[bytes]:
+    return [text[i : i + size] for i in range(0, max(1, len(text) - (size - step)), step)]
+
+
+def distinct(texts: list[bytes]) -> list[bytes]:
+    """Without near copies of earlier texts: what a group of copies repeats says
+    nothing about its class."""
+    odd = np.random.RandomState(8).randint(1, 1 << 31, _SIGNATURE) * 2 + 1
+    seen: list[set[int]] = [set() for _ in odd]
+    out = []
+    for text in texts:
+        words = text.split()
+        triples = np.array([zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(len(words) - 2, 1))], np.int64)
+        least = [int((triples * o & 0xFFFFFFFF).min()) for o in odd]
+        if sum(h in s for h, s in zip(least, seen, strict=True)) <= _SIGNATURE // 2:
+            out.append(text)
+            for h, s in zip(least, seen, strict=True):
+                s.add(h)
+    return out
 
 
-def _strings(text: bytes) -> set[bytes]:
-    out: set[bytes] = set()
-    for word in set(_WORD.findall(text)):
-        word = b" " + word + b" "
-        out.update(word[k : k + n] for n in _GRAMS for k in range(len(word) - n + 1))
+def _grams(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8).astype(np.int64)
+    out = np.zeros(max(len(data) - GRAM + 1, 0), np.int64)
+    for j in range(GRAM):
+        out = out << 8 | data[j : j + len(out)]
     return out
 
 
-def train_dictionaries(toxic: list[bytes], ordinary: list[bytes], strings: int = 600) -> tuple[bytes, bytes]:
+def _document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(_grams(t)) for t in texts)]), return_counts=True)
+
+
+def stretches(own: list[bytes], other: list[bytes]) -> list[bytes]:
+    """The runs of ``own`` texts whose n-grams are in too large a share of them.
+
+    An n-gram tells the class when the log likelihood ratio of its share beats the
+    logarithm of the number of n-grams, which chance rarely does for one of them.
+    """
+    grams, here = _document_counts(own)
+    if not len(grams) or not other:
+        return []
+    elsewhere, n_there = _document_counts(other)
+    at = np.minimum(np.searchsorted(elsewhere, grams), len(elsewhere) - 1)
+    there = np.where(elsewhere[at] == grams, n_there[at], 0)
+    expected = len(own) / (len(own) + len(other))
+    total = here + there
+    share = here / total
+    ratio = total * (share * np.log(share / expected) + np.where(share < 1, (1 - share) * np.log(np.maximum(1 - share, 1e-12) / (1 - expected)), 0))
+    telling = grams[(share > expected) & (ratio >= np.log(len(grams)))]
+    out = []
+    for text in own:
+        begins = np.flatnonzero(np.isin(_grams(text), telling))
+        if len(begins):
+            first = np.flatnonzero(np.r_[True, np.diff(begins) > GRAM])
+            last = np.r_[first[1:], len(begins)] - 1
+            out += [text[begins[a] : begins[b] + GRAM] for a, b in zip(first, last, strict=True)]
+    return out
+
+
+def train(samples: list[bytes], size: int) -> bytes:
+    """A dictionary by the library's trainer; empty where the samples don't do."""
+    import zstandard
+
+    if len(samples) < 8:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=MATCH).as_bytes()
+    except zstandard.ZstdError:  # too few bytes
+        return b""
+
+
+def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary contents."""
-    in_toxic, in_ordinary, words = Counter(), Counter(), Counter()
-    for t in toxic:
-        in_toxic.update(_strings(t))
-    for t in ordinary:
-        in_ordinary.update(s for s in _strings(t) if s in in_toxic)
-        words.update(_WORD.findall(t))
-    n, m, z = len(toxic), len(ordinary), {}
-    for s, a in in_toxic.items():
-        b = in_ordinary[s]
-        odds = np.log((a + 0.5) / (n - a + 0.5)) - np.log((b + 0.5) / (m - b + 0.5))
-        if a >= 4 and odds >= 3.5:
-            z[s] = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    chosen: list[bytes] = []
-    for s in sorted(z, key=lambda s: (-z[s], -len(s), s)):
-        if z[s] < 3.3 or len(chosen) >= strings:
-            break
-        if not any(s in c or c in s for c in chosen):
-            chosen.append(s)
-    common = b" ".join(w for w, _ in sorted(words.most_common(150), key=lambda x: (x[1], x[0])) if not any(s.strip() in w for s in chosen))
-    told = b"\n".join(chosen[::-1]) + b"\n"
-    # the ordinary dictionary holds the same strings in halves: ordinary text that
-    # shares a few letters with one gains as much there, only whole strings tell
-    halves = b"\n".join(part for c in chosen[::-1] for part in (c[: (len(c) + 1) // 2], c[(len(c) + 1) // 2 - 1 :])) + b"\n"
-    reach = max(len(told), len(halves))
-    return halves.rjust(reach, b"\n") + common, told.rjust(reach, b"\n") + common
+    shared = train([w for t in ordinary for w in windows(t, 256, 256)], SHARED_BYTES)
+    own = [train(stretches(a, b), OWN_BYTES) for a, b in ((ordinary, toxic), (toxic, ordinary))]
+    reach = max(map(len, own))
+    return own[0].rjust(reach, b"\n") + shared, own[1].rjust(reach, b"\n") + shared
 
 
 class Distance:
-    """Compressed lengths under both dictionaries."""
+    """Bytes that the toxic dictionary saves in each window."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         import zstandard as z
 
         params = z.ZstdCompressionParameters(
-            window_log=14, chain_log=14, hash_log=13, search_log=6, min_match=3, target_length=64,
+            format=z.FORMAT_ZSTD1_MAGICLESS, window_log=14, chain_log=14, hash_log=13, search_log=6, min_match=3, target_length=64,
             strategy=z.STRATEGY_BTULTRA2, write_content_size=False, write_checksum=False, write_dict_id=False,
         )
-        self._pair = [
-            z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params).compress
-            for d in (ordinary, toxic)
-        ]
+        self._pair = []
+        for content in (ordinary, toxic):
+            held = z.ZstdCompressionDict(content or b"\n" * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(compression_params=params)
+            self._pair.append(z.ZstdCompressor(dict_data=held, compression_params=params).compress)
+
+    def saved(self, text: bytes) -> np.ndarray:
+        ordinary, toxic = self._pair
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], float)
 
     def features(self, text: bytes) -> list[float]:
-        plain, toxic = self._pair
-        windows = (text[i : i + WINDOW] for i in range(0, max(1, len(text) - (WINDOW - STEP)), STEP))
-        saved = np.array([len(plain(w)) - len(toxic(w)) for w in windows], float)
-        top = np.sort(saved)[::-1]
-        return [top[0] / 10, top[:3].mean() / 10, top[:8].mean() / 10, saved.mean(), min(np.maximum(saved - 3, 0).sum(), 60) / 20, (saved >= 4).mean(), np.log1p(len(saved)) / 4]
+        saved = self.saved(text)
+        top = np.zeros(8)
+        best = np.sort(saved)[::-1][:8]
+        top[: len(best)] = best
+        over = np.maximum(saved - 1, 0)
+        return [top[0] / 4, top[:2].sum() / 8, top[:4].sum() / 16, top.sum() / 32, saved.mean(), np.log1p(over.sum()), np.log1p((over > 0).sum()), (over > 0).mean()]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -123,39 +187,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def fit_texts(texts: list[str], y: np.ndarray, toxic_share: float) -> Toxicity | None:
     """``toxic_share``: of the population, which the score is calibrated to."""
-    if len(set(y.tolist())) < 2:
+    classes = []
+    for label in (0, 1):
+        mine = sorted({plain(t) for t, v in zip(texts, y, strict=True) if v == label}, key=lambda t: (zlib.crc32(t), t))
+        classes.append(distinct(mine))
+    if not all(classes):
         return None
-    order = sorted(range(len(texts)), key=lambda i: (zlib_key(texts[i]), y[i]))
-    data, y = [_lower(texts[i]) for i in order], y[order]
-    half = np.arange(len(y)) % 2 == 0
-    folds, xs, ys = [(half, ~half), (~half, half)], [], []
-    for learn, rest in folds:
-        pair = train_dictionaries([data[i] for i in np.flatnonzero(learn & (y == 1))], [data[i] for i in np.flatnonzero(learn & (y == 0))])
-        of = Distance(*pair)
-        picked = np.flatnonzero(rest)[:1500]
-        xs += [of.features(data[i]) for i in picked]
-        ys += y[picked].tolist()
-    x, t = np.array(xs), np.array(ys, float)
+    x, t = [], []
+    for learn, rest in ((0, 1), (1, 0)):  # either half is rated by dictionaries of the other
+        of = Distance(*train_dictionaries(classes[1][learn::2], classes[0][learn::2]))
+        for label in (0, 1):
+            x += [of.features(d) for d in classes[label][rest::2]]
+            t += [label] * len(classes[label][rest::2])
+    t = np.array(t, float)
     share = min(max(t.mean(), 1e-6), 1 - 1e-6)
     weight = np.where(t == 1, toxic_share / share, (1 - toxic_share) / (1 - share))
-    w = _logistic(x, t, weight)
-    pair = train_dictionaries([d for d, v in zip(data, y, strict=True) if v == 1], [d for d, v in zip(data, y, strict=True) if v == 0])
-    return Toxicity(*pair, w[:-1], float(w[-1]))
-
-
-def zlib_key(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode("utf-8", "replace"))
+    w = _logistic(np.array(x), t, weight)
+    return Toxicity(*train_dictionaries(classes[1], classes[0]), w[:-1], float(w[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Toxicity | None:
-    from pyspark.sql import functions as F
-
-    from .common import held_out
-
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out())
-    share = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    share = learnable(labels, label).agg(F.avg("y")).first()[0]
     rows = labelled_sample(docs, labels, label, per_class, LONGEST).toPandas()
     return fit_texts(rows.text.tolist(), rows.y.to_numpy(int), float(share)) if len(rows) else None
 
@@ -170,7 +222,7 @@ def score(docs: DataFrame, model: Toxicity | None, keep: list[str] | None = None
             if of is None:
                 got = np.zeros(len(texts))
             else:
-                x = np.array([of.features(_lower(t.as_py())) for t in texts])
+                x = np.array([of.features(plain(t.as_py())) for t in texts])
                 got = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.bias, -30, 30)))
             return [pa.array(got, pa.float64()), pa.array((got >= CUT).astype(np.int32))]
 
