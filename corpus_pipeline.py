@@ -1,6 +1,11 @@
 """A corpus pipeline of five of the operators, each stage's output the next's input.
 
-Stages return the columns of documents; the last returns packed pieces.
+Stages return the columns of documents, extra ones included, whatever their names;
+the last returns packed pieces. A null or empty text, and one without a letter, fails
+the base rules. Rows that repeat an id are rows of their own up to near_dedup, which
+keeps one row of each group of near copies, repeats and null ids included. A very
+long text is read whole by every stage. An empty table gives no rows; without labels
+the base rules alone decide, and without learnable languages no document is told.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm import language_id, minhash_dedup, packing, pii, quality_rules
-from trialspark.llm.common import table, written
+from trialspark.llm.common import apart, quoted, table, written
 
 #: A language is taken as told when its posterior probability is this, at least.
 SURE = 0.5
@@ -18,19 +23,23 @@ SURE = 0.5
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
     ratio = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, ratio).where("kept").select(*docs.columns)
+    return apart(docs, ("doc_id", "text"), lambda d: quality_rules.judge(d, ratio).where("kept"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; lang becomes the told one."""
-    named = language_id.identify(docs, language_id.fit(docs))
-    told = named.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE))
-    return told.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    model = language_id.fit(docs)
+
+    def told(d: DataFrame) -> DataFrame:
+        named = language_id.identify(d, model)
+        return named.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).withColumn("lang", F.col("lang_pred"))
+
+    return apart(docs, ("doc_id", "text", "lang"), told)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at five words and a similarity of 0.8."""
-    return minhash_dedup.dedup(docs, minhash_dedup.Near()).select(*docs.columns)
+    return minhash_dedup.dedup(docs, minhash_dedup.Near()).select(*quoted(docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     masked = pii.mask(docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.char_length("text").cast("long"))
-    return masked.select(*docs.columns)
+    return masked.select(*quoted(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
