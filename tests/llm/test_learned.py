@@ -190,3 +190,42 @@ def test_quality_rules(spark):
 def test_counts_equal_brute_force(spark):
     d = spark.createDataFrame([("abcd",), ("abcde",), (None,), ("",)], "text string")
     assert quality_rules.count_ngrams(d).sum() == (2 + 1) + (3 + 2)
+
+
+def test_ratio_equals_brute_force(spark):
+    from trialspark.llm.common import text_buffers
+    import pyarrow as pa
+
+    docs, labels = table(spark, SF, "documents").limit(120), table(spark, SF, "labels")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in labels.where("quality = 1").where(~held_out()).collect()}
+
+    def bucket(gram):
+        return (int.from_bytes(bytes([len(gram)]) + gram, "big") * 0x9E3779B97F4A7C15 % (1 << 64)) >> 48
+
+    def grams(text):
+        data = (text or "").encode()
+        return [bucket(data[i : i + n]) for n in quality_rules.ORDERS for i in range(len(data) - n + 1)]
+
+    raw, target = np.zeros(quality_rules.BUCKETS), np.zeros(quality_rules.BUCKETS)
+    for i, text in texts.items():
+        np.add.at(raw, grams(text), 1)
+        if i in good and text is not None and len(text.encode()) <= quality_rules.LONGEST:
+            np.add.at(target, grams(text), 1)
+    data, offsets = text_buffers(pa.array(["abcde"]))
+    assert sorted(quality_rules.ngrams(data, offsets)[0].tolist()) == sorted(grams("abcde"))
+    p = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
+    mass = quality_rules.PRIOR * len(raw)
+    want = np.log((target + mass * p) / (target.sum() + mass)) - np.log(p)
+    assert np.allclose(quality_rules.fit(docs, labels), want)
+    ratio = quality_rules.fit(docs, labels)
+    for r in quality_rules.judge(docs, ratio, keep=["doc_id"]).collect():
+        own = grams(texts[r.doc_id])
+        llr = want[own].mean() if own else 0.0
+        assert abs(llr - r.llr) < 1e-6 and r.kept == (not r.base_failed and llr >= quality_rules.THRESHOLD)
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    d = spark.createDataFrame([(i, "some text here", f"l{min(i % 7, 4)}") for i in range(200)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(d).names) == 2

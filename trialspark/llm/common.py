@@ -245,17 +245,19 @@ def map_texts(docs: DataFrame, keep: list[str], make: Callable[[], Callable], fi
     """
     new = {f.name.lower() for f in fields}
     kept = [c for c in keep if c.lower() not in new]
-    source = docs.select(*quoted(list(dict.fromkeys([*kept, "text"]))))
-    schema = StructType([source.schema[c] for c in kept] + fields)
-    names = schema.fieldNames()
+    # plain names on the way: mapInArrow takes a dot in a name for a field of a struct
+    own = kept if "text" in kept else [*kept, "text"]
+    source = docs.select(*[q.alias(f"c{i}") for i, q in enumerate(quoted(own))])
+    schema = StructType([*source.schema.fields[: len(kept)], *fields])
+    names, last, at = schema.fieldNames(), len(kept), own.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + list(work(batch.column("text"))), names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:last], *work(batch.column(at))], names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *[f.name for f in fields])
 
 
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -170,7 +170,7 @@ def in_descending_order(docs: DataFrame) -> tuple[DataFrame, int]:
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))
     other = F.struct(F.col("closes").alias("part"), F.lit(True).alias("extra"))
     copies = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, other)).otherwise(F.array(own))
-    return at.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.part", "to.extra"), len(order)
+    return at.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.part", "to.extra"), order[-1] + 1
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     import hashlib
 
     dealt, parts = in_descending_order(docs)
-    ordered = dealt.repartition(max(parts, 1), "part").sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    ordered = dealt.repartitionById(max(parts, 1), F.col("part")).sortWithinPartitions("part", "extra", F.col("doc_id").desc_nulls_last(), "text")
     fields = [StructField("doc_id", LongType()), StructField("n_chars", LongType()), StructField("edited_sha256", StringType()), StructField("fingerprint", StringType()), StructField("edited_fingerprint", StringType()), StructField("near_edited", DoubleType()), StructField("near_next", DoubleType())]
     names = [f.name for f in fields]
 

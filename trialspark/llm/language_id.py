@@ -5,8 +5,12 @@ Counts by language come from a sample bounded per language, and the matrix of
 log probabilities is broadcast; a batch is scored by gathering its rows in numpy.
 Languages weigh the same beforehand.
 
-A text without a letter, and a null one, is ``und`` with score 0; so is every text
-where no language could be learnt. The score is the posterior probability.
+A text without a letter, and a null or empty one, is ``und`` with score 0; so is every
+text where no language could be learnt. The score is the posterior probability; of
+equally likely languages the first by name is told. Long texts are scored whole, in
+blocks. Repeated rows count as often as they stand; null ids are never learnt from.
+Kept columns named lang_pred or score give way to the results. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from .common import held_out, map_texts
 BUCKETS = 1 << 16
 #: Documents of a language to learn from, about (drawn by a hash of the id).
 PER_LANGUAGE = 4000
+#: Languages learnt at most, the commonest: the matrix that is broadcast has a column
+#: of 256 KB for each, however many stray values lang holds.
+LANGUAGES = 256
 #: Code points hashed at a time; longer texts are taken in blocks of this size.
 BLOCK = 1 << 19
 ORDERS = (1, 2, 3)
@@ -79,7 +86,7 @@ def _hashed(cps: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     names = sorted(sizes)
     if not names:
         return Languages([], np.zeros((BUCKETS, 0), np.float32))

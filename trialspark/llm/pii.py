@@ -5,10 +5,13 @@ transducers rewrites the text: homoglyphs and full-width forms to ASCII,
 spelled-out digits to digits, "[at]"/"(dot)" and the like to "@" and ".". Every
 output character keeps the source span it came from, so what the patterns find in
 the normalised text maps back to source characters. A found span is added when it
-holds a rewritten character and meets no span of its kind from the source.
+holds a rewritten character and meets no span of its kind from the source, or takes
+in whole what it meets ("+1 202 555 014 seven" ends a word after the plain number).
 
-Offsets are code points, ends exclusive. A null text is empty. Rows are handled
-one by one; ids may be null or repeated.
+Offsets are code points, ends exclusive. A null text is empty; an empty one has no
+spans. Rows are handled one by one, so that ties, repeats and null ids don't matter; a
+very long text costs some 20 bytes a character. Kept columns named as a result give
+way to it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField
@@ -82,10 +87,15 @@ def find(text: str) -> dict[str, list[Span]]:
 _LOOKALIKE = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅαορνΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwABEKMHOPCTYXIJSaopvABEZHIKMNOPTYX", strict=True))
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _SIGN_WORDS = {"at": "@", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
-_BRACKETED = re.compile(r"[\x20]*[\[({<][\x20]*(at|dot|punkt|point|punto|@|\.)[\x20]*[\])}>][\x20]*", re.I)
+_BRACKETED = re.compile(
+    r"[\x20]*[\[({<][\x20]*(at|dot|punkt|point|punto|@|\.)[\x20]*[\])}>][\x20]*|(?<=[A-Za-z0-9])[_*~-]{1,3}(at|dot)[_*~-]{1,3}(?=[A-Za-z0-9])|&(?:#64|\#x40|commat);()|&(?:\#46|\#x2e|period);()", re.I
+)
+# " @ " and " . " with spaces on both sides
+_LOOSE_SIGNS = re.compile(r"(?<=[A-Za-z0-9_%+-])(\x20*@\x20*)((?:[A-Za-z0-9-]+(?:\.|\x20+\.\x20+))+[A-Za-z]{2,})(?![A-Za-z0-9-])")
+_LOOSE_DOT = re.compile(r"\x20+\.\x20+")
 _SPOKEN = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
 # runs of spelled digits and numbers, one spelled digit at least
-_DIGIT_WORD = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9]+[\x20-]+)*(?:{_SPOKEN})(?:[\x20-]+(?:{_SPOKEN}|[0-9]+))*(?![A-Za-z0-9])", re.I)
+_DIGIT_WORD = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9]+[\s,-]+)*+(?:{_SPOKEN})(?:[\s,-]+(?:{_SPOKEN}|[0-9]+))*+(?![A-Za-z0-9])", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+")
 # "x at y dot z" in words is an address only with a country's or a common ending.
 _COUNTRIES = (
@@ -111,7 +121,9 @@ _LOCAL_DOTS = re.compile(rf"(?<![{_LOCAL}])(?:[{_LOCAL}]+\x20+dot\x20+)+[{_LOCAL
 _AT_DOTTED = re.compile(rf"(?<=[{_LOCAL}])(\x20+at\x20+)((?:[A-Za-z0-9-]{{2,}}(?:\.|\x20+dot\x20+))*[A-Za-z0-9-]{{2,}}\.{_END})(?![A-Za-z0-9-])", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])\x20+dot\x20+(?=[0-9])", re.I)
 #: A text without any of these has nothing to rewrite.
-_HINT = re.compile(r"[\[({<][\x20]*(?:at|dot|punkt|point|punto|@|\.)[\x20]*[\])}>]|\x20dot\x20|(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[\x20-]", re.I)
+_HINT = re.compile(
+    r"[\[({<][\x20]*(?:at|dot|punkt|point|punto|@|\.)[\x20]*[\])}>]|[\x20_*~-]dot[\x20_*~-]|\x20@|@\x20|\x20\.\x20|&(?:\#|commat|period)|(?<![A-Za-z])(?:" + _SPOKEN + r")(?![A-Za-z])", re.I
+)
 # beyond Latin letters and general punctuation, or invisible
 _LATIN = re.compile("[^\\x00-\\u024f\\u2000-\\u206f]|[\\u00ad\\u200b-\\u200d\\u2060]")
 
@@ -120,24 +132,29 @@ class Traced:
     """A rewritten text whose characters know their source span."""
 
     def __init__(self, text: str):
-        self.text, self.spans = text, [(i, i + 1) for i in range(len(text))]
-        self.new = [False] * len(text)
+        self.text = text
+        self.start = np.arange(len(text), dtype=np.int32)
+        self.end = self.start + 1
+        self.new = np.zeros(len(text), bool)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace spans (start, end, by), ascending and apart."""
-        text, spans, new, at = [], [], [], 0
+        text, at = [], 0
+        begins, ends, sizes = (np.array(x, np.int64) for x in zip(*((a, b, len(by)) for a, b, by in edits), strict=True))
         for start, end, by in edits:
-            text.append(self.text[at:start])
-            spans += self.spans[at:start]
-            new += self.new[at:start]
-            text.append(by)
-            source = (self.spans[start][0], self.spans[end - 1][1])
-            spans += [source] * len(by)
-            new += [True] * len(by)
+            text += [self.text[at:start], by]
             at = end
         self.text = "".join([*text, self.text[at:]])
-        self.spans = spans + self.spans[at:]
-        self.new = new + self.new[at:]
+        # each new character stands on the edit's first source character
+        take = np.ones(len(self.start), np.int64)
+        cover = np.zeros(len(take) + 1, np.int64)
+        np.add.at(cover, begins, 1)
+        np.add.at(cover, ends, -1)
+        take[np.cumsum(cover[:-1]) > 0] = 0
+        take[begins] = sizes
+        first, last = self.start[begins], self.end[ends - 1]
+        self.end[begins], self.new[begins], self.start[begins] = last, True, first
+        self.start, self.end, self.new = (np.repeat(x, take) for x in (self.start, self.end, self.new))
 
 
 def _plain_char(c: str) -> str | None:
@@ -154,6 +171,13 @@ def _plain_char(c: str) -> str | None:
     return None
 
 
+def _sign(found: re.Match) -> str:
+    word = found.group(1) or found.group(2)
+    if word:
+        return _SIGN_WORDS.get(word.lower(), word)
+    return "@" if found.group(3) is not None else "."
+
+
 def _digits_of(found: re.Match) -> str:
     return "".join(_DIGIT_WORDS.get(t.lower(), t) for t in _TOKEN.findall(found.group()))
 
@@ -170,8 +194,11 @@ def normalise(text: str) -> Traced | None:
     out = Traced(text)
     if odd:
         out.rewrite(odd)
-    if signs := [(m.start(), m.end(), _SIGN_WORDS.get(m.group(1).lower(), m.group(1))) for m in _BRACKETED.finditer(out.text)]:
+    if signs := [(m.start(), m.end(), _sign(m)) for m in _BRACKETED.finditer(out.text)]:
         out.rewrite(signs)
+    loose = [e for m in _LOOSE_SIGNS.finditer(out.text) if "\x20" in m.group() for e in [(*m.span(1), "@"), *((d.start() + m.start(2), d.end() + m.start(2), ".") for d in _LOOSE_DOT.finditer(m.group(2)))]]
+    if loose:
+        out.rewrite(loose)
     spelled = []
     for m in _SPELLED.finditer(out.text):
         labels = re.split(r"\.|\x20+dot\x20+", m.group(3).lower())
@@ -187,7 +214,7 @@ def normalise(text: str) -> Traced | None:
     for m in _AT_DOMAIN.finditer(out.text):
         own = _dots(m, 1)
         mixed.update(own)
-        if (own or any(out.new[m.start() : m.end()])) and (local := _LOCAL_DOTS.search(out.text, max(0, m.start() - 512), m.start())):
+        if (own or out.new[m.start() : m.end()].any()) and (local := _LOCAL_DOTS.search(out.text, max(0, m.start() - 512), m.start())):
             mixed.update(_dots(local, 0))
     mixed.update((*m.span(), ".") for m in _NUMBER_DOT.finditer(out.text))
     if mixed:
@@ -201,14 +228,17 @@ def find_disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Sp
     """Spans in the source of identifiers that only the normalised text shows."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     traced = normalise(text)
-    if traced is None or not any(traced.new):
+    if traced is None or not traced.new.any():
         return out
     for kind, spans in find(traced.text).items():
         known = plain[kind]
+        begins, ends = [x for x, _ in known], [y for _, y in known]
         for start, end in spans:
-            if any(traced.new[start:end]):
-                a, b = traced.spans[start][0], traced.spans[end - 1][1]
-                if not any(a < y and x < b for x, y in known):
+            if traced.new[start:end].any():
+                a, b = int(traced.start[start]), int(traced.end[end - 1])
+                # plain spans are apart and ascend; one that is met must be a part of the found one
+                low, high = bisect_right(ends, a), bisect_left(begins, b)
+                if all(a <= x and y <= b and (a, b) != (x, y) for x, y in known[low:high]):
                     out[kind].append((a, b))
     return out
 

@@ -9,8 +9,10 @@ mean, over its n-grams, of log p(target) - log p(raw); it is kept when the score
 is at least ``threshold`` and the base rules hold. The threshold decides each
 document by itself, so nothing is drawn.
 
-A null text is empty. An empty text fails the base rules. Without a trusted text
-all scores are 0, and the base rules decide.
+A null text is empty. An empty text fails the base rules. Long texts count and are
+scored whole; of equal scores all pass or none; repeated rows and null ids are rows
+like others. Kept columns named as a result give way to it. An empty table gives no
+rows. Without a trusted text all scores are 0, and the base rules decide.
 """
 
 from __future__ import annotations

@@ -12,7 +12,11 @@ spelled as byte pieces.
 
 The model must be of BPE kind with byte pieces and the identity normaliser, as
 piece_bpe_32k.model is. A null or empty text has no ids. Decoding gives the text
-back, save that a literal U+2581 reads as a space.
+back, save that a literal U+2581 reads as a space. A long text is cut at its units,
+and a unit of more than LONG_UNIT code points is relaxed with a heap, CACHED units at
+most are remembered: ids are the same either way. Rows are handled one by one, so
+ties, repeats and null ids don't matter; kept columns named as a result give way to
+it. An empty table gives no rows.
 """
 
 from __future__ import annotations
