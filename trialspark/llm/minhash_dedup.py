@@ -21,8 +21,9 @@ comparisons linked to. For sets x and y and a hub h,
 so two classes can be linked only if the first term alone is large enough for their
 sizes, which a class not linked to the hub satisfies with smaller ones only, or if
 they share a shingle that the hub lacks. Either is an equality join, on the size or
-on the shingle. The bound is exact: no link of two classes of a key is lost, and
-copies of an original that are near it and not near each other make no pairs.
+on the shingle; shingles that many classes share count as the hub's for the first.
+The bound is exact: no link of two classes of a key is lost, and copies of an original
+that are near it and not near each other make no pairs.
 
 A pair of the first pass goes on only if 256 one-bit minhashes agree about as often
 as a link's do: they may fall five standard deviations short, and sets of fewer than
@@ -62,6 +63,9 @@ BITS, FEW = 256, 16
 FILTER_BITS = 1 << 25
 #: Sizes of sets are told apart one by one below this, and to 1 in 256 above.
 EXACT_SIZES = 512
+#: Classes of a hub that share a shingle which the hub lacks, above which the shingle
+#: is no join key.
+FREQUENT = 64
 
 
 @dataclass(frozen=True)
@@ -277,33 +281,38 @@ def _size_class(n: Column) -> Column:
 
 def under_hubs(laid: DataFrame, near: Near) -> DataFrame:
     """Pairs (x, y) of classes in different components that the bound over their hub
-    does not rule out; one of them is not linked to the hub."""
+    does not rule out; one of them is not linked to the hub.
+
+    Added shingles that more than ``FREQUENT`` classes of a hub share are no join key:
+    a pair that shares no others is met by its sizes. So a shingle brings a class at
+    most ``FREQUENT`` partners to judge.
+    """
     p = near.percent
-    # sets linked to x have at most this many shingles, unless they share an added one
-    reach = F.floor(((100 + p) * F.col("kept") - p * F.col("n")) / F.lit(float(p)))
     linked = (100 + p) * F.col("kept") >= p * (F.col("n") + F.col("hub_n"))
     rows = laid.select(
-        F.col("y").alias("hub"), F.col("x").alias("node"), F.when(linked, F.col("hub_part")).otherwise(F.col("part")).alias("part"),
-        (~linked).alias("loose"), "n", "kept", reach.alias("reach"), "added",
+        F.col("y").alias("hub"), F.col("x").alias("node"), F.when(linked, F.col("hub_part")).otherwise(F.col("part")).alias("part"), (~linked).alias("loose"), "n", "kept", "added",
     )
     rows = written(rows, "laid")
-    side = lambda d, n, *more: d.select("hub", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part", "loose", "n", "kept", *more)])
-    apart = (F.col("part_x") != F.col("part_y")) & (~F.col("loose_y") | (F.col("node_x") < F.col("node_y")))
-
+    added = rows.select("hub", "node", "loose", F.explode("added").alias("s"))
+    common = added.groupBy("hub", "s").agg(F.count("*").alias("c"), F.max("loose").alias("some")).where("c > 1 and some").select("hub", "s", (F.col("c") > FREQUENT).alias("often"))
+    lists = added.join(common, ["hub", "s"]).groupBy("hub", "node").agg(F.collect_list("s").alias("shared"), F.collect_list(F.when(F.col("often"), F.col("s"))).alias("often"))
+    none = F.array().cast("array<bigint>")
+    rows = rows.drop("added").join(lists, ["hub", "node"], "left").withColumns({c: F.coalesce(c, none) for c in ("shared", "often")})
+    # a set that x may be linked to by hub and frequent shingles alone has at most this many
+    rows = written(rows.withColumn("reach", F.floor(((100 + p) * (F.col("kept") + F.size("often")) - p * F.col("n")) / F.lit(float(p)))), "shared")
+
+    side = lambda d, n, key: d.select("hub", key, *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part", "n", "kept", "shared", "often", "reach")])
+    enough = lambda c: (100 + p) * (F.least("kept_x", "kept_y") + F.size(F.array_intersect(f"{c}_x", f"{c}_y"))) >= p * (F.col("n_x") + F.col("n_y"))
+    apart = (F.col("part_x") != F.col("part_y")) & (F.col("node_x") != F.col("node_y"))
     least = F.ceil(F.col("n") * p / 100)
-    loose = rows.where(F.col("loose") & (F.col("reach") >= least))
-    asks = loose.select("*", F.explode(F.sequence(_size_class(least), _size_class(F.col("reach")))).alias("size"))
-    mine, other = side(asks, "x", "reach", "size").withColumnRenamed("size_x", "size"), side(rows.withColumn("size", _size_class(F.col("n"))), "y", "reach", "size").withColumnRenamed("size_y", "size")
-    explained = mine.join(other, ["hub", "size"]).where((F.col("node_x") != F.col("node_y")) & (F.col("part_x") != F.col("part_y")) & (F.col("n_y") <= F.col("reach_x")) & (F.col("n_x") <= F.col("reach_y")))
-
-    added = written(rows.where(F.size("added") > 0).select("hub", "node", "part", "loose", "n", "kept", F.explode("added").alias("s")), "added")
-    common = added.groupBy("hub", "s").agg(F.count("*").alias("c"), F.max("loose").alias("some")).where("c > 1 and some").select("hub", "s")
-    added = written(added.join(common, ["hub", "s"], "left_semi"), "shared")
-    met = side(added.where("loose"), "x", "s").withColumnRenamed("s_x", "s").join(side(added, "y", "s").withColumnRenamed("s_y", "s"), ["hub", "s"]).where(apart & (F.col("node_x") != F.col("node_y")))
-    met = met.groupBy("hub", "node_x", "node_y", "n_x", "n_y", "kept_x", "kept_y").agg(F.count("*").alias("c"))
-    met = met.where((100 + p) * (F.least("kept_x", "kept_y") + F.col("c")) >= p * (F.col("n_x") + F.col("n_y")))
+    asks = rows.where(F.col("loose") & (F.col("reach") >= least)).select("*", F.explode(F.sequence(_size_class(least), _size_class(F.col("reach")))).alias("size"))
+    by_size = side(asks, "x", "size").join(side(rows.withColumn("size", _size_class(F.col("n"))), "y", "size"), ["hub", "size"])
+    by_size = by_size.where(apart & (F.col("n_y") <= F.col("reach_x")) & (F.col("n_x") <= F.col("reach_y")) & enough("often"))
+    each = rows.select("*", F.explode(F.array_except("shared", "often")).alias("s"))
+    once = F.array_min(F.array_except(F.array_intersect("shared_x", "shared_y"), "often_x")) == F.col("s")
+    by_shingle = side(each.where("loose"), "x", "s").join(side(each, "y", "s"), ["hub", "s"]).where(apart & enough("shared") & once)
     pair = [F.greatest("node_x", "node_y").alias("x"), F.least("node_x", "node_y").alias("y")]
-    return explained.select(*pair).unionByName(met.select(*pair)).distinct()
+    return by_size.select(*pair).unionByName(by_shingle.select(*pair)).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
@@ -327,7 +336,7 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
         texts = texts.unionByName(texts_of(docs, missing))
     laid = written(against_hubs(laid, texts, near), "against")
     to_hub = laid.where((F.col("x") != F.col("y")) & ((100 + near.percent) * F.col("kept") >= near.percent * (F.col("n") + F.col("hub_n")))).select("x", "y")
-    rest = written(under_hubs(laid, near).join(stars, ["x", "y"], "left_anti"), "rest")
+    rest = written(passing(under_hubs(laid, near).join(stars, ["x", "y"], "left_anti"), classes, near), "rest")
     return components(found.unionByName(to_hub).unionByName(confirmed(rest, texts, near)))
 
 
