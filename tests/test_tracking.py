@@ -4,8 +4,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from trialspark.operators import tracking
-from trialspark.streaming.incremental import release
-from trialspark.streaming.sequential import SequentialTracker
+from trialspark.streaming.incremental import flush, release
+from trialspark.streaming.sequential import close, extend
 
 HOLES = [(200.0, 100.0), (100.0, 200.0)]
 DETECTION = "trial_id long, frame_index long, found boolean, cx double, cy double, area double, ax double, ay double, bx double, by double"
@@ -27,9 +27,12 @@ def both(spark, trials, target=0):
     plan = {(r.trial_id, r.frame_index): tuple(r)[1:] for r in got.collect()}
     twin = {}
     for t, frames in enumerate(trials):
-        s = SequentialTracker(HOLES, 10.0, target)
         names = [c.split()[0] for c in DETECTION.split(", ")][2:]
-        out = s.finish([s.push(i, dict(zip(names, f, strict=True))) for i, f in enumerate(frames)])
+        rows, memory = [], {}
+        each = [(i, dict(zip(names, f, strict=True))) for i, f in enumerate(frames)]
+        for low in range(0, len(each), 7):  # runs may come in parts
+            rows += extend(memory, each[low : low + 7], HOLES, 10.0)
+        out = close(rows, HOLES, 10.0, target)
         twin |= {(t, r[0]): r for r in out}
     return plan, twin
 
@@ -85,7 +88,14 @@ def test_window_plan_equals_the_sequential_tracker(spark, seed):
 
 
 def test_release_in_order():
-    out, upto = release({}, 0, [(2, "c"), (0, "a"), (1, "b"), (1, "x"), (4, "e"), (4, "y")], window=2)
+    out, upto = release(held := {}, 0, [(2, "c"), (0, "a"), (1, "b"), (1, "x"), (4, "e"), (4, "y")], window=2)
     assert [o[:2] for o in out if o[2] is None] == [(0, "a"), (1, "b"), (2, "c")] and upto == 3
     assert [o[2] for o in out if o[2]] == ["already passed", "duplicate"]
-    assert release({5: "", 6: ""}, 0, [(7, "")], window=2)[0] == [(7, None, "overflow")]
+    assert flush(held) == [(4, "e", None)] and not held
+
+
+def test_a_full_buffer_takes_the_awaited_frame():
+    out, upto = release({}, 0, [(1, "b"), (2, "c"), (0, "a")], window=2)
+    assert [o[1] for o in out] == ["a", "b", "c"] and upto == 3
+    out, upto = release(held := {5: "", 6: ""}, 0, [(7, "h"), (0, "a")], window=2)
+    assert out == [(7, None, "overflow"), (0, "a", None)] and upto == 1 and sorted(held) == [5, 6]

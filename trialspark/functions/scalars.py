@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 
-#: Steps of the frame ruler.
+# Steps of the frame ruler.
 TICK_STEPS = (1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 2500)
 
 
@@ -27,7 +27,8 @@ def gcd(a: Column, b: Column) -> Column:
 
 def reduce_rational(num: Column, den: Column) -> Column:
     by = gcd(num, den)
-    return F.struct((num / by).cast("long").alias("num"), (den / by).cast("long").alias("den"))
+    whole = lambda x: F.call_function("div", x.cast("long"), by)  # noqa: E731  exact beyond 2**53
+    return F.struct(whole(num).alias("num"), whole(den).alias("den"))
 
 
 def rational_to_number(r: Column) -> Column:
@@ -64,11 +65,31 @@ def tick_interval(frames: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    """m:ss"""
-    whole = half_up(seconds)
+    """m:ss of the whole seconds that have passed."""
+    whole = F.floor(seconds)
     return F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
 
 
+def format_time(seconds: Column) -> Column:
+    """m:ss.ff"""
+    minutes = F.floor(seconds / 60)
+    return F.concat(minutes.cast("string"), F.lit(":"), F.lpad(F.format_string("%.2f", seconds - minutes * 60), 5, "0"))
+
+
+def format_seconds(seconds: Column) -> Column:
+    return F.concat(F.format_string("%.2f", seconds), F.lit("s"))
+
+
+def short_name(name: Column) -> Column:
+    """The name, or its first 12 characters and an ellipsis where it has over 14."""
+    return F.when(F.length(name) > 14, F.concat(F.substring(name, 1, 12), F.lit("\u2026"))).otherwise(name)
+
+
+def dated_name(stem: Column, day: Column, ending: str) -> Column:
+    """stem-yyyy-mm-dd.ending"""
+    return F.concat(stem, F.lit("-"), F.date_format(day, "yyyy-MM-dd"), F.lit("." + ending))
+
+
 def format_size(size: Column) -> Column:
     mb = size / (1024 * 1024)
     return F.when(size < 1024 * 1024, F.concat(half_up(size / 1024).cast("string"), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", mb), F.lit(" MB")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import formula_column
@@ -75,28 +75,47 @@ def custom_scatter(rows: DataFrame, x: str, y: str) -> tuple[DataFrame, DataFram
     return both.where(~gap), both.agg(F.count_if(gap).alias("excluded"))
 
 
+def _with_top(rows: DataFrame, value: str, least: float) -> tuple[DataFrame, Column]:
+    """``rows`` beside the greatest value, an aggregate of one row."""
+    kind = dict(rows.dtypes)[value]
+    top = rows.agg(F.max(value).alias("_top"))
+    return rows.join(F.broadcast(top)), F.greatest(F.lit(least).cast(kind), F.col("_top"))
+
+
 def learning_curve(rows: DataFrame, added: DataFrame) -> DataFrame:
     """Latency by the trial's number in order of arrival. Trials are few beside
     frames: the one ordered window runs over trial rows only."""
     d = rows.join(added.select(F.col("trial_id").alias("video"), "added_at"), "video")
     order = Window.orderBy("added_at", "video")
-    top = F.greatest(F.lit(1.0), F.max("primaryLatencySeconds").over(Window.partitionBy()))
+    d, top = _with_top(d, "primaryLatencySeconds", 1.0)
     return d.select(F.row_number().over(order).cast("long").alias("trial"), "video", F.col("primaryLatencySeconds").alias("latency"), F.col("primaryLatencySeconds").isNull().alias("never"), top.alias("axis_top"))
 
 
 def cohort_comparison(rows: DataFrame) -> DataFrame:
-    top = F.greatest(F.lit(1).cast("long"), F.max("totalErrors").over(Window.partitionBy()))
+    rows, top = _with_top(rows, "totalErrors", 1)
     return rows.select("video", "primaryErrors", "totalErrors", "searchStrategy", top.alias("axis_top"))
 
 
-def cohort(videos: DataFrame, tracks: DataFrame, rois: DataFrame) -> DataFrame:
-    """Trials that can be reported: known, tracked, and with a region of interest."""
-    return videos.join(tracks.select("trial_id").distinct(), "trial_id", "left_semi").join(rois.select("trial_id"), "trial_id", "left_semi")
+def cohort(videos: DataFrame, tracks: DataFrame, rois: DataFrame, params: DataFrame | None = None, defaults: InvestigationParams = InvestigationParams()) -> DataFrame:
+    """Trials that can be reported: known, tracked, and with a region of interest;
+    each with the global parameters of investigations, of which there is one row, or
+    the defaults where there is none."""
+    known = videos.join(tracks.select("trial_id").distinct(), "trial_id", "left_semi").join(rois.select("trial_id"), "trial_id", "left_semi")
+    usual = {"radius_factor": F.lit(defaults.radius_factor), "min_frames": F.lit(defaults.min_frames).cast("long")}
+    if params is None:
+        return known.withColumns(usual)
+    one = params.limit(1).select(*[F.col(c).alias(f"_{c}") for c in usual])
+    return known.join(F.broadcast(one), how="left").withColumns({c: F.coalesce(f"_{c}", v) for c, v in usual.items()}).drop(*[f"_{c}" for c in usual])
 
 
-def status(videos: DataFrame, tracks: DataFrame, rois: DataFrame) -> DataFrame:
-    """is_defined and is_tracked of each trial."""
+def status(videos: DataFrame, tracks: DataFrame, rois: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """is_defined and is_tracked of each trial, and phase_percent, the share of its
+    frames that a running job has done (``done``: trial_id, frames_done, frames)."""
     t = tracks.select("trial_id").distinct().withColumn("is_tracked", F.lit(True))
     r = rois.select("trial_id").distinct().withColumn("is_defined", F.lit(True))
     d = videos.join(t, "trial_id", "left").join(r, "trial_id", "left")
-    return d.select(*videos.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_defined", "is_tracked")])
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("is_defined", "is_tracked")]
+    if done is None:
+        return d.select(*videos.columns, *flags)
+    share = F.floor(100 * F.col("frames_done") / F.nullif(F.col("frames"), F.lit(0)) + 0.5)
+    return d.join(done, "trial_id", "left").select(*videos.columns, *flags, share.alias("phase_percent"))

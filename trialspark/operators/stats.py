@@ -67,3 +67,18 @@ def mann_whitney(values: DataFrame, group: str, value: str, a: str = "A", b: str
     z = F.when(some, (F.col("u") - mu + F.when(F.col("u") < mu, 0.5).otherwise(-0.5)) / F.nullif(sigma, F.lit(0.0)))
     d = d.withColumn("z", z).withColumn("p", 2 * (1 - normal_cdf(F.abs(F.col("z")))))
     return d.select("u", "z", "p", "n_a", "n_b", ((F.col("n_a") < 8) | (F.col("n_b") < 8)).alias("small_sample"), (F.col("p") < 0.05).alias("significant"), "excluded")
+
+
+#: The measures that groups of trials are compared by.
+COMPARED = ("primary_latency_s", "total_latency_s", "primary_errors", "total_errors", "path_length_cm", "avg_speed_cm_s")
+
+
+def compare_groups(measures: DataFrame, groups: DataFrame, a: str = "A", b: str = "B") -> DataFrame:
+    """mann_whitney of each compared measure between two groups of trials.
+    ``groups``: trial_id, grp; trials of no group are left out."""
+    both = measures.join(groups.select("trial_id", "grp"), "trial_id")
+    rows = [mann_whitney(both.select("grp", F.col(m).cast("double").alias("value")), "grp", "value", a, b).withColumn("measure", F.lit(m)) for m in COMPARED]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

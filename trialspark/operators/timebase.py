@@ -12,22 +12,28 @@ def frame_times(runs: DataFrame) -> DataFrame:
     """(trial_id, frame_index, start_tick, delta, timescale) of every frame.
 
     ``runs``: trial_id, timescale, stts array<struct<count, delta>>. A run's first
-    tick and frame come from sums over the runs, not over frames, so a trial's
-    frames are made where its runs lie and no shuffle is needed.
+    tick and frame are running sums over the runs of its trial, one row a run, so a
+    trial of many runs costs their number.
     """
     frames = F.coalesce(F.aggregate("stts", F.lit(0).cast("long"), lambda n, r: n + r["count"]), F.lit(0))
     # explode would drop a trial without runs in silence
     checked = F.when(~(F.col("timescale") > 0), F.raise_error(F.lit("the timescale must be above zero"))).when(frames <= 0, F.raise_error(F.lit("no frames"))).otherwise(F.col("stts"))
-    placed = runs.select("trial_id", F.col("timescale").cast("long").alias("timescale"), F.posexplode(checked).alias("pos", "run"), "stts").select(
-        "trial_id",
-        "timescale",
-        "run.count",
-        F.col("run.delta").cast("long").alias("delta"),
-        F.aggregate(F.slice("stts", 1, F.col("pos")), F.lit(0).cast("long"), lambda t, r: t + r["count"].cast("long") * r["delta"].cast("long")).alias("tick0"),
-        F.aggregate(F.slice("stts", 1, F.col("pos")), F.lit(0).cast("long"), lambda n, r: n + r["count"].cast("long")).alias("frame0"),
-    )
-    each = placed.where(F.col("count") > 0).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count").cast("long") - 1)))
-    return each.select("trial_id", (F.col("frame0") + F.col("i")).alias("frame_index"), (F.col("tick0") + F.col("i") * F.col("delta")).alias("start_tick"), "delta", "timescale")
+    each = runs.select("trial_id", F.col("timescale").cast("long").alias("timescale"), F.posexplode(checked).alias("pos", "run"))
+    each = each.select("trial_id", "timescale", "pos", F.col("run.count").cast("long").alias("count"), F.col("run.delta").cast("long").alias("delta"))
+    before = Window.partitionBy("trial_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    placed = each.withColumns({"frame0": F.coalesce(F.sum("count").over(before), zero), "tick0": F.coalesce(F.sum(F.col("count") * F.col("delta")).over(before), zero)})
+    made = placed.where(F.col("count") > 0).withColumn("i", F.explode(F.sequence(zero, F.col("count") - 1)))
+    return made.select("trial_id", (F.col("frame0") + F.col("i")).alias("frame_index"), (F.col("tick0") + F.col("i") * F.col("delta")).alias("start_tick"), "delta", "timescale")
+
+
+def time_of(times: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(trial_id, frame_index, seconds) of wanted frames; a frame that the trial
+    does not have is an error."""
+    d = wanted.join(times.select("trial_id", "frame_index", "start_tick", "timescale"), ["trial_id", "frame_index"], "left")
+    seconds = F.col("start_tick") / F.col("timescale")
+    out_of_range = F.raise_error(F.concat(F.lit("no frame "), F.col("frame_index").cast("string"))).cast("double")
+    return d.select("trial_id", "frame_index", F.when(F.col("start_tick").isNull(), out_of_range).otherwise(seconds).alias("seconds"))
 
 
 def jitter(deltas: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ trial's rows replace only its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.overlays import latest
 
 SCHEMA_VERSION = 7
+BUCKETS = 256
 
 
 def natural_key(name: Column, size: Column, modified: Column) -> Column:
@@ -20,9 +21,16 @@ def natural_key(name: Column, size: Column, modified: Column) -> Column:
 
 
 def save_tracks(tracks: DataFrame, path: str, detection: dict, tracker: dict) -> None:
-    """Tracks with the parameters that made them; trials in ``tracks`` are replaced."""
+    """Tracks with the parameters that made them. Buckets of trials that ``tracks``
+    holds are replaced, so it must hold the buckets' other trials as well."""
     kept = tracks.withColumns({**{f"detection_{k}": F.lit(v) for k, v in detection.items()}, **{f"tracker_{k}": F.lit(v) for k, v in tracker.items()}, "schema_version": F.lit(SCHEMA_VERSION)})
-    kept.repartition("trial_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trial_id").parquet(path)
+    bucketed = kept.withColumn("bucket", bucket())
+    bucketed.repartition("bucket").sortWithinPartitions("trial_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def bucket() -> Column:
+    """The folder of a trial: a fixed number of them, however many trials there are."""
+    return F.pmod(F.xxhash64("trial_id"), F.lit(BUCKETS)).cast("int")
 
 
 def append(log: DataFrame, path: str) -> None:
@@ -34,8 +42,9 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def read_trial(table: DataFrame, trial_id: object) -> DataFrame:
-    """A point read: the filter reaches the scan."""
-    return table.where(F.col("trial_id") == F.lit(trial_id))
+    """A point read: the filter reaches the scan, and one bucket where there are some."""
+    mine = table.where(F.col("trial_id") == F.lit(trial_id))
+    return mine.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(trial_id).cast(dict(table.dtypes)["trial_id"])), F.lit(BUCKETS))) if "bucket" in table.columns else mine
 
 
 def list_videos(videos: DataFrame) -> DataFrame:
@@ -68,11 +77,14 @@ def update_pins(pins: DataFrame, rois: DataFrame) -> DataFrame:
 
 
 def neighbour_pins(pins: DataFrame, at: DataFrame) -> DataFrame:
-    """The pins just before and after each (trial_id, frame_index)."""
-    d = at.join(pins.select("trial_id", F.col("frame_index").alias("pin")), "trial_id", "left")
-    return d.groupBy("trial_id", "frame_index").agg(
-        F.max(F.when(F.col("pin") < F.col("frame_index"), F.col("pin"))).alias("previous_pin"), F.min(F.when(F.col("pin") > F.col("frame_index"), F.col("pin"))).alias("next_pin")
-    )
+    """The pins just before and after each (trial_id, frame_index): pins and asked
+    frames in one order, read once in either direction."""
+    asked = at.select("trial_id", "frame_index", F.lit(None).cast("long").alias("pin"), F.lit(1).alias("asks")).distinct()
+    marks = pins.select("trial_id", "frame_index", F.col("frame_index").cast("long").alias("pin"), F.lit(0).alias("asks"))
+    by = Window.partitionBy("trial_id").orderBy("frame_index")  # a pin on the asked frame is neither
+    previous = F.last("pin", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, -1))
+    following = F.first("pin", ignorenulls=True).over(by.rangeBetween(1, Window.unboundedFollowing))
+    return asked.unionByName(marks).select("trial_id", "frame_index", "asks", previous.alias("previous_pin"), following.alias("next_pin")).where("asks = 1").drop("asks")
 
 
 def check_order(frames: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..params import TrackerParams
-from .sequential import SequentialTracker
+from .sequential import extend
 
 WINDOW = 32
 ORDERED = "trial_id long, frame_index long, payload string, error string"
@@ -22,32 +22,48 @@ ORDERED = "trial_id long, frame_index long, payload string, error string"
 
 def release(held: dict[int, str], upto: int, arrived: list[tuple[int, str]], window: int = WINDOW) -> tuple[list[tuple[int, str | None, str | None]], int]:
     """Frames in order that can go now, as (index, payload, error), and the next
-    index that is waited for. ``held`` is changed."""
+    index that is waited for. ``held`` is changed.
+
+    The awaited frame always goes, and what it held up with it; only then may no
+    more than ``window`` frames wait: one that comes beyond that is an error row.
+    """
     out: list[tuple[int, str | None, str | None]] = []
     for index, payload in arrived:
-        if index < upto:
-            out.append((index, None, "already passed"))
-        elif index in held:
-            out.append((index, None, "duplicate"))
-        elif len(held) >= window:
+        if index < upto or index in held:
+            out.append((index, None, "already passed" if index < upto else "duplicate"))
+            continue
+        held[index] = payload
+        while upto in held:
+            out.append((upto, held.pop(upto), None))
+            upto += 1
+        if len(held) > window:
+            del held[index]
             out.append((index, None, "overflow"))
-        else:
-            held[index] = payload
-            while upto in held:
-                out.append((upto, held.pop(upto), None))
-                upto += 1
     return out, upto
 
 
+def flush(held: dict[int, str]) -> list[tuple[int, str | None, str | None]]:
+    """All frames that still wait, in order: for a trial that has ended."""
+    out = [(i, held[i], None) for i in sorted(held)]
+    held.clear()
+    return out
+
+
 def reorder(stream: DataFrame, window: int = WINDOW) -> DataFrame:
     """``stream``: trial_id, frame_index, payload. Emits each trial's frames in
-    ascending order, at most ``window`` held back."""
+    ascending order, at most ``window`` held back. A row without a frame_index ends
+    its trial: what is held goes."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         upto, indices, payloads = state.get if state.exists else (0, [], [])
         held = dict(zip(indices, payloads, strict=True))
         for pdf in batches:
-            out, upto = release(held, upto, list(zip(pdf.frame_index.tolist(), pdf.payload.tolist(), strict=True)), window)
+            ends = pdf.frame_index.isna()
+            rows = pdf[~ends]
+            out, upto = release(held, upto, list(zip(rows.frame_index.astype(int).tolist(), rows.payload.tolist(), strict=True)), window)
+            if ends.any():
+                upto = max([upto, *(i + 1 for i in held)])
+                out += flush(held)
             yield pd.DataFrame([(key[0], *r) for r in out], columns=["trial_id", "frame_index", "payload", "error"])
         state.update((upto, list(held), list(held.values())))
 
@@ -64,15 +80,21 @@ def track_stream(stream: DataFrame, holes: list[tuple[float, float]], hole_radiu
     import json
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker = SequentialTracker(holes, hole_radius, None, params)
-        if state.exists:
-            tracker.load(json.loads(state.get[0]))
+        memory = json.loads(state.get[0]) if state.exists else {}
         for pdf in batches:
-            rows: list[tuple[Any, ...]] = []
-            for r in pdf.sort_values("frame_index").to_dict("records"):
-                t = tracker.push(int(r["frame_index"]), r)
-                rows.append((key[0], *t))
+            frames = [(int(r["frame_index"]), r) for r in pdf.sort_values("frame_index").to_dict("records")]
+            rows: list[tuple[Any, ...]] = [(key[0], *t) for t in extend(memory, frames, holes, hole_radius, params)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK.split(", ")]).astype({"hole_index": "Int64"})
-        state.update((json.dumps(tracker.dump()),))
+        state.update((json.dumps(memory),))
 
     return stream.groupBy("trial_id").applyInPandasWithState(step, TRACK, "memory string", "append", GroupStateTimeout.NoTimeout)
+
+
+def progress(query) -> list[dict]:
+    """{batch, framesProcessed, inputRowsPerSecond} of the query's recent triggers, the
+    frames summed up: what a reviewer's progress bar shows."""
+    done, out = 0, []
+    for p in query.recentProgress:
+        done += p["numInputRows"]
+        out.append({"batch": p["batchId"], "framesProcessed": done, "rowsPerSecond": p.get("inputRowsPerSecond")})
+    return out
