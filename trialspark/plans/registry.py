@@ -16,7 +16,7 @@ from ..functions import geometry as g
 from ..functions import scalars
 from ..functions.formula import formula_column
 from ..operators import investigations as inv
-from ..operators import measures, occupancy, overlays, report, roi, stats, strategy, timebase, tracking
+from ..operators import edits, measures, occupancy, overlays, report, roi, stats, strategy, timebase, tracking
 from ..params import InvestigationParams
 from ..sources import tables
 from ..vision import detect, maze
@@ -367,7 +367,7 @@ def _trial_rows(t: Trials) -> DataFrame:
 
 _TRIAL = f"""SELECT m.trial_id AS video, frames AS "frameCount", round(seconds, 3) AS "durationSeconds", {DIAMETER}::DOUBLE AS "platformDiameterCm", target_hole + 1 AS "targetHole",
   round(CASE WHEN m.trial_id % 10 = 0 THEN 12.5 ELSE primary_latency_s END, 3) AS "primaryLatencySeconds", round(total_latency_s, 3) AS "totalLatencySeconds", primary_errors AS "primaryErrors", CASE WHEN m.trial_id % 10 = 0 THEN 7 ELSE total_errors END AS "totalErrors",
-  round(path_length_cm, 3) AS "pathLengthCm", round(CASE WHEN m.trial_id % 10 = 0 THEN 3.25 ELSE q_target_s END, 3) AS "quadrant1TargetSeconds", round(q_opposite_s, 3) AS "quadrant3OppositeSeconds",
+  round(path_length_cm, 3) AS "pathLengthCm", round(CASE WHEN m.trial_id % 10 = 0 THEN 3.25 ELSE q_target_s END, 3) AS "quadrant1TargetSeconds", round(q_opposite_s, 3) AS "quadrant3OppositeSeconds", round(q_cw_s, 3) AS "quadrant2Seconds", round(q_ccw_s, 3) AS "quadrant4Seconds", round(avg_speed_cm_s, 9) AS "averageSpeedCmPerSecond", '30' AS "frameRateFps",
   CASE WHEN m.trial_id % 20 = 0 THEN 'serial' ELSE label END AS "searchStrategy", 1.5::DOUBLE AS "investigationRadiusFactor", 3::BIGINT AS "investigationMinFrames"
 FROM measures m JOIN roi USING (trial_id) LEFT JOIN labelled l ON l.trial_id = m.trial_id JOIN (SELECT trial_id, count(*) AS frames, (max(us) - min(us)) / 1e6::DOUBLE AS seconds FROM det GROUP BY trial_id) b ON b.trial_id = m.trial_id"""
 
@@ -375,8 +375,8 @@ FROM measures m JOIN roi USING (trial_id) LEFT JOIN labelled l ON l.trial_id = m
 @query(_TRIAL)
 @trials
 def trial_rows(t: Trials) -> DataFrame:
-    d = _trial_rows(t).drop("frameRateFps", "averageSpeedCmPerSecond", "quadrant2Seconds", "quadrant4Seconds", "searchStrategyReasoning", "toolVersion")
-    return d.withColumns({c: F.round(c, 3) for c in ("primaryLatencySeconds", "totalLatencySeconds", "pathLengthCm", "quadrant1TargetSeconds", "quadrant3OppositeSeconds")})
+    d = _trial_rows(t).drop("searchStrategyReasoning", "toolVersion").withColumn("averageSpeedCmPerSecond", F.round("averageSpeedCmPerSecond", 9))
+    return d.withColumns({c: F.round(c, 3) for c in ("quadrant2Seconds", "quadrant4Seconds", "primaryLatencySeconds", "totalLatencySeconds", "pathLengthCm", "quadrant1TargetSeconds", "quadrant3OppositeSeconds")})
 
 
 @query(f"""SELECT video, round("pathLengthCm" / ("totalErrors" + 1.37::DOUBLE), 3) AS x, round(-("quadrant1TargetSeconds" - "quadrant3OppositeSeconds") * 2 / nullif("totalErrors" - 3, 0), 3) AS y FROM ({_TRIAL})""")
@@ -446,13 +446,18 @@ def quadrant_of(t: Trials) -> DataFrame:
 
 
 @query("""SELECT p_partkey, CASE WHEN den = 1 THEN num::VARCHAR ELSE printf('%.3f', num / den::DOUBLE + 1e-9) || ' (' || num || '/' || den || ')' END AS fps, CASE WHEN 1 >= n / 40.0 THEN 1 WHEN 2 >= n / 40.0 THEN 2 WHEN 5 >= n / 40.0 THEN 5 WHEN 10 >= n / 40.0 THEN 10 WHEN 25 >= n / 40.0 THEN 25 WHEN 50 >= n / 40.0 THEN 50 ELSE 100 END AS step,
-  (n // 60) || ':' || lpad((n % 60)::VARCHAR, 2, '0') AS length, regexp_replace(regexp_replace(p_name || ' v1.mp4', '\\.[^.]*$', ''), '[^A-Za-z0-9_-]', '_', 'g') AS stem
-FROM (SELECT p_partkey, p_name, p_partkey // gcd(p_partkey, p_size) AS num, p_size // gcd(p_partkey, p_size) AS den, p_partkey % 4000 AS n FROM part)""", plain=True)
+  (floor(s)::BIGINT // 60) || ':' || lpad((floor(s)::BIGINT % 60)::VARCHAR, 2, '0') AS length, (floor(s)::BIGINT // 60) || ':' || lpad(printf('%.2f', s - 60 * (floor(s)::BIGINT // 60)), 5, '0') AS "time", printf('%.2fs', s) AS seconds,
+  CASE WHEN length(p_name) > 14 THEN substr(p_name, 1, 12) || '…' ELSE p_name END AS short, regexp_replace(regexp_replace(p_name || ' v1.mp4', '\\.[^.]*$', ''), '[^A-Za-z0-9_-]', '_', 'g') AS stem, regexp_replace(p_name, '[^A-Za-z0-9_-]', '_', 'g') || '-2024-02-03.csv' AS dated
+FROM (SELECT p_partkey, p_name, p_partkey // gcd(p_partkey, p_size) AS num, p_size // gcd(p_partkey, p_size) AS den, p_partkey % 4000 AS n, p_partkey % 4000 + p_partkey % 4 * 0.25::DOUBLE AS s FROM part)""", plain=True)
 def scalar_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey") % 4000
     r = scalars.reduce_rational(F.col("p_partkey"), F.col("p_size"))
-    d = table(spark, sf_dir, "part").select("p_partkey", "p_name", r.alias("r"), n.alias("n"))
-    return d.select("p_partkey", scalars.format_fps(F.col("r")).alias("fps"), scalars.tick_interval(F.col("n")).alias("step"), scalars.format_duration(F.col("n")).alias("length"), scalars.file_stem(F.concat("p_name", F.lit(" v1.mp4"))).alias("stem"))
+    d = table(spark, sf_dir, "part").select("p_partkey", "p_name", r.alias("r"), n.alias("n"), (n + F.col("p_partkey") % 4 * 0.25).alias("s"))
+    return d.select(
+        "p_partkey", scalars.format_fps(F.col("r")).alias("fps"), scalars.tick_interval(F.col("n")).alias("step"), scalars.format_duration(F.col("s")).alias("length"), scalars.format_time(F.col("s")).alias("time"),
+        scalars.format_seconds(F.col("s")).alias("seconds"), scalars.short_name(F.col("p_name")).alias("short"), scalars.file_stem(F.concat("p_name", F.lit(" v1.mp4"))).alias("stem"),
+        scalars.dated_name(scalars.file_stem(F.col("p_name")), F.to_date(F.lit("2024-02-03")), "csv").alias("dated"),
+    )
 
 
 @query("""SELECT o_custkey AS trial_id, arg_max(o_totalprice, us) AS value FROM (SELECT *, epoch(o_orderdate)::BIGINT * 100000000 + o_orderkey AS us FROM orders) GROUP BY o_custkey HAVING arg_max(o_orderstatus, us) <> 'P'""", plain=True)
@@ -528,8 +533,10 @@ def circle_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT trial_id, round(atan2(sum(sin(a)), sum(cos(a))), 6) AS mean_angle FROM (SELECT trial_id, atan2(cy - 240, cx - 320) AS a FROM det WHERE found) GROUP BY trial_id")
 @trials
 def circular_mean(t: Trials) -> DataFrame:
-    a = F.atan2(F.col("cy") - CY, F.col("cx") - CX)
-    return t.detections.where("found").groupBy("trial_id").agg(F.round(F.atan2(F.sum(F.sin(a)), F.sum(F.cos(a))), 6).alias("mean_angle"))
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"trial_id": [pdf.trial_id.iloc[0]], "mean_angle": [round(maze.circular_mean(np.arctan2(pdf.cy - CY, pdf.cx - CX).to_numpy()), 6)]})
+
+    return t.detections.where("found").select("trial_id", "cx", "cy").groupBy("trial_id").applyInPandas(mean, "trial_id long, mean_angle double")
 
 
 def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -550,14 +557,14 @@ def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("trial_id", "frame_index", "found", "cx", "cy").mapInPandas(draw, "trial_id long, frame_index long, width int, height int, pixels binary")
 
 
-@query("SELECT trial_id, frame_index, found, CASE WHEN found THEN (cx::BIGINT % 120 + 120) % 120 + 15 + 6.5 END AS cx, CASE WHEN found THEN (cy::BIGINT % 80 + 80) % 80 + 15 + 3.5 END AS cy, CASE WHEN found THEN 112 ELSE 0 END::DOUBLE AS area FROM det WHERE trial_id < 8 AND frame_index < 40")
+@query("SELECT trial_id, frame_index, found, CASE WHEN found THEN (cx::BIGINT % 120 + 120) % 120 + 15 + 6.5 END AS cx, CASE WHEN found THEN (cy::BIGINT % 80 + 80) % 80 + 15 + 3.5 END AS cy, CASE WHEN found THEN 112 ELSE 0 END::DOUBLE AS area FROM det")
 def detect_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _scenes(spark, sf_dir)
     d = detect.detect(frames, detect.backgrounds(frames))
     return d.select("trial_id", "frame_index", "found", "cx", "cy", "area")
 
 
-@query()
+@query("SELECT n_nationkey AS trial_id, true AS ok, 20 AS hole_count, 20 AS matched_holes, 82.0::DOUBLE AS ring_radius, true AS turned_right FROM nation", plain=True)
 def detect_maze(spark: SparkSession, sf_dir: str) -> DataFrame:
     def draw(batches):
         for pdf in batches:
@@ -573,7 +580,117 @@ def detect_maze(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     frames = table(spark, sf_dir, "nation").select("n_nationkey").mapInPandas(draw, "trial_id int, width int, height int, pixels binary")
     d = maze.detect_mazes(frames)
-    return d.select("trial_id", "ok", "hole_count", "matched_holes", F.round("ring_radius", 1).alias("ring_radius"), F.round("rotation", 2).alias("rotation"))
+    slot = 2 * np.pi / 20
+    off = F.pmod(F.col("rotation") - (0.1 + 0.01 * F.col("trial_id")) + slot / 2, F.lit(slot)) - slot / 2
+    return d.select("trial_id", "ok", "hole_count", "matched_holes", F.round("ring_radius").alias("ring_radius"), (F.abs(off) < 0.01).alias("turned_right"))
+
+
+@query("""SELECT trial_id, id, CASE WHEN id = 'manual-1' THEN trial_id % 20 ELSE 5 END AS hole_index, CASE WHEN id = 'manual-1' THEN 4 ELSE 10 END::BIGINT AS start_frame,
+  CASE WHEN id = 'm-2' THEN 12 WHEN trial_id % 6 = 0 THEN 15 ELSE 9 END::BIGINT AS end_frame, CASE WHEN id = 'm-2' AND trial_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS ordinal
+FROM roi, (VALUES ('manual-1'), ('m-2')) v(id) WHERE (id = 'manual-1' AND trial_id % 3 = 0 AND trial_id % 9 <> 0) OR (id = 'm-2' AND trial_id % 2 = 0)""")
+@trials
+def edit_manual(t: Trials) -> DataFrame:
+    """Manual events after an addition, an update and a deletion."""
+    pick = lambda k, i: t.rois.where(f"trial_id % {k} = 0").select("trial_id", F.lit(i).alias("id"))
+    new = pick(2, "m-2").select("*", *[F.lit(v).cast("long").alias(c) for c, v in zip(edits.FIELDS, (5, 10, 12), strict=True)])
+    d = edits.add_manual(t.manual, new.unionByName(new))
+    d = edits.update_manual(d, pick(6, "manual-1").withColumn("end_frame", F.lit(15).cast("long")))
+    return edits.delete_manual(d, pick(9, "manual-1")).select("trial_id", "id", *edits.FIELDS, "ordinal")
+
+
+@query("""SELECT trial_id, id FROM (SELECT trial_id, start_frame, 'auto-' || start_frame AS id FROM auto) WHERE start_frame % 5 = 0 OR start_frame % 7 = 0""")
+@trials
+def edit_removed(t: Trials) -> DataFrame:
+    gone = t.auto.where("start_frame % 7 = 0").select("trial_id", scalars.auto_id(F.col("start_frame")).alias("id"))
+    return edits.remove_auto(edits.remove_auto(t.removed, gone), gone)
+
+
+@query("""SELECT trial_id, CASE WHEN trial_id % 10 = 0 AND trial_id % 15 <> 0 THEN 12.5 END::DOUBLE AS primary_latency_s, CASE WHEN trial_id % 4 = 0 THEN 2 ELSE 7 END::BIGINT AS total_errors,
+  CASE WHEN trial_id % 4 = 0 THEN 1.5 END::DOUBLE AS path_length_cm, CASE WHEN trial_id % 10 = 0 THEN 3.25 END::DOUBLE AS q_target_s, CASE WHEN trial_id % 20 = 0 AND trial_id % 40 <> 0 THEN 'serial' END AS search_strategy
+FROM roi WHERE trial_id % 10 = 0 OR trial_id % 4 = 0""")
+@trials
+def edit_overrides(t: Trials) -> DataFrame:
+    """Overrides after values were set and cleared."""
+    changes = t.rois.where("trial_id % 4 = 0").select("trial_id", F.lit(2).cast("long").alias("total_errors"), F.lit(1.5).alias("path_length_cm"))
+    cleared = t.rois.where("trial_id % 15 = 0").select("trial_id", F.lit("primary_latency_s").alias("key")).unionByName(t.rois.where("trial_id % 40 = 0").select("trial_id", F.lit("search_strategy").alias("key")))
+    d = edits.clear_overrides(edits.set_overrides(t.overrides, changes), cleared)
+    return d.select("trial_id", "primary_latency_s", "total_errors", "path_length_cm", "q_target_s", "search_strategy")
+
+
+@query("""SELECT trial_id, frame_index, CASE WHEN event_id % 97 = 0 THEN cx + 5 WHEN found THEN cx ELSE cx + 1 END AS cx, CASE WHEN event_id % 97 = 0 THEN cy - 5 WHEN found THEN cy ELSE cy + 1 END AS cy,
+  CASE WHEN event_id % 101 = 0 THEN cx + 1 WHEN event_id % 2 = 1 THEN cx + 9 END AS nx, CASE WHEN event_id % 101 = 0 THEN cy + 1 WHEN event_id % 2 = 1 THEN cy - 9 END AS ny
+FROM det WHERE (event_id % 97 = 0 OR event_id % 101 = 0) AND event_id % 194 <> 0""")
+@trials
+def edit_corrections(t: Trials) -> DataFrame:
+    """Corrections after noses were set and some frames reverted."""
+    points = t.detections.where("event_id % 101 = 0").select("trial_id", "frame_index", F.lit("nose").alias("which"), (F.col("cx") + 1).alias("x"), (F.col("cy") + 1).alias("y"))
+    d = edits.set_corrections(t.corrections, t.simple, points)
+    return edits.revert_corrections(d, t.detections.where("event_id % 194 = 0"))
+
+
+@query("SELECT trial_id, frame_index FROM det WHERE (event_id % 11 = 0) <> (event_id % 50 = 0)")
+@trials
+def pin_toggle(t: Trials) -> DataFrame:
+    pick = lambda k: t.detections.where(f"event_id % {k} = 0").select("trial_id", "frame_index")
+    return edits.toggle_pins(pick(11), pick(50))
+
+
+@query("SELECT o_custkey % 50 AS trial_id, o_orderkey AS seq, o_totalprice AS value FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey DESC) <= 20", plain=True)
+def edit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.history(table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("trial_id"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("value")))
+
+
+@query("""SELECT trial_id, click, frame_index, round(d, 6) AS d FROM (
+  SELECT c.trial_id, c.frame_index AS click, p.frame_index, sqrt((p.cx - c.cx - 2) * (p.cx - c.cx - 2) + (p.cy - c.cy + 1) * (p.cy - c.cy + 1)) AS d FROM det c JOIN det p ON p.trial_id = c.trial_id AND p.found WHERE c.event_id % 40 = 0)
+WHERE d < 14 QUALIFY row_number() OVER (PARTITION BY trial_id, click ORDER BY d, frame_index) = 1""")
+@trials
+def nearest_click(t: Trials) -> DataFrame:
+    clicks = t.detections.where("event_id % 40 = 0").select("trial_id", F.col("frame_index").alias("click"), (F.col("cx") + 2).alias("x"), (F.col("cy") - 1).alias("y"))
+    return r6(edits.nearest_point(t.simple, clicks), "d")
+
+
+@query("SELECT trial_id, 2.5::DOUBLE AS radius_factor, 4::BIGINT AS min_frames FROM (SELECT user_id AS trial_id, count(*) FILTER (event_type <> 'error') > 0 AS a, count(*) FILTER (event_type = 'purchase') > 7 AS b FROM events GROUP BY user_id) WHERE a AND b", plain=True)
+@trials
+def cohort_assembly(t: Trials) -> DataFrame:
+    videos = t.detections.select("trial_id").distinct()
+    busy = table(t.spark, t.sf_dir, "events").where("event_type = 'purchase'").groupBy(F.col("user_id").alias("trial_id")).count().where("count > 7")
+    params = table(t.spark, t.sf_dir, "region").where("r_regionkey = 0").select(F.lit(2.5).alias("radius_factor"), F.lit(4).cast("long").alias("min_frames"))
+    return report.cohort(videos, busy, t.rois, params)
+
+
+@query("SELECT user_id AS trial_id, floor(100.0::DOUBLE * count(*) FILTER (event_type = 'click') / count(*) + 0.5)::BIGINT AS phase_percent, count(*) FILTER (event_type <> 'error') > 0 AS is_defined FROM events GROUP BY user_id", plain=True)
+@trials
+def job_status(t: Trials) -> DataFrame:
+    events = table(t.spark, t.sf_dir, "events").groupBy(F.col("user_id").alias("trial_id")).agg(F.count_if(F.col("event_type") == "click").alias("frames_done"), F.count("*").alias("frames"))
+    videos = t.detections.select("trial_id").distinct()
+    return report.status(videos, videos, t.rois, events).select("trial_id", "phase_percent", "is_defined")
+
+
+_SIX = " UNION ALL ".join(f"SELECT trial_id, '{m}' AS measure, round({m}::DOUBLE, 6) AS x FROM measures" for m in stats.COMPARED)
+
+
+@query(f"""SELECT measure, round(u, 3) AS u, round(z, 6) AS z, round(2 * (1 - {_CDF}), 6) AS p, na::BIGINT AS n_a, nb::BIGINT AS n_b, na < 8 OR nb < 8 AS small_sample, excluded FROM (
+  SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS k FROM (
+    SELECT *, (u - na * nb / 2 + CASE WHEN u < na * nb / 2 THEN 0.5 ELSE -0.5 END) / sqrt(na * nb * (na + nb + 1) / 12) AS z FROM (
+      SELECT *, least(ra - na * (na + 1) / 2, na * nb - (ra - na * (na + 1) / 2)) AS u FROM (
+        SELECT measure, (count(*) FILTER (grp = 'A' AND x IS NOT NULL))::DOUBLE AS na, (count(*) FILTER (grp = 'B' AND x IS NOT NULL))::DOUBLE AS nb, sum(r) FILTER (grp = 'A' AND x IS NOT NULL) AS ra, count(*) FILTER (x IS NULL) AS excluded FROM (
+          SELECT *, rank() OVER (PARTITION BY measure ORDER BY x NULLS LAST) + (count(*) OVER (PARTITION BY measure, x) - 1) / 2.0::DOUBLE AS r FROM (
+            SELECT measure, x, CASE trial_id % 3 WHEN 0 THEN 'A' ELSE 'B' END AS grp FROM ({_SIX}) WHERE trial_id % 3 < 2)) GROUP BY measure))))""")
+@trials
+def cohort_statistics(t: Trials) -> DataFrame:
+    """Six measures of two groups of trials, some of which have no value."""
+    groups = t.rois.where("trial_id % 3 < 2").select("trial_id", F.when(F.col("trial_id") % 3 == 0, "A").otherwise("B").alias("grp"))
+    d = t.measures.withColumns({m: F.round(F.col(m).cast("double"), 6) for m in stats.COMPARED})
+    out = stats.compare_groups(d, groups).drop("significant")
+    return out.withColumns({"u": F.round("u", 3), "z": F.round("z", 6), "p": F.round("p", 6)})
+
+
+@query(f"""WITH runs AS ({_RUNS}), each AS (
+  SELECT trial_id, timescale, unnest(range(0, c0)) AS i, 0 AS pos, d0 AS delta FROM runs UNION ALL SELECT trial_id, timescale, unnest(range(0, c1)), 1, d1 FROM runs)
+SELECT * FROM (SELECT trial_id, row_number() OVER w - 1 AS frame_index, round((sum(delta) OVER w - delta) / timescale::DOUBLE, 6) AS seconds FROM each WINDOW w AS (PARTITION BY trial_id ORDER BY pos, i)) WHERE frame_index % 2 = 0""", plain=True)
+def frame_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = timebase.frame_times(_runs(spark, sf_dir))
+    return r6(timebase.time_of(times, times.where("frame_index % 2 = 0").select("trial_id", "frame_index")), "seconds")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
