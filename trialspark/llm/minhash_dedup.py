@@ -249,7 +249,7 @@ def _hubs(sides: DataFrame, roots: DataFrame, tried: DataFrame, found: DataFrame
     """(x, y, part, hub_part): the classes of each key that lies in several components,
     and the key's hub, the class whose comparisons were links most often."""
     times = lambda d, n: d.select("x").unionByName(d.select(F.col("y").alias("x"))).groupBy(F.col("x").alias("node")).agg(F.count("*").alias(n))
-    share = times(tried, "tries").join(times(found, "hits"), "node", "left").select("node", ((F.coalesce("hits", F.lit(0)) + 1) / (F.col("tries") + 2)).alias("share"))
+    share = times(tried, "tries").join(times(found, "hits"), "node", "left").select("node", F.coalesce("hits", F.lit(0)).cast("double").alias("share"))
     placed = sides.join(roots, "node", "left").join(share, "node", "left").withColumns({"part": F.coalesce("root", "node"), "share": F.coalesce("share", F.lit(0.0))})
     each = _keyed(placed, "part", "share")
     hubs = each.groupBy("key").agg(F.max(F.struct("share", "node", "part")).alias("hub"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
@@ -258,17 +258,18 @@ def _hubs(sides: DataFrame, roots: DataFrame, tried: DataFrame, found: DataFrame
 
 
 def against_hubs(laid: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """(x, y, part, hub_part, n, hub_n, kept, added): the size of class x and of hub y,
-    how many shingles they share, and the shingles that the hub lacks."""
-    schema = StructType([*laid.schema.fields, *[StructField(c, LongType()) for c in ("n", "hub_n", "kept")], StructField("added", ArrayType(LongType()))])
+    """(x, y, part, hub_part, n, hub_n, kept, added, lost): the size of class x and of
+    hub y, how many shingles they share, those that only x has and those only y has."""
+    schema = StructType([*laid.schema.fields, *[StructField(c, LongType()) for c in ("n", "hub_n", "kept")], *[StructField(c, ArrayType(LongType())) for c in ("added", "lost")]])
     names, own_names = schema.fieldNames(), laid.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own, hub in _with_sets(batches, near.k):
             rest = [np.setdiff1d(a, b, assume_unique=True).view(np.int64) for a, b in zip(own, hub, strict=True)]
+            lost = [np.setdiff1d(b, a, assume_unique=True).view(np.int64) for a, b in zip(own, hub, strict=True)]
             n = np.array([len(a) for a in own])
             kept = n - np.array([len(r) for r in rest])
-            columns = [pa.array(n), pa.array([len(b) for b in hub], pa.int64()), pa.array(kept), pa.array(rest, pa.list_(pa.int64()))]
+            columns = [pa.array(n), pa.array([len(b) for b in hub], pa.int64()), pa.array(kept), *[pa.array(r, pa.list_(pa.int64())) for r in (rest, lost)]]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in own_names] + columns, names)
 
     return _both_texts(laid, texts).select(*own_names, "tx", "ty").mapInArrow(run, schema)
@@ -280,9 +281,10 @@ def _size_class(n: Column) -> Column:
 
 
 def under_hubs(laid: DataFrame, near: Near) -> DataFrame:
-    """Pairs (x, y) of classes in different components that the bound over their hub
-    does not rule out; one of them is not linked to the hub.
+    """Links (x, y) of classes in different components, one of which is not linked to
+    the hub: pairs that the bound over their hub does not rule out, judged on full sets.
 
+    What two sets share is what the hub has and neither lost, and what both added.
     Added shingles that more than ``FREQUENT`` classes of a hub share are no join key:
     a pair that shares no others is met by its sizes. So a shingle brings a class at
     most ``FREQUENT`` partners to judge.
@@ -290,7 +292,7 @@ def under_hubs(laid: DataFrame, near: Near) -> DataFrame:
     p = near.percent
     linked = (100 + p) * F.col("kept") >= p * (F.col("n") + F.col("hub_n"))
     rows = laid.select(
-        F.col("y").alias("hub"), F.col("x").alias("node"), F.when(linked, F.col("hub_part")).otherwise(F.col("part")).alias("part"), (~linked).alias("loose"), "n", "kept", "added",
+        F.col("y").alias("hub"), F.col("x").alias("node"), F.when(linked, F.col("hub_part")).otherwise(F.col("part")).alias("part"), (~linked).alias("loose"), "n", "hub_n", "kept", "added", "lost",
     )
     rows = written(rows, "laid")
     added = rows.select("hub", "node", "loose", F.explode("added").alias("s"))
@@ -301,16 +303,17 @@ def under_hubs(laid: DataFrame, near: Near) -> DataFrame:
     # a set that x may be linked to by hub and frequent shingles alone has at most this many
     rows = written(rows.withColumn("reach", F.floor(((100 + p) * (F.col("kept") + F.size("often")) - p * F.col("n")) / F.lit(float(p)))), "shared")
 
-    side = lambda d, n, key: d.select("hub", key, *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part", "n", "kept", "shared", "often", "reach")])
-    enough = lambda c: (100 + p) * (F.least("kept_x", "kept_y") + F.size(F.array_intersect(f"{c}_x", f"{c}_y"))) >= p * (F.col("n_x") + F.col("n_y"))
+    side = lambda d, n, key: d.select("hub", key, *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part", "n", "hub_n", "shared", "often", "reach", "lost")])
+    both = F.col("hub_n_x") - F.size(F.array_union("lost_x", "lost_y")) + F.size(F.array_intersect("shared_x", "shared_y"))
+    near_enough = (100 + p) * both >= p * (F.col("n_x") + F.col("n_y"))
     apart = (F.col("part_x") != F.col("part_y")) & (F.col("node_x") != F.col("node_y"))
     least = F.ceil(F.col("n") * p / 100)
     asks = rows.where(F.col("loose") & (F.col("reach") >= least)).select("*", F.explode(F.sequence(_size_class(least), _size_class(F.col("reach")))).alias("size"))
     by_size = side(asks, "x", "size").join(side(rows.withColumn("size", _size_class(F.col("n"))), "y", "size"), ["hub", "size"])
-    by_size = by_size.where(apart & (F.col("n_y") <= F.col("reach_x")) & (F.col("n_x") <= F.col("reach_y")) & enough("often"))
+    by_size = by_size.where(apart & (F.col("n_y") <= F.col("reach_x")) & (F.col("n_x") <= F.col("reach_y")) & near_enough)
     each = rows.select("*", F.explode(F.array_except("shared", "often")).alias("s"))
     once = F.array_min(F.array_except(F.array_intersect("shared_x", "shared_y"), "often_x")) == F.col("s")
-    by_shingle = side(each.where("loose"), "x", "s").join(side(each, "y", "s"), ["hub", "s"]).where(apart & enough("shared") & once)
+    by_shingle = side(each.where("loose"), "x", "s").join(side(each, "y", "s"), ["hub", "s"]).where(apart & near_enough & once)
     pair = [F.greatest("node_x", "node_y").alias("x"), F.least("node_x", "node_y").alias("y")]
     return by_size.select(*pair).unionByName(by_shingle.select(*pair)).distinct()
 
@@ -336,8 +339,8 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
         texts = texts.unionByName(texts_of(docs, missing))
     laid = written(against_hubs(laid, texts, near), "against")
     to_hub = laid.where((F.col("x") != F.col("y")) & ((100 + near.percent) * F.col("kept") >= near.percent * (F.col("n") + F.col("hub_n")))).select("x", "y")
-    rest = written(passing(under_hubs(laid, near).join(stars, ["x", "y"], "left_anti"), classes, near), "rest")
-    return components(found.unionByName(to_hub).unionByName(confirmed(rest, texts, near)))
+    rest = written(under_hubs(laid, near), "rest")
+    return components(found.unionByName(to_hub).unionByName(rest))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
