@@ -287,7 +287,8 @@ def under_hubs(laid: DataFrame, near: Near) -> DataFrame:
     What two sets share is what the hub has and neither lost, and what both added.
     Added shingles that more than ``FREQUENT`` classes of a hub share are no join key:
     a pair that shares no others is met by its sizes. So a shingle brings a class at
-    most ``FREQUENT`` partners to judge.
+    most ``FREQUENT`` partners to judge. Of the other shingles, only as many of the least
+    are keys as leave too few for a link behind them.
     """
     p = near.percent
     linked = (100 + p) * F.col("kept") >= p * (F.col("n") + F.col("hub_n"))
@@ -311,7 +312,11 @@ def under_hubs(laid: DataFrame, near: Near) -> DataFrame:
     asks = rows.where(F.col("loose") & (F.col("reach") >= least)).select("*", F.explode(F.sequence(_size_class(least), _size_class(F.col("reach")))).alias("size"))
     by_size = side(asks, "x", "size").join(side(rows.withColumn("size", _size_class(F.col("n"))), "y", "size"), ["hub", "size"])
     by_size = by_size.where(apart & (F.col("n_y") <= F.col("reach_x")) & (F.col("n_x") <= F.col("reach_y")) & near_enough)
-    each = rows.select("*", F.explode(F.array_except("shared", "often")).alias("s"))
+    # a link of x has p n / 100 shingles of x at least: what hub and frequent ones can't give
+    # must be among the others, so the least common one of these is followed by the rest
+    others = F.array_sort(F.array_except("shared", "often"))
+    wanted = F.greatest(F.lit(1), least - F.col("kept") - F.size("often"))
+    each = rows.select("*", F.explode(F.slice(others, F.lit(1), F.greatest(F.lit(0), F.size(others) - wanted + 1).cast("int"))).alias("s"))
     once = F.array_min(F.array_except(F.array_intersect("shared_x", "shared_y"), "often_x")) == F.col("s")
     by_shingle = side(each.where("loose"), "x", "s").join(side(each, "y", "s"), ["hub", "s"]).where(apart & near_enough & once)
     pair = [F.greatest("node_x", "node_y").alias("x"), F.least("node_x", "node_y").alias("y")]
