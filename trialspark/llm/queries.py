@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language_id, minhash_dedup, packing, pii, quality_ranker, quality_rules, sentencepiece_codec, sharding, toxicity
+from . import clustering, fingerprint, language_id, minhash_dedup, packing, pii, quality_ranker, quality_rules, sentencepiece_codec, sharding, toxicity, whitening
 from .common import held_out, table
 
 
@@ -60,10 +60,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, ratio, keep=["doc_id"])
 
 
+def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_sharding, op2_quality_ranker, op3_sentencepiece, op4_minhash_dedup, op5_packing, op6_toxicity, op7_fingerprint, op8_pii, op9_language_id, op10_quality_rules)
+        for f in (
+            op1_sharding, op2_quality_ranker, op3_sentencepiece, op4_minhash_dedup, op5_packing, op6_toxicity, op7_fingerprint, op8_pii,
+            op9_language_id, op10_quality_rules, op12_yinyang_clusters, op13_whitening,
+        )
     }
 
 
@@ -100,5 +111,36 @@ FROM sets d LEFT JOIN nodes n ON n.s = d.s LEFT JOIN roots r ON r.node = n.node
 """
 
 
+def op12_sql(k: int = 16, rounds: int = 3) -> str:
+    """Plain rounds of nearest centroid and floor of the mean, one row a component."""
+    steps = f"""
+kept AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64
+), xs AS MATERIALIZED (
+  SELECT vec_id, i, CAST(floor(64 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM kept, range(1, 65) AS r(i)
+), ranked AS (
+  SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM (SELECT DISTINCT vec_id FROM kept) QUALIFY cluster < {k}
+), c0 AS MATERIALIZED (
+  SELECT cluster, i, x AS c FROM ranked JOIN xs USING (vec_id)
+)"""
+    for r in range(rounds + 1):
+        steps += f""", a{r} AS MATERIALIZED (
+  SELECT vec_id, CAST(arg_min(cluster, (d, cluster)) AS INTEGER) AS cluster, min(d) AS distance
+  FROM (SELECT vec_id, cluster, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM xs JOIN c{r} USING (i) GROUP BY vec_id, cluster) GROUP BY vec_id
+)"""
+        if r < rounds:
+            steps += f""", c{r + 1} AS MATERIALIZED (
+  SELECT cluster, i, CASE WHEN m.n IS NULL THEN o.c ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS c
+  FROM c{r} o LEFT JOIN (SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM xs JOIN a{r} USING (vec_id) GROUP BY cluster, i) m USING (cluster, i)
+)"""
+    return f"""WITH {steps}, marks AS (
+  SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster
+)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN marks USING (cluster)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_dedup": OP4_SQL}
+    return {"op4_minhash_dedup": OP4_SQL, "op12_yinyang_clusters": op12_sql()}
