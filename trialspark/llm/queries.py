@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, fingerprint, language_id, minhash_dedup, packing, pii, quality_ranker, quality_rules, sentencepiece_codec, sharding, toxicity, whitening
+from . import clustering, fingerprint, html_extract, language_id, minhash_dedup, packing, pii, quality_ranker, quality_rules, sentencepiece_codec, sharding, toxicity, whitening
 from .common import held_out, table
 
 
@@ -60,6 +60,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, ratio, keep=["doc_id"])
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.report(table(spark, sf_dir, "embeddings"))
 
@@ -73,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_sharding, op2_quality_ranker, op3_sentencepiece, op4_minhash_dedup, op5_packing, op6_toxicity, op7_fingerprint, op8_pii,
-            op9_language_id, op10_quality_rules, op12_yinyang_clusters, op13_whitening,
+            op9_language_id, op10_quality_rules, op11_html_extract, op12_yinyang_clusters, op13_whitening,
         )
     }
 
