@@ -16,11 +16,11 @@ from ..functions import geometry as g
 from ..functions import scalars
 from ..functions.formula import formula_column
 from ..operators import investigations as inv
-from ..operators import edits, measures, occupancy, overlays, report, roi, stats, strategy, timebase, tracking
+from ..operators import demux, edits, measures, occupancy, overlays, report, roi, stats, strategy, timebase, tracking
 from ..params import InvestigationParams
-from ..sources import tables
+from ..sources import mp4, tables
 from ..vision import detect, maze
-from . import fixture
+from . import fixture, movies
 from .fixture import CX, CY, DIAMETER, HOLE_RADIUS, HOLES, PLATFORM, RING, ROTATION, Trials, table
 from .oracle import PER_CM, REACH, sql
 
@@ -693,6 +693,38 @@ def frame_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(timebase.time_of(times, times.where("frame_index % 2 = 0").select("trial_id", "frame_index")), "seconds")
 
 
+#: Samples lie in chunks of 3, 3, 3, then 5, from byte 24 on, with 7 bytes between.
+_SAMPLES = """chunked AS (SELECT trial_id, event_id, frame_index AS sample, 20 + event_id % 50 AS size, CASE WHEN event_id % 3 = 0 THEN 45 ELSE 40 END AS delta, event_id % 4 * 60 - 60 AS shift,
+    CASE WHEN frame_index < 9 THEN frame_index // 3 ELSE 3 + (frame_index - 9) // 5 END AS chunk FROM det),
+timed AS (SELECT *, sum(delta) OVER w - delta AS tick, 24 + 7 * chunk + sum(size) OVER w - size AS spot FROM chunked WINDOW w AS (PARTITION BY trial_id ORDER BY sample))"""
+
+
+def _trial_of_path() -> F.Column:
+    return F.regexp_extract("path", r"trial-(\d+)\.mp4$", 1).cast("long").alias("trial_id")
+
+
+@query(f"""SELECT * FROM (WITH {_SAMPLES} SELECT trial_id, sample, chunk::BIGINT AS chunk, spot::BIGINT AS "offset", size, tick::BIGINT AS tick, delta::BIGINT AS delta, (tick + shift)::BIGINT AS composition_tick,
+  row_number() OVER (PARTITION BY trial_id ORDER BY tick + shift, sample) - 1 AS composition_index, sample = 0 OR event_id % 10 = 0 AS is_key, event_id % 251 AS first_byte, true AS whole FROM timed)""")
+@trials
+def video_samples(t: Trials) -> DataFrame:
+    """A video file of each trial, demuxed: where its samples lie, when they are shown,
+    and their bytes as fetched from there."""
+    moov = mp4.read_mp4(t.spark, movies.write_movies(t.spark, t.detections), "moov", files_per_partition=8)
+    d = demux.sample_data(demux.samples(moov).sortWithinPartitions("path", "offset"))
+    byte = F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("long")
+    return d.select(_trial_of_path(), "sample", "chunk", "offset", "size", "tick", "delta", "composition_tick", "composition_index", "is_key", byte.alias("first_byte"), (F.octet_length("data") == F.col("size")).alias("whole"))
+
+
+@query(f"""SELECT * FROM (WITH {_SAMPLES}, total AS (SELECT trial_id, count(*) AS samples, sum(delta)::BIGINT AS ticks, sum(size)::BIGINT AS bytes FROM timed GROUP BY trial_id)
+SELECT trial_id, 'trial-' || trial_id || '.mp4' AS name, true AS ok, 1000::BIGINT AS timescale, samples, ticks, 'avc1.64001e' AS codec, 64 AS width, 48 AS height FROM total)""")
+@trials
+def video_tracks(t: Trials) -> DataFrame:
+    """The files' timing and codec, read from their tables alone."""
+    d = mp4.read_mp4(t.spark, movies.write_movies(t.spark, t.detections), files_per_partition=8)
+    ticks = F.aggregate("stts", F.lit(0).cast("long"), lambda a, r: a + r["count"] * r["delta"])
+    return d.select(_trial_of_path(), "name", "ok", "timescale", "samples", ticks.alias("ticks"), "codec", "width", "height")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections to trial rows: tracker, overlays, investigations, measures, strategy."""
     return _trial_rows(Trials(spark, sf_dir))
