@@ -234,8 +234,10 @@ def fit(pages: DataFrame | None = None, sample: int = 256, id_column: str = "pag
     """A model from the layouts and at most ``sample`` pages that label themselves."""
     trees, labels = hand_labelled()
     if pages is not None and sample:
-        some = pages.where(F.col("html").contains("<article") & (F.octet_length("html") <= LONGEST))
-        for r in some.orderBy(F.xxhash64(id_column), "html").limit(sample).select("html").collect():
+        some = pages.where(F.col("html").contains("<article") & (F.octet_length("html") <= LONGEST)).select(F.col(id_column).alias("_id"), "html")
+        # ids alone are ordered, since every task sends its first ones to the driver
+        ids = some.where("_id is not null").select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()
+        for r in some.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("html").alias("html")).orderBy("_id").collect():
             tree = parse(r.html)
             marks = self_labelled(tree)
             if marks is not None:
