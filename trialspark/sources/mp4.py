@@ -2,8 +2,10 @@
 
 ``spark.read.format("mp4")`` reads by ranges: the headers of the top boxes, then ``moov``
 alone, so a video's size doesn't matter; nothing is decoded. A partition is a file, or
-``filesPerPartition`` of them. Filters on path and name choose files before any is
-opened; only boxes that the asked columns need are read out.
+``filesPerPartition`` of them. The path may hold a pattern, and option ``names`` (JSON)
+chooses files by name before any is opened; conditions aren't pushed into the source, as
+Spark 4.1 keeps them for later queries of the same table. Only boxes that the asked
+columns need are read out.
 
 Option ``rows``:
 
@@ -15,6 +17,7 @@ Option ``rows``:
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Callable, Iterator, Sequence
@@ -22,7 +25,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from .files import listed, reader
@@ -206,24 +209,10 @@ class _Files(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.columns, self.options = schema.fieldNames(), options
-        self.tests: list[Callable[[str, str], bool]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Conditions on path and name are met by choosing files."""
-        for f in filters:
-            column = getattr(f, "attribute", ())
-            pick = {("path",): 0, ("name",): 1}.get(column)
-            if pick is None or not isinstance(f, EqualTo | In | StringStartsWith | StringEndsWith):
-                yield f
-            elif isinstance(f, EqualTo | In):
-                known = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.tests.append(lambda *of, i=pick, known=known: of[i] in known)
-            else:
-                test = str.startswith if isinstance(f, StringStartsWith) else str.endswith
-                self.tests.append(lambda *of, i=pick, test=test, v=f.value: test(of[i], v))
 
     def partitions(self) -> Sequence[InputPartition]:
-        files = [(p, n) for p, n in listed(self.options["path"]) if all(t(p, p.rpartition("/")[2]) for t in self.tests)]
+        names = set(json.loads(self.options["names"])) if "names" in self.options else None
+        files = [(p, n) for p, n in listed(self.options["path"]) if names is None or p.rpartition("/")[2] in names]
         step = int(self.options.get("filesPerPartition", "1"))
         return [_Files(files[i : i + step]) for i in range(0, len(files), step)]
 
@@ -287,11 +276,13 @@ class Mp4Source(DataSource):
         return _Reader(schema, dict(self.options))
 
 
-def read_mp4(spark: SparkSession, path: str, rows: str = "tracks", columns: str | None = None, files_per_partition: int = 1) -> DataFrame:
-    """``columns``: DDL of the columns that are wanted, so that no others are read."""
+def read_mp4(spark: SparkSession, path: str, rows: str = "tracks", columns: str | None = None, files_per_partition: int = 1, names: list[str] | None = None) -> DataFrame:
+    """``columns``: DDL of the columns that are wanted, so that no others are read;
+    ``names``: the files that are wanted."""
     spark.dataSource.register(Mp4Source)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     source = spark.read.format("mp4").option("rows", rows).option("filesPerPartition", files_per_partition)
+    if names is not None:
+        source = source.option("names", json.dumps(names))
     return (source.schema(columns) if columns else source).load(path)
 
 
