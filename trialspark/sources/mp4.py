@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -207,7 +207,7 @@ class _Files(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, schema: StructType, options: dict[str, str]):
+    def __init__(self, schema: StructType, options: Mapping[str, str]):
         self.columns, self.options = schema.fieldNames(), options
 
     def partitions(self) -> Sequence[InputPartition]:
@@ -273,7 +273,7 @@ class Mp4Source(DataSource):
         return MOOV if self.options.get("rows", "tracks") == "moov" else TRACKS
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(schema, dict(self.options))
+        return _Reader(schema, self.options)
 
 
 def read_mp4(spark: SparkSession, path: str, rows: str = "tracks", columns: str | None = None, files_per_partition: int = 1, names: list[str] | None = None) -> DataFrame:
