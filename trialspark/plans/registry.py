@@ -557,11 +557,37 @@ def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("trial_id", "frame_index", "found", "cx", "cy").mapInPandas(draw, "trial_id long, frame_index long, width int, height int, pixels binary")
 
 
-@query("SELECT trial_id, frame_index, found, CASE WHEN found THEN (cx::BIGINT % 120 + 120) % 120 + 15 + 6.5 END AS cx, CASE WHEN found THEN (cy::BIGINT % 80 + 80) % 80 + 15 + 3.5 END AS cy, CASE WHEN found THEN 112 ELSE 0 END::DOUBLE AS area FROM det")
+#: A 14 x 8 block of 30 on 180; its axis is level, so its ends are the middles of its sides.
+_BLOB = "(cx::BIGINT % 120 + 120) % 120 + 15", "(cy::BIGINT % 80 + 80) % 80 + 15"
+
+
+@query(f"""SELECT trial_id, frame_index, found, CASE WHEN found THEN x + 6.5 END AS cx, CASE WHEN found THEN y + 3.5 END AS cy, CASE WHEN found THEN 112 ELSE 0 END::DOUBLE AS area,
+  CASE WHEN found THEN 0 END::DOUBLE AS orientation, CASE WHEN found THEN least(x, x + 13) END::DOUBLE AS low_x, CASE WHEN found THEN x + 13 END::DOUBLE AS high_x,
+  18::DOUBLE AS threshold, CASE WHEN found THEN 1 ELSE 0 END::INT AS candidate_count, 0::DOUBLE AS runner_up_area
+FROM (SELECT *, {_BLOB[0]} AS x, {_BLOB[1]} AS y FROM det)""")
 def detect_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _scenes(spark, sf_dir)
     d = detect.detect(frames, detect.backgrounds(frames))
-    return d.select("trial_id", "frame_index", "found", "cx", "cy", "area")
+    return d.select("trial_id", "frame_index", "found", "cx", "cy", "area", F.abs(F.round("orientation", 6)).alias("orientation"), F.least("ax", "bx").alias("low_x"), F.greatest("ax", "bx").alias("high_x"), "threshold", "candidate_count", "runner_up_area")
+
+
+#: Opening keeps the 5 x 5 squares that fit into blob and platform; a round platform
+#: holds a square if it holds its corners.
+_INSIDE = " AND ".join(f"(x + a + {p} - 80) * (x + a + {p} - 80) + (y + b + {q} - 60) * (y + b + {q} - 60) <= 2500" for p in (0, 4) for q in (0, 4))
+
+
+@query(f"""SELECT trial_id, frame_index, coalesce(n >= 60, false) AS found, CASE WHEN n >= 60 THEN n ELSE 0 END::DOUBLE AS area, CASE WHEN n >= 60 THEN round(sx / n, 6) END AS cx, CASE WHEN n >= 60 THEN round(sy / n, 6) END AS cy, coalesce(n >= 60, false)::INT AS candidate_count
+FROM (SELECT *, CASE WHEN found THEN {_BLOB[0]} END AS x, CASE WHEN found THEN {_BLOB[1]} END AS y FROM det) d LEFT JOIN (
+  SELECT x, y, count(*) AS n, sum(x + i) AS sx, sum(y + j) AS sy FROM (
+    SELECT DISTINCT x, y, a + p AS i, b + q AS j FROM (SELECT DISTINCT {_BLOB[0]} AS x, {_BLOB[1]} AS y FROM det WHERE found), range(0, 10) r(a), range(0, 4) s(b), range(0, 5) t(p), range(0, 5) u(q) WHERE {_INSIDE})
+  GROUP BY x, y) m USING (x, y)""")
+def detect_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection inside a round platform, which cuts some of the blobs."""
+    frames = _scenes(spark, sf_dir)
+    ground = detect.backgrounds(frames)
+    rois = ground.select("trial_id", F.lit(80.0).alias("center_x"), F.lit(60.0).alias("center_y"), F.lit(50.0).alias("platform_radius"))
+    d = detect.detect(frames, ground, rois)
+    return r6(d.select("trial_id", "frame_index", "found", "area", "cx", "cy", "candidate_count"), "cx", "cy")
 
 
 @query("SELECT n_nationkey AS trial_id, true AS ok, 20 AS hole_count, 20 AS matched_holes, 82.0::DOUBLE AS ring_radius, true AS turned_right FROM nation", plain=True)

@@ -1,21 +1,17 @@
-"""Frames that arrive over time: reordering and tracking with keyed state.
+"""Frames that arrive out of order, put in order with keyed state.
 
-Both keep state by trial and give the same rows as the batch plans. Spark drops
+State is kept by trial, and the rows are those of the batch plan. Spark drops
 late rows in silence; here a late, repeated or overflowing frame is an error row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..params import TrackerParams
-from .sequential import extend
-
 WINDOW = 32
 ORDERED = "trial_id long, frame_index long, payload string, error string"
 
@@ -68,33 +64,3 @@ def reorder(stream: DataFrame, window: int = WINDOW) -> DataFrame:
         state.update((upto, list(held), list(held.values())))
 
     return stream.groupBy("trial_id").applyInPandasWithState(step, ORDERED, "upto long, indices array<long>, payloads array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
-TRACK = "trial_id long, frame_index long, state string, cx double, cy double, nx double, ny double, area double, hole_index long"
-
-
-def track_stream(stream: DataFrame, holes: list[tuple[float, float]], hole_radius: float, params: TrackerParams = TrackerParams()) -> DataFrame:
-    """``stream``: detections in order of frames, of trials on one ring. Emits tracks
-    before the closing rules, which need a trial's end: apply
-    ``operators.tracking.finalize`` to the trials that have ended."""
-    import json
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = json.loads(state.get[0]) if state.exists else {}
-        for pdf in batches:
-            frames = [(int(r["frame_index"]), r) for r in pdf.sort_values("frame_index").to_dict("records")]
-            rows: list[tuple[Any, ...]] = [(key[0], *t) for t in extend(memory, frames, holes, hole_radius, params)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK.split(", ")]).astype({"hole_index": "Int64"})
-        state.update((json.dumps(memory),))
-
-    return stream.groupBy("trial_id").applyInPandasWithState(step, TRACK, "memory string", "append", GroupStateTimeout.NoTimeout)
-
-
-def progress(query) -> list[dict]:
-    """{batch, framesProcessed, inputRowsPerSecond} of the query's recent triggers, the
-    frames summed up: what a reviewer's progress bar shows."""
-    done, out = 0, []
-    for p in query.recentProgress:
-        done += p["numInputRows"]
-        out.append({"batch": p["batchId"], "framesProcessed": done, "rowsPerSecond": p.get("inputRowsPerSecond")})
-    return out

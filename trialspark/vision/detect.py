@@ -10,8 +10,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..params import DetectionParams, TrackerParams
 from . import image
@@ -56,15 +59,16 @@ def sample_indices(n: int, k: int = 30) -> list[int]:
     return sorted({int(np.floor(i * (n - 1) / (k - 1) + 0.5)) for i in range(k)})
 
 
-def sampled_frames(frames: DataFrame, k: int = 30) -> DataFrame:
-    """The frames of each trial's sample: a semi-join of computed numbers, k a trial."""
+def sampled_frames(frames: DataFrame, k: int = 30, seen: DataFrame | None = None) -> DataFrame:
+    """The frames of each trial's sample: a semi-join of computed numbers, k a trial.
+    ``seen``: the same frames, where their reading is to be observed."""
     n = F.max("frame_index") + 1
     spread = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("n") - 1) / (k - 1) + 0.5).cast("long"))
     wanted = frames.groupBy("trial_id").agg(n.alias("n")).select("trial_id", F.explode(F.array_distinct(spread)).alias("frame_index"))
-    return frames.join(wanted, ["trial_id", "frame_index"], "left_semi")
+    return (frames if seen is None else seen).join(wanted, ["trial_id", "frame_index"], "left_semi")
 
 
-def backgrounds(frames: DataFrame, k: int = 30) -> DataFrame:
+def backgrounds(frames: DataFrame, k: int = 30, seen: DataFrame | None = None) -> DataFrame:
     """(trial_id, width, height, background): the upper median of at most k frames."""
 
     def median(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -73,40 +77,61 @@ def backgrounds(frames: DataFrame, k: int = 30) -> DataFrame:
         return pd.DataFrame({"trial_id": [first.trial_id], "width": [first.width], "height": [first.height], "background": [image.upper_median(stack).tobytes()]})
 
     id_type = dict(frames.dtypes)["trial_id"]
-    return sampled_frames(frames, k).groupBy("trial_id").applyInPandas(median, f"trial_id {id_type}, width int, height int, background binary")
+    return sampled_frames(frames, k, seen).groupBy("trial_id").applyInPandas(median, f"trial_id {id_type}, width int, height int, background binary")
+
+
+#: Frames of a trial that one task detects in a row; each such block gets the trial's
+#: background once.
+BLOCK = 4096
+
+
+def _laid_out(frames: DataFrame, background: DataFrame, rois: DataFrame | None) -> DataFrame:
+    """Frames by blocks of a trial, each block's background (and region) before them."""
+    block = F.floor(F.col("frame_index") / BLOCK).cast("long").alias("_block")
+    region = ("center_x", "center_y", "platform_radius")
+    plain = frames.select("trial_id", block, F.col("frame_index").cast("long").alias("frame_index"), "width", "height", "pixels", *[F.lit(None).cast("double").alias(c) for c in region])
+    heads = frames.select("trial_id", block).distinct().join(background.select("trial_id", "width", "height", "background"), "trial_id")
+    if rois is not None:
+        heads = heads.join(rois.select("trial_id", *region), "trial_id", "left")
+    else:
+        heads = heads.withColumns({c: F.lit(None) for c in region})
+    heads = heads.select("trial_id", "_block", F.lit(-1).cast("long").alias("frame_index"), "width", "height", F.col("background").alias("pixels"), *[F.col(c).cast("double").alias(c) for c in region])
+    return plain.unionByName(heads).repartition("trial_id", "_block").sortWithinPartitions("trial_id", "_block", "frame_index")
 
 
 def detect(frames: DataFrame, background: DataFrame, rois: DataFrame | None = None, detector: Detector | None = None) -> DataFrame:
-    """Detections of all frames. With ``rois``, only inside the platform.
+    """Detections of all frames of trials that have a background. With ``rois``, only
+    inside the platform.
 
-    Backgrounds join by trial, one a trial; a task's frames stream through in
-    Arrow batches, and the mask of a trial is made once.
+    Frames go by trial, in blocks, to a task that reads them as a stream: a block's
+    background comes once, before its frames, and its mask is made once. A trial of any
+    length is spread over tasks by its blocks, and a task holds one Arrow batch.
     """
-    d = frames.join(background.select("trial_id", "background"), "trial_id")
-    if rois is not None:
-        d = d.join(rois.select("trial_id", "center_x", "center_y", "platform_radius"), "trial_id", "left")
     backend = detector or DifferenceDetector()
-    id_type = dict(frames.dtypes)["trial_id"]
-    names = ["trial_id", "frame_index", *[x.split()[0] for x in DETECTION.split(", ")]]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks: dict[tuple, np.ndarray | None] = {}
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                shape = (int(r.height), int(r.width))
-                mask = None
-                if rois is not None and r.platform_radius == r.platform_radius and r.platform_radius is not None:
-                    key = (r.trial_id, shape, r.center_x, r.center_y, r.platform_radius)
-                    if key not in masks:
-                        masks.clear()
-                        masks[key] = image.circle_mask(shape[1], shape[0], r.center_x, r.center_y, r.platform_radius)
-                    mask = masks[key]
-                got = backend.detect(np.frombuffer(r.pixels, np.uint8).reshape(shape), np.frombuffer(r.background, np.uint8).reshape(shape), mask)
-                rows.append({"trial_id": r.trial_id, "frame_index": r.frame_index} | got)
-            yield pd.DataFrame(rows, columns=names)
-
-    return d.mapInPandas(run, f"trial_id {id_type}, frame_index long, {DETECTION}")
+    fields = [x.split()[0] for x in DETECTION.split(", ")]
+    schema = StructType([frames.schema["trial_id"], *StructType.fromDDL(f"frame_index long, {DETECTION}").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        ground, mask = np.zeros((0, 0), np.uint8), None
+        for batch in batches:
+            trial, block, index, width, height, px, *region = [batch.column(i) for i in range(9)]
+            rows, found = [], []
+            for i in range(batch.num_rows):
+                shape = (height[i].as_py(), width[i].as_py())
+                image_of = np.frombuffer(px[i].as_buffer(), np.uint8).reshape(shape)
+                if index[i].as_py() == -1:
+                    key, ground = (trial[i].as_py(), block[i].as_py()), image_of.copy()
+                    x, y, r = (c[i].as_py() for c in region)
+                    mask = None if r is None else image.circle_mask(shape[1], shape[0], x, y, r)
+                elif key == (trial[i].as_py(), block[i].as_py()):
+                    rows.append(i)
+                    found.append(backend.detect(image_of, ground, mask))
+            kept = batch.select([0, 2]).take(pa.array(rows, pa.int64()))
+            columns = [pa.array([f.get(c) for f in found], to_arrow_type(schema[c].dataType)) for c in fields]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], schema.fieldNames())
+
+    return _laid_out(frames, background, rois).mapInArrow(run, schema)
 
 
 def track_frames(frames: DataFrame, rois: DataFrame, params: TrackerParams = TrackerParams(), detector: Detector | None = None) -> DataFrame:
@@ -117,9 +142,24 @@ def track_frames(frames: DataFrame, rois: DataFrame, params: TrackerParams = Tra
 
 
 def histogram(frames: DataFrame) -> DataFrame:
-    """(trial_id, frame_index, value, n): pixels by value, for thresholds in SQL."""
-    px = F.transform(F.sequence(F.lit(1), F.length("pixels")), lambda i: F.conv(F.hex(F.substring("pixels", i, F.lit(1))), 16, 10).cast("int"))
-    return frames.select("trial_id", "frame_index", F.explode(px).alias("value")).groupBy("trial_id", "frame_index", "value").agg(F.count("*").alias("n"))
+    """(trial_id, frame_index, value, n): pixels by value, for thresholds in SQL. Frames
+    are counted in Arrow batches; a frame makes 256 rows at most."""
+    schema = StructType([frames.schema["trial_id"], frames.schema["frame_index"], *StructType.fromDDL("value int, n long").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, values, counts = [], [], []
+            for i, px in enumerate(batch.column(2)):
+                n = np.bincount(np.frombuffer(px.as_buffer(), np.uint8), minlength=256)
+                at = np.flatnonzero(n)
+                rows += [i] * len(at)
+                values.append(at)
+                counts.append(n[at])
+            if rows:
+                kept = batch.select([0, 1]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(values), pa.int32()), pa.array(np.concatenate(counts), pa.int64())], schema.fieldNames())
+
+    return frames.where("pixels is not null").select("trial_id", "frame_index", "pixels").mapInArrow(run, schema)
 
 
 def otsu(counts: DataFrame, keys: list[str]) -> DataFrame:
