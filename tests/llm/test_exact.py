@@ -143,6 +143,49 @@ def test_a_hot_group_of_copies_that_are_not_near_each_other(spark, monkeypatch,
     assert counted["rest"].count() < 10 * len(texts)
 
 
+def under_a_hub(spark, sets, hub):
+    """Rows of all sets against a hub, as ``against_hubs`` makes them."""
+    rows = [(i, 0, i, -1, len(hub), len(hub - s), sorted(s ^ hub)) for i, s in enumerate(sets)]
+    return spark.createDataFrame(rows, "x long, y long, part long, hub_part long, hub_n long, lost long, delta array<bigint>")
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_every_link_under_a_hub_is_met(spark, percent):
+    """Any sets against any hub: links of classes of which one isn't linked to it."""
+    rng = np.random.RandomState(percent)
+    hub = set(range(60))
+    sets = []
+    for _ in range(250):
+        near = sets[rng.randint(len(sets))] if sets and rng.rand() < 0.6 else hub
+        out, new = rng.choice(60, rng.randint(0, 25), False).tolist(), rng.randint(100, 140, rng.randint(0, 15)).tolist()
+        few = rng.randint(0, 5)
+        sets.append((set(near) - set(out[:few]) | set(new[:few])) if rng.rand() < 0.7 else (hub - set(out)) | set(new))
+    linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    tight = [linked(s, hub) for s in sets]
+    want = {(max(i, j), min(i, j)) for i, j in itertools.combinations(range(len(sets)), 2) if linked(sets[i], sets[j]) and not (tight[i] and tight[j])}
+    found = minhash_dedup.under_hubs(under_a_hub(spark, sets, hub), minhash_dedup.Near(5, percent)).collect()
+    assert {(r.x, r.y) for r in found} == want and (want or percent == 100)
+
+
+def test_work_under_a_hub_grows_with_the_family(spark):
+    """Copies of a template, each with seven words of its own: no two are linked."""
+    counts = []
+    for n in (200, 800):
+        rng = np.random.RandomState(n)
+        hub, sets = set(range(196)), []
+        for i in range(n):
+            gone = {k for w in rng.choice(196, 7, False).tolist() for k in range(w - 4, w + 1) if 0 <= k < 196}
+            sets.append((hub - gone) | {1000 * (i + 1) + k for k in gone})
+        near = minhash_dedup.Near()
+        laid = minhash_dedup.weighed(under_a_hub(spark, sets, hub), near)
+        rows = laid.selectExpr("y as hub", "x as node", "part", "weight > slack as loose", "weight", "slack", "delta")
+        keys = minhash_dedup.delta_keys(minhash_dedup._sharing(rows, near), near).persist()
+        top = keys.where("top").groupBy("hub", "key").count()
+        counts.append((keys.count(), top.join(keys.groupBy("hub", "key").count().withColumnRenamed("count", "all"), ["hub", "key"]).selectExpr("coalesce(sum(count * all), 0)").first()[0]))
+    (keys, met), (more_keys, more_met) = counts
+    assert more_keys <= 6 * max(keys, 200) and more_met <= 8 * max(met, 2000), counts
+
+
 def test_near_components_of_odd_tables(spark):
     assert minhash_dedup.near_components(docs(spark, [])).count() == 0
     d = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], [None, 5, 5, None])

@@ -13,17 +13,17 @@ so tuples that one class alone has are dropped before keys are formed. In a firs
 pass each class is compared with one class of each of its keys, the first in one of
 ``ORDERS`` random orders, and links are closed to components. A key whose classes
 still lie in several components goes to the second pass, which pairs no two classes
-blindly: each class of the key is laid against the key's hub, the class that most
-comparisons linked to. For sets x and y and a hub h,
-
-    |x & y| <= min(|x & h|, |y & h|) + |(x - h) & (y - h)|,
-
-so two classes can be linked only if the first term alone is large enough for their
-sizes, which a class not linked to the hub satisfies with smaller ones only, or if
-they share a shingle that the hub lacks. Either is an equality join, on the size or
-on the shingle; shingles that many classes share count as the hub's for the first.
-The bound is exact: no link of two classes of a key is lost, and copies of an original
-that are near it and not near each other make no pairs.
+blindly: each class of the key is laid against the key's hub, a class that meets very
+many of the family, and is told from it by its delta: the shingles that one of them
+has and the other lacks. Two classes share the hub's shingles that neither lacks, and
+those of their deltas that both lack or both have beside it. So from their sizes it
+follows how many delta elements two linked classes have in common: one at least, unless
+both are linked to the hub, and are in its component then. What a family has in common
+is in no delta, and a delta element of one class alone drops out, with the classes that
+have too few left. Of the others the rarest come first, and the first few of those that
+a link has in common make the keys of an equality join (``delta_keys``): sets of up to
+three where a class has few of them. Candidates are counted out on their deltas. Nothing
+is lost: every link of two classes of a key has a key in common.
 
 A pair of the first pass goes on only if 256 one-bit minhashes agree about as often
 as a link's do: they may fall five standard deviations short, and sets of fewer than
@@ -39,16 +39,18 @@ table gives no rows. Classes are told apart by 64-bit hashes of their sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations, pairwise
+from math import comb
 from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from .common import Words, chunks, map_texts, mix, random_u64, text_buffers, written
 from .graph import components
@@ -61,11 +63,12 @@ BITS, FEW = 256, 16
 #: Bits of the filter of wanted texts: its size doesn't grow with the data, and
 #: texts that it lets through in vain are dropped by the join after it.
 FILTER_BITS = 1 << 25
-#: Sizes of sets are told apart one by one below this, and to 1 in 256 above.
-EXACT_SIZES = 512
-#: Classes of a hub that share a shingle which the hub lacks, above which the shingle
-#: is no join key.
-FREQUENT = 64
+#: Keys that a class has for each band of partners, above which fewer elements make one.
+KEYS = 40
+#: Bands of the weight of partners; the last has no upper end.
+BANDS = 16
+#: Pairs of one hub that share its text in a task.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -215,112 +218,167 @@ def _sets_of(column: pa.Array, k: int) -> list[np.ndarray]:
     return [sets[bounds[i] : bounds[i + 1]] for sets, bounds in _shingled(column, k) for i in range(len(bounds) - 1)]
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
-    """Slices of rows (x, y, tx, ty) with the full sets of either side; a y that
-    many rows share, which the join has brought together, is shingled once a slice."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 256):
-            part = batch.slice(low, 256)
-            y = part.column("y").to_numpy()
-            heads = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
-            hubs = _sets_of(part.column("ty").take(pa.array(heads)), k)
-            which = np.searchsorted(heads, np.arange(len(y)), "right") - 1
-            yield part, _sets_of(part.column("tx"), k), [hubs[w] for w in which]
+def _beside(pairs: DataFrame, texts: DataFrame, work: Callable, schema: StructType, k: int) -> DataFrame:
+    """``work(batch, sets, set)`` on rows of pairs (x, y, ...), with the sets of all x of
+    the batch and the one of its y.
+
+    A y that many rows share doesn't go with each of them: rows are dealt by y in blocks
+    of about BLOCK, and the text of y comes once, before its block.
+    """
+    own = pairs.columns
+    sizes = pairs.groupBy("y").agg(F.count("*").alias("_n"))
+    dealt = pairs.join(sizes, "y").withColumn("_block", F.pmod(F.xxhash64("x"), F.ceil(F.col("_n") / BLOCK))).select(*own, "_block")
+    side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias("_text"))
+    rows = dealt.join(side("x"), "x").select(*own, "_block", F.lit(1).alias("_kind"), "_text")
+    heads = dealt.select("y", "_block").distinct().join(side("y"), "y")
+    heads = heads.select(*[F.col(c) if c == "y" else F.lit(None).cast(t).alias(c) for c, t in pairs.dtypes], "_block", F.lit(0).alias("_kind"), "_text")
+    laid = rows.unionByName(heads).repartition("y", "_block").sortWithinPartitions("y", "_block", "_kind")
+    y_at, block_at, kind_at = own.index("y"), len(own), len(own) + 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hub = None, np.zeros(0, _U)
+        for batch in batches:
+            y, block, kind = (batch.column(i).to_numpy() for i in (y_at, block_at, kind_at))
+            cuts = [*np.flatnonzero(np.r_[True, (y[1:] != y[:-1]) | (block[1:] != block[:-1])]).tolist(), batch.num_rows] if batch.num_rows else []
+            for low, high in pairwise(cuts):
+                part = batch.slice(low, high - low)
+                if kind[low] == 0:
+                    key, hub = (y[low], block[low]), _sets_of(part.column(block_at + 2).slice(0, 1), k)[0]
+                    part = part.slice(1)
+                if part.num_rows and key == (y[low], block[low]):  # else y has no text, and so no pair
+                    yield work(part.select(own), _sets_of(part.column(block_at + 2), k), hub)
 
-def _both_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    sides = pairs.join(texts.select(F.col("node").alias("x"), F.col("text").alias("tx")), "x")
-    return sides.join(texts.select(F.col("node").alias("y"), F.col("text").alias("ty")), "y")
+    return laid.mapInArrow(run, schema)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     """The pairs (x, y) whose full sets are near enough."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, own, other in _with_sets(batches, near.k):
-            common = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(own, other, strict=True)])
-            sizes = np.array([len(a) + len(b) for a, b in zip(own, other, strict=True)])
-            yield part.select(["x", "y"]).take(pa.array(np.flatnonzero(100 * common >= near.percent * (sizes - common))))
+    def judge(part: pa.RecordBatch, own: list[np.ndarray], other: np.ndarray) -> pa.RecordBatch:
+        common = np.array([len(np.intersect1d(a, other, assume_unique=True)) for a in own])
+        sizes = np.array([len(a) + len(other) for a in own])
+        return part.take(pa.array(np.flatnonzero(100 * common >= near.percent * (sizes - common))))
 
-    return _both_texts(pairs, texts).select("x", "y", "tx", "ty").mapInArrow(run, pairs.select("x", "y").schema)
+    return _beside(pairs.select("x", "y"), texts, judge, pairs.select("x", "y").schema, near.k)
 
 
-def _hubs(sides: DataFrame, roots: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame:
+def _hubs(sides: DataFrame, roots: DataFrame) -> DataFrame:
     """(x, y, part, hub_part): the classes of each key that lies in several components,
-    and the key's hub, the class whose comparisons were links most often."""
-    times = lambda d, n: d.select("x").unionByName(d.select(F.col("y").alias("x"))).groupBy(F.col("x").alias("node")).agg(F.count("*").alias(n))
-    share = times(tried, "tries").join(times(found, "hits"), "node", "left").select("node", F.coalesce("hits", F.lit(0)).cast("double").alias("share"))
-    placed = sides.join(roots, "node", "left").join(share, "node", "left").withColumns({"part": F.coalesce("root", "node"), "share": F.coalesce("share", F.lit(0.0))})
-    each = _keyed(placed, "part", "share")
-    hubs = each.groupBy("key").agg(F.max(F.struct("share", "node", "part")).alias("hub"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    hubs = hubs.select("key", F.col("hub.node").alias("y"), F.col("hub.part").alias("hub_part"))
+    and the key's hub. A class counts for as much as it meets others in such keys; each
+    class looks to the one that counts most in its keys, and a key's hub is the one that
+    counts most of those that its classes look to: mostly one for a whole family."""
+    placed = sides.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    each = _keyed(placed, "part")
+    still = each.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    each = written(each.join(still, "key"), "open")
+    counts = each.groupBy("node").agg(F.sum("n").alias("met"), F.first("part").alias("own"))
+    best = each.join(counts, "node").groupBy("key").agg(F.max(F.struct("met", "node", F.col("own").alias("part"))).alias("best"))
+    looks = each.select("key", "node").join(best, "key").groupBy("node").agg(F.max("best").alias("best"))
+    hubs = each.select("key", "node").join(looks, "node").groupBy("key").agg(F.max("best").alias("hub")).select("key", F.col("hub.node").alias("y"), F.col("hub.part").alias("hub_part"))
     return each.join(hubs, "key").select(F.col("node").alias("x"), "y", "part", "hub_part").distinct()
 
 
 def against_hubs(laid: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """(x, y, part, hub_part, n, hub_n, kept, added, lost): the size of class x and of
-    hub y, how many shingles they share, those that only x has and those only y has."""
-    schema = StructType([*laid.schema.fields, *[StructField(c, LongType()) for c in ("n", "hub_n", "kept")], *[StructField(c, ArrayType(LongType())) for c in ("added", "lost")]])
-    names, own_names = schema.fieldNames(), laid.columns
+    """(x, y, part, hub_part, hub_n, lost, delta): the size of hub y, how many of its
+    shingles class x lacks, and those that one of them has and the other lacks."""
+    schema = StructType([*laid.schema.fields, StructField("hub_n", LongType()), StructField("lost", LongType()), StructField("delta", ArrayType(LongType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, own, hub in _with_sets(batches, near.k):
-            rest = [np.setdiff1d(a, b, assume_unique=True).view(np.int64) for a, b in zip(own, hub, strict=True)]
-            lost = [np.setdiff1d(b, a, assume_unique=True).view(np.int64) for a, b in zip(own, hub, strict=True)]
-            n = np.array([len(a) for a in own])
-            kept = n - np.array([len(r) for r in rest])
-            columns = [pa.array(n), pa.array([len(b) for b in hub], pa.int64()), pa.array(kept), *[pa.array(r, pa.list_(pa.int64())) for r in (rest, lost)]]
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in own_names] + columns, names)
+    def compare(part: pa.RecordBatch, own: list[np.ndarray], hub: np.ndarray) -> pa.RecordBatch:
+        delta = [np.setxor1d(a, hub, assume_unique=True).view(np.int64) for a in own]
+        lost = [(len(d) + len(hub) - len(a)) // 2 for a, d in zip(own, delta, strict=True)]
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array([len(hub)] * len(own), pa.int64()), pa.array(lost, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], schema.fieldNames())
+
+    return _beside(laid, texts, compare, schema, near.k)
+
+
+def weighed(laid: DataFrame, near: Near) -> DataFrame:
+    """``laid`` with weight = 100 lost + percent * added and slack = (100 - percent) *
+    hub_n. A class is linked to its hub if its weight is no more than the slack. Two
+    classes share the hub's shingles that neither lost, and what both lost or both
+    added counts beside: they are linked if (100 + percent) times the number of common
+    elements of their deltas is no less than both weights less the slack."""
+    p = near.percent
+    return laid.withColumns({"weight": 100 * F.col("lost") + p * (F.size("delta") - F.col("lost")), "slack": (100 - p) * F.col("hub_n")})
+
+
+def _sharing(rows: DataFrame, near: Near) -> DataFrame:
+    """``rows`` whose delta is cut to elements that another class of the hub has as
+    well, one of them not linked to the hub; the rarest come first. Rows with too few
+    of them for any link are dropped."""
+    each = rows.select("hub", "node", "loose", F.explode("delta").alias("s"))
+    common = each.groupBy("hub", "s").agg(F.count("*").alias("c"), F.max("loose").alias("some")).where("c > 1 and some").select("hub", "s", "c")
+    lists = each.join(common, ["hub", "s"]).groupBy("hub", "node").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("_d"))
+    kept = rows.drop("delta").join(lists, ["hub", "node"]).withColumn("delta", F.col("_d.s")).drop("_d")
+    # what a link has in common at least: tight classes look for loose ones alone
+    least = F.greatest(F.lit(1), F.ceil(F.when(F.col("loose"), F.col("weight") - F.col("slack")).otherwise(F.col("weight") + 1) / F.lit(100 + near.percent)))
+    return kept.where(F.size("delta") >= least)
 
-    return _both_texts(laid, texts).select(*own_names, "tx", "ty").mapInArrow(run, schema)
 
+def _combined(elements: np.ndarray, m: int, keep: int) -> list[int]:
+    """Hashes of all sets of ``m`` of the first ``keep`` elements, in their order."""
+    spread = [mix(elements[:keep] + _U(j)).tolist() for j in range(m)]
+    top = (1 << 64) - 1
+    return [sum(spread[j][i] for j, i in enumerate(c)) & top for c in combinations(range(min(keep, len(elements))), m)]
 
-def _size_class(n: Column) -> Column:
-    """Ascending with n, and n itself below EXACT_SIZES."""
-    return F.when(n < EXACT_SIZES, n).otherwise(EXACT_SIZES + F.floor(F.log(n / EXACT_SIZES) * 256)).cast("int")
+
+def delta_keys(rows: DataFrame, near: Near) -> DataFrame:
+    """(hub, key, node, part, top): keys that two linked classes of a hub have in common.
+
+    A link has t elements of the deltas in common, t from both weights; with deltas in
+    one order, the first m of these are among the first size - t + m of either. Sets of
+    m of them (up to three, while there are at most KEYS) are keys, for each band of
+    weights that a partner may have. Partners with other m meet at the lesser one, which
+    is the ``top`` of one of them.
+    """
+    per = 100 + near.percent
+    schema = StructType([rows.schema[c] for c in ("hub", "node", "part")] + [StructField("key", LongType()), StructField("top", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys, tops = [], [], []
+            for i, (weight, slack, loose, band, there, delta) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(3, 9)], strict=True)):
+                elements = np.array(delta, np.int64).view(_U)
+                width = max(1, slack // 4)
+                for other in range(0 if loose else min(BANDS - 1, (slack + 1) // width), BANDS):
+                    if not there >> other & 1:
+                        continue
+                    low = other * width if loose else max(other * width, slack + 1)
+                    t = max(1, -((slack - weight - low) // per))
+                    rest = len(elements) - t
+                    if rest < 0:
+                        break  # heavier partners ask for more
+                    most = max(m for m in (1, 2, 3) if m == 1 or (m <= t and comb(rest + m, m) <= KEYS))
+                    for m in range(1, most + 1):
+                        mark = int(mix(np.array([(min(band, other) * BANDS + max(band, other)) * 4 + m], _U))[0])
+                        new = [(v ^ mark) for v in _combined(elements, m, rest + m)]
+                        keys += new
+                        at += [i] * len(new)
+                        tops += [m == most] * len(new)
+            yield pa.RecordBatch.from_arrays([*batch.select([0, 1, 2]).take(pa.array(at, pa.int64())).columns, pa.array(np.array(keys, _U).view(np.int64)), pa.array(tops, pa.bool_())], schema.fieldNames())
+
+    banded = rows.withColumn("band", F.least(F.lit(BANDS - 1), F.floor(F.col("weight") / F.greatest(F.lit(1), F.floor(F.col("slack") / 4)))).cast("int"))
+    there = banded.groupBy("hub").agg(F.bit_or(F.expr("shiftleft(1, band)")).alias("there"))  # the bands that a hub has
+    return banded.join(there, "hub").select("hub", "node", "part", "weight", "slack", "loose", "band", "there", "delta").mapInArrow(run, schema)
 
 
 def under_hubs(laid: DataFrame, near: Near) -> DataFrame:
     """Links (x, y) of classes in different components, one of which is not linked to
-    the hub: pairs that the bound over their hub does not rule out, judged on full sets.
-
-    What two sets share is what the hub has and neither lost, and what both added.
-    Added shingles that more than ``FREQUENT`` classes of a hub share are no join key:
-    a pair that shares no others is met by its sizes. So a shingle brings a class at
-    most ``FREQUENT`` partners to judge. Of the other shingles, only as many of the least
-    are keys as leave too few for a link behind them.
+    the hub. They have delta elements in common (``weighed``), so an equality join on
+    the keys of these finds them; what a family has in common is in no delta, and what
+    one class alone has is in no key. Candidates are counted out on their deltas.
     """
-    p = near.percent
-    linked = (100 + p) * F.col("kept") >= p * (F.col("n") + F.col("hub_n"))
-    rows = laid.select(
-        F.col("y").alias("hub"), F.col("x").alias("node"), F.when(linked, F.col("hub_part")).otherwise(F.col("part")).alias("part"), (~linked).alias("loose"), "n", "hub_n", "kept", "added", "lost",
-    )
-    rows = written(rows, "laid")
-    added = rows.select("hub", "node", "loose", F.explode("added").alias("s"))
-    common = added.groupBy("hub", "s").agg(F.count("*").alias("c"), F.max("loose").alias("some")).where("c > 1 and some").select("hub", "s", (F.col("c") > FREQUENT).alias("often"))
-    lists = added.join(common, ["hub", "s"]).groupBy("hub", "node").agg(F.collect_list("s").alias("shared"), F.collect_list(F.when(F.col("often"), F.col("s"))).alias("often"))
-    none = F.array().cast("array<bigint>")
-    rows = rows.drop("added").join(lists, ["hub", "node"], "left").withColumns({c: F.coalesce(c, none) for c in ("shared", "often")})
-    # a set that x may be linked to by hub and frequent shingles alone has at most this many
-    rows = written(rows.withColumn("reach", F.floor(((100 + p) * (F.col("kept") + F.size("often")) - p * F.col("n")) / F.lit(float(p)))), "shared")
-
-    side = lambda d, n, key: d.select("hub", key, *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part", "n", "hub_n", "shared", "often", "reach", "lost")])
-    both = F.col("hub_n_x") - F.size(F.array_union("lost_x", "lost_y")) + F.size(F.array_intersect("shared_x", "shared_y"))
-    near_enough = (100 + p) * both >= p * (F.col("n_x") + F.col("n_y"))
-    apart = (F.col("part_x") != F.col("part_y")) & (F.col("node_x") != F.col("node_y"))
-    least = F.ceil(F.col("n") * p / 100)
-    asks = rows.where(F.col("loose") & (F.col("reach") >= least)).select("*", F.explode(F.sequence(_size_class(least), _size_class(F.col("reach")))).alias("size"))
-    by_size = side(asks, "x", "size").join(side(rows.withColumn("size", _size_class(F.col("n"))), "y", "size"), ["hub", "size"])
-    by_size = by_size.where(apart & (F.col("n_y") <= F.col("reach_x")) & (F.col("n_x") <= F.col("reach_y")) & near_enough)
-    # a link of x has p n / 100 shingles of x at least: what hub and frequent ones can't give
-    # must be among the others, so the least common one of these is followed by the rest
-    others = F.array_sort(F.array_except("shared", "often"))
-    wanted = F.greatest(F.lit(1), least - F.col("kept") - F.size("often"))
-    each = rows.select("*", F.explode(F.slice(others, F.lit(1), F.greatest(F.lit(0), F.size(others) - wanted + 1).cast("int"))).alias("s"))
-    once = F.array_min(F.array_except(F.array_intersect("shared_x", "shared_y"), "often_x")) == F.col("s")
-    by_shingle = side(each.where("loose"), "x", "s").join(side(each, "y", "s"), ["hub", "s"]).where(apart & near_enough & once)
-    pair = [F.greatest("node_x", "node_y").alias("x"), F.least("node_x", "node_y").alias("y")]
-    return by_size.select(*pair).unionByName(by_shingle.select(*pair)).distinct()
+    tight = F.col("weight") <= F.col("slack")
+    rows = weighed(laid, near).select(F.col("y").alias("hub"), F.col("x").alias("node"), F.when(tight, F.col("hub_part")).otherwise(F.col("part")).alias("part"), (~tight).alias("loose"), "weight", "slack", "delta")
+    rows = written(_sharing(rows, near), "shared")
+    rows = written(_sharing(rows, near), "shared")  # without the rows that the first pass dropped
+    keys = written(delta_keys(rows, near), "keys")
+    side = lambda d, n: d.select("hub", "key", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part")])
+    met = side(keys.where("top"), "x").join(side(keys, "y"), ["hub", "key"]).where("node_x != node_y and part_x != part_y")
+    pairs = met.select("hub", F.greatest("node_x", "node_y").alias("x"), F.least("node_x", "node_y").alias("y")).distinct()
+    full = lambda n: rows.select("hub", F.col("node").alias(n), F.col("delta").alias(f"d{n}"), F.col("weight").alias(f"w{n}"), "slack")
+    both = pairs.join(full("x"), ["hub", "x"]).join(full("y").drop("slack"), ["hub", "y"])
+    enough = (100 + near.percent) * F.size(F.array_intersect("dx", "dy")) >= F.col("wx") + F.col("wy") - F.col("slack")
+    return both.where(enough).select("x", "y").distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
@@ -329,21 +387,21 @@ def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
     keys = _keyed(sides)
     by = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))
     heads = keys.groupBy("key").agg(F.min_by("node", by).alias("y"), F.count("*").alias("n")).where("n > 1").select("key", "y")
-    stars = keys.join(heads, "key").where("node != y").select(F.greatest("node", "y").alias("x"), F.least("node", "y").alias("y")).distinct()
+    stars = keys.join(heads, "key").where("node != y").select(F.col("node").alias("x"), "y").distinct()
     stars = written(passing(stars, classes, near), "stars")
     known = classes.select("node", "h")
     texts = texts_of(docs, known.join(_ends(stars), "node", "left_semi"))
     found = written(confirmed(stars, texts, near), "found")
     roots = components(found)
 
-    laid = written(_hubs(sides, roots, stars, found), "hubs")
+    laid = written(_hubs(sides, roots), "hubs")
     if laid.isEmpty():
         return roots
     missing = written(known.join(_ends(laid), "node", "left_semi").join(texts.select("node"), "node", "left_anti"), "missing")
     if not missing.isEmpty():
         texts = texts.unionByName(texts_of(docs, missing))
     laid = written(against_hubs(laid, texts, near), "against")
-    to_hub = laid.where((F.col("x") != F.col("y")) & ((100 + near.percent) * F.col("kept") >= near.percent * (F.col("n") + F.col("hub_n")))).select("x", "y")
+    to_hub = weighed(laid, near).where((F.col("x") != F.col("y")) & (F.col("weight") <= F.col("slack"))).select("x", "y")
     rest = written(under_hubs(laid, near), "rest")
     return components(found.unionByName(to_hub).unionByName(rest))
 
