@@ -365,20 +365,32 @@ def under_hubs(laid: DataFrame, near: Near) -> DataFrame:
     """Links (x, y) of classes in different components, one of which is not linked to
     the hub. They have delta elements in common (``weighed``), so an equality join on
     the keys of these finds them; what a family has in common is in no delta, and what
-    one class alone has is in no key. Candidates are counted out on their deltas.
+    one class alone has is in no key. Candidates are counted out on their deltas. Links
+    that join no two components may be left out.
     """
     tight = F.col("weight") <= F.col("slack")
     rows = weighed(laid, near).select(F.col("y").alias("hub"), F.col("x").alias("node"), F.when(tight, F.col("hub_part")).otherwise(F.col("part")).alias("part"), (~tight).alias("loose"), "weight", "slack", "delta")
     rows = written(_sharing(rows, near), "shared")
     rows = written(_sharing(rows, near), "shared")  # without the rows that the first pass dropped
     keys = written(delta_keys(rows, near), "keys")
+    full = lambda n: rows.select("hub", F.col("node").alias(n), F.col("delta").alias(f"d{n}"), F.col("weight").alias(f"w{n}"), "slack")
+
+    def counted_out(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(full("x"), ["hub", "x"]).join(full("y").drop("slack"), ["hub", "y"])
+        return both.where((100 + near.percent) * F.size(F.array_intersect("dx", "dy")) >= F.col("wx") + F.col("wy") - F.col("slack"))
+
+    # each class of a key with one of them first: most links then join no components
+    order = F.xxhash64("node", F.pmod("key", F.lit(ORDERS)))
+    heads = keys.groupBy("hub", "key").agg(F.min_by(F.struct("node", "part"), order).alias("head"))
+    stars = keys.join(heads, ["hub", "key"]).where("node != head.node and part != head.part")
+    stars = stars.select("hub", F.col("node").alias("x"), F.col("head.node").alias("y"), F.col("part").alias("px"), F.col("head.part").alias("py")).distinct()
+    first = written(counted_out(stars).select("x", "y", "px", "py").distinct(), "first")
+    joined = components(first, "px", "py").select(F.col("node").alias("part"), "root")
+    keys = keys.join(joined, "part", "left").withColumn("part", F.coalesce("root", "part"))
     side = lambda d, n: d.select("hub", "key", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part")])
     met = side(keys.where("top"), "x").join(side(keys, "y"), ["hub", "key"]).where("node_x != node_y and part_x != part_y")
     pairs = met.select("hub", F.greatest("node_x", "node_y").alias("x"), F.least("node_x", "node_y").alias("y")).distinct()
-    full = lambda n: rows.select("hub", F.col("node").alias(n), F.col("delta").alias(f"d{n}"), F.col("weight").alias(f"w{n}"), "slack")
-    both = pairs.join(full("x"), ["hub", "x"]).join(full("y").drop("slack"), ["hub", "y"])
-    enough = (100 + near.percent) * F.size(F.array_intersect("dx", "dy")) >= F.col("wx") + F.col("wy") - F.col("slack")
-    return both.where(enough).select("x", "y").distinct()
+    return first.select("x", "y").unionByName(counted_out(pairs).select("x", "y")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
