@@ -98,10 +98,15 @@ def nearest_point(path: DataFrame, clicks: DataFrame, reach: float = 14.0) -> Da
     """``clicks``: trial_id, click, x, y. The frame whose point lies nearest to a click
     and within ``reach`` of it, the first of equals; none for a click elsewhere.
 
-    A trial's path is one trial's frames, clicks are a few of it: the join by trial
-    and one aggregate keep one frame for each click.
+    Path and clicks lie on a grid of cells as wide as the reach: a click asks its own
+    cell and the eight around it, by equality, so it meets the points near it and not
+    the trial's path.
     """
-    d = clicks.join(path.where(F.col("cx").isNotNull()).select("trial_id", "frame_index", "cx", "cy"), "trial_id")
+    cell = lambda x: F.floor(F.col(x) / reach).cast("long")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    points = path.where(F.col("cx").isNotNull() & F.col("cy").isNotNull()).select("trial_id", "frame_index", "cx", "cy", cell("cx").alias("_i"), cell("cy").alias("_j"))
+    asked = clicks.select("*", around.alias("_c")).select(*clicks.columns, (cell("x") + F.col("_c.i")).alias("_i"), (cell("y") + F.col("_c.j")).alias("_j"))
+    d = asked.join(points, ["trial_id", "_i", "_j"])
     gap = F.sqrt((F.col("cx") - F.col("x")) ** 2 + (F.col("cy") - F.col("y")) ** 2)
     best = d.withColumn("d", gap).where(F.col("d") < reach).groupBy("trial_id", "click").agg(F.min(F.struct("d", "frame_index")).alias("b"))
     return best.select("trial_id", "click", F.col("b.frame_index").alias("frame_index"), F.col("b.d").alias("d"))

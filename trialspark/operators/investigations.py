@@ -42,15 +42,45 @@ def proximity_runs(near: DataFrame, params: InvestigationParams = InvestigationP
     return runs.where(F.col("end_frame") - F.col("start_frame") + 1 >= params.min_frames)
 
 
-def detect_investigations(frames: DataFrame, rois: DataFrame, params: InvestigationParams = InvestigationParams()) -> DataFrame:
+def covered(frames: DataFrame, spans: DataFrame) -> DataFrame:
+    """``frames`` with ``covered``: whether a span (trial_id, start_frame, end_frame; both
+    ends belong to it) holds the frame. Spans may overlap, nest and repeat.
+
+    A sweep instead of a range join: starts of spans and frames lie in one order, and a
+    frame is covered if the greatest end so far reaches it. A span and a frame cost one
+    row each, however many of them meet.
+    """
+    marks = spans.select("trial_id", F.col("start_frame").cast("long").alias("_at"), F.col("end_frame").cast("long").alias("_end"), F.lit(None).cast(frames.select(F.struct("*").alias("r")).schema["r"].dataType).alias("_row"))
+    each = frames.select("trial_id", F.col("frame_index").cast("long").alias("_at"), F.lit(None).cast("long").alias("_end"), F.struct("*").alias("_row"))
+    upto = Window.partitionBy("trial_id").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    d = marks.unionByName(each).withColumn("_reach", F.max("_end").over(upto)).where("_row is not null")
+    return d.select("_row.*", F.coalesce(F.col("_reach") >= F.col("_at"), F.lit(False)).alias("covered"))
+
+
+def outside(frames: DataFrame, spans: DataFrame) -> DataFrame:
+    """Frames that no span covers."""
+    return covered(frames, spans).where("not covered").drop("covered")
+
+
+def detect_investigations(frames: DataFrame, rois: DataFrame, params: InvestigationParams = InvestigationParams(), occlusions: DataFrame | None = None) -> DataFrame:
     """trial_id, hole_index, is_target, start_frame, end_frame, kind, ordinal.
 
-    Frames that an occlusion covers have no proximity. A frame is covered when the
-    last row in a hole, or the gap after it, reaches it: that is its own state, as
-    rows are adjacent by construction, so no range join is needed.
+    Frames that an occlusion covers have no proximity. Of detected occlusions these are
+    the rows in a hole, and the gap after them has none. With ``occlusions`` (trial_id,
+    hole_index, start_frame, end_frame), edited ones as well, those given count instead.
     """
+    if occlusions is not None:
+        held = occlusions.select("trial_id", "hole_index", "start_frame", "end_frame", F.lit("occlusion").alias("kind"), F.lit(0).alias("rank"))
+        marked = covered(near_holes(frames, rois, params), occlusions)
+        near = marked.withColumn("near", F.when(~F.col("covered"), F.col("near")))
+        close = proximity_runs(near, params).withColumn("kind", F.lit("proximity")).withColumn("rank", F.lit(1))
+        return _in_order(held, close, rois)
     held = occlusion_runs(frames).withColumn("kind", F.lit("occlusion")).withColumn("rank", F.lit(0))
     close = proximity_runs(near_holes(frames, rois, params), params).withColumn("kind", F.lit("proximity")).withColumn("rank", F.lit(1))
+    return _in_order(held, close, rois)
+
+
+def _in_order(held: DataFrame, close: DataFrame, rois: DataFrame) -> DataFrame:
     order = Window.partitionBy("trial_id").orderBy("start_frame", "rank")
     return (
         held.unionByName(close)

@@ -18,7 +18,9 @@ from ..functions.formula import formula_column
 from ..operators import investigations as inv
 from ..operators import demux, edits, measures, occupancy, overlays, report, roi, stats, strategy, timebase, tracking
 from ..params import InvestigationParams
-from ..sources import mp4, tables
+from ..sources import images, mp4, store, tables
+from ..sources.files import shared_folder
+from ..streaming import frames as frame_stream, tracker
 from ..vision import detect, maze
 from . import fixture, movies
 from .fixture import CX, CY, DIAMETER, HOLE_RADIUS, HOLES, PLATFORM, RING, ROTATION, Trials, table
@@ -667,11 +669,11 @@ def edit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT trial_id, click, frame_index, round(d, 6) AS d FROM (
-  SELECT c.trial_id, c.frame_index AS click, p.frame_index, sqrt((p.cx - c.cx - 2) * (p.cx - c.cx - 2) + (p.cy - c.cy + 1) * (p.cy - c.cy + 1)) AS d FROM det c JOIN det p ON p.trial_id = c.trial_id AND p.found WHERE c.event_id % 40 = 0)
+  SELECT c.trial_id, c.frame_index AS click, p.frame_index, sqrt((p.cx - c.cx - 2) * (p.cx - c.cx - 2) + (p.cy - c.cy + 1) * (p.cy - c.cy + 1)) AS d FROM det c JOIN det p ON p.trial_id = c.trial_id AND p.found WHERE c.event_id % 50 = 0)
 WHERE d < 14 QUALIFY row_number() OVER (PARTITION BY trial_id, click ORDER BY d, frame_index) = 1""")
 @trials
 def nearest_click(t: Trials) -> DataFrame:
-    clicks = t.detections.where("event_id % 40 = 0").select("trial_id", F.col("frame_index").alias("click"), (F.col("cx") + 2).alias("x"), (F.col("cy") - 1).alias("y"))
+    clicks = t.detections.where("event_id % 50 = 0").select("trial_id", F.col("frame_index").alias("click"), (F.col("cx") + 2).alias("x"), (F.col("cy") - 1).alias("y"))
     return r6(edits.nearest_point(t.simple, clicks), "d")
 
 
@@ -751,6 +753,59 @@ def video_tracks(t: Trials) -> DataFrame:
     return d.select(_trial_of_path(), "name", "ok", "timescale", "samples", ticks.alias("ticks"), "codec", "width", "height")
 
 
+#: Spans that overlap and nest: edited events, and a longer one of every fourth event.
+_SPANS = """SELECT trial_id, start_frame, end_frame FROM edited UNION ALL SELECT trial_id, frame_index, frame_index + event_id % 9 - 1 FROM det WHERE event_id % 4 = 0"""
+
+
+@query(f"""SELECT trial_id, frame_index, EXISTS (SELECT 1 FROM ({_SPANS}) s WHERE s.trial_id = d.trial_id AND d.frame_index BETWEEN s.start_frame AND s.end_frame) AS covered FROM det d""")
+@trials
+def covered_frames(t: Trials) -> DataFrame:
+    more = t.detections.where("event_id % 4 = 0").select("trial_id", F.col("frame_index").alias("start_frame"), (F.col("frame_index") + F.col("event_id") % 9 - 1).alias("end_frame"))
+    spans = t.investigations.select("trial_id", F.col("start_frame").cast("long").alias("start_frame"), F.col("end_frame").cast("long").alias("end_frame")).unionByName(more)
+    return inv.covered(t.detections.select("trial_id", "frame_index"), spans)
+
+
+@query("""SELECT trial_id, frame_index, state, round(cx, 6) AS cx, round(cy, 6) AS cy, round(nx, 6) AS nx, round(ny, 6) AS ny, area, hole_index::BIGINT AS hole_index FROM tracks""")
+@trials
+def stream_tracks(t: Trials) -> DataFrame:
+    """The tracker as a stream: frames come in bounded batches, each trial's ring is its
+    initial state, an end marker closes it."""
+    spark = t.spark
+    cols = ["trial_id", "frame_index", "found", "cx", "cy", "area", "ax", "ay", "bx", "by"]
+    found = t.detections.select(*cols)
+    ends = t.rois.select("trial_id", *[F.lit(None).cast(dict(found.dtypes)[c]).alias(c) for c in cols[1:]])
+    folder, out = shared_folder(spark, "frames"), shared_folder(spark, "tracks")
+    inputs = found.join(t.rois.select("trial_id"), "trial_id", "left_semi").unionByName(ends)
+    inputs.repartitionByRange(8, F.asc_nulls_last("frame_index")).sortWithinPartitions(F.asc_nulls_last("frame_index")).write.parquet(folder)
+    frames = frame_stream.read_frames(spark, folder, found.schema, max_frames=20_000)
+    q = tracker.track_trials(frames, t.rois).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "stream")).trigger(processingTime="0 seconds").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return r6(spark.read.parquet(out).where("error is null").drop("error"), "cx", "cy", "nx", "ny")
+
+
+@query("""SELECT trial_id, target_hole::BIGINT AS target_hole, CASE WHEN trial_id % 5 = 0 THEN 99.5 WHEN trial_id % 7 = 3 THEN 50 ELSE 92 END::DOUBLE AS platform_diameter_cm, CASE WHEN trial_id % 3 = 1 THEN 'late' END AS note, coalesce(pins, 0) AS pins
+FROM roi LEFT JOIN (SELECT trial_id, count(*) AS pins FROM det WHERE event_id % 11 = 0 GROUP BY trial_id) USING (trial_id) WHERE trial_id % 6 <> 0 OR trial_id % 5 = 0""")
+@trials
+def stored_regions(t: Trials) -> DataFrame:
+    """Regions and pins in a store after an upsert, a partial update, a new column, a
+    cascading delete, a key put again and a compaction."""
+    s = store.Store(t.spark, shared_folder(t.spark, "store"), {"regions": ["trial_id"], "pins": ["trial_id", "frame_index"]})
+    regions = t.rois.select("trial_id", F.col("target_hole").cast("long").alias("target_hole"), "platform_diameter_cm")
+    pins = t.detections.where("event_id % 11 = 0").select("trial_id", "frame_index")
+    s.commit({"regions": store.Change(put=regions), "pins": store.Change(put=pins)})
+    s.update("regions", regions.where("trial_id % 7 = 3").select("trial_id", F.lit(50.0).alias("platform_diameter_cm")))
+    s.put("regions", s.read("regions").where("trial_id % 3 = 1").withColumn("note", F.lit("late")))
+    s.delete(regions.where("trial_id % 6 = 0").select("trial_id"))
+    again = regions.where("trial_id % 5 = 0").withColumns({"platform_diameter_cm": F.lit(99.5), "note": F.when(F.col("trial_id") % 3 == 1, "late")})
+    s.commit({"regions": store.Change(put=again), "pins": store.Change(put=pins.where("trial_id % 5 = 0"))})
+    s.compact("regions", 4)
+    counts = s.read("pins").groupBy("trial_id").agg(F.count("*").alias("pins"))
+    return s.read("regions").join(counts, "trial_id", "left").select("trial_id", "target_hole", "platform_diameter_cm", "note", F.coalesce("pins", F.lit(0)).alias("pins"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections to trial rows: tracker, overlays, investigations, measures, strategy."""
     return _trial_rows(Trials(spark, sf_dir))

@@ -17,7 +17,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..sources.files import listed, opened
 
@@ -77,6 +77,7 @@ def read_frames(spark: SparkSession, path: str, schema: StructType, max_frames:
     """A stream of the rows of the Parquet files in ``path``, ``max_frames`` a trigger."""
     spark.dataSource.register(FrameGroups)
     groups = spark.readStream.format("frame_groups").option("maxFrames", max_frames).load(path)
+    schema = StructType([StructField(f.name, f.dataType) for f in schema.fields])  # end markers have nulls
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

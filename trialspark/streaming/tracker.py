@@ -27,7 +27,8 @@ _ROW = "frame_index long, state string, cx double, cy double, nx double, ny doub
 _TAIL = "next long, xs array<double>, ys array<double>, areas array<double>, nose array<double>, gone string, gone_hole long"
 _RING = "xs array<double>, ys array<double>, hole_radius double, target_hole long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: How long an ended trial is remembered, so that frames after its end are told as such.
+#: How long an ended trial is remembered, so that frames after its end are told as such:
+#: with timers; without them there is no clock, and it is remembered for good.
 REMEMBERED_MS = 24 * 3600 * 1000
 
 
@@ -41,7 +42,7 @@ class TrackTrials(StatefulProcessor):
         self.tail = handle.getValueState("tail", _TAIL)
         self.run = handle.getValueState("run", "place string, hole long")
         self.held = handle.getListState("held", _ROW)
-        self.ended = handle.getValueState("ended", "ended boolean", ttlDurationMs=REMEMBERED_MS)
+        self.ended = handle.getValueState("ended", "ended boolean", ttlDurationMs=REMEMBERED_MS if self.idle_ms else None)
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
         r = initialState.iloc[0]
@@ -97,14 +98,18 @@ class TrackTrials(StatefulProcessor):
             self.held.appendList(fresh)
         return out
 
+    def _stop_timers(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
     def _end(self) -> list[tuple]:
         rows = self._let_go()
         if rows:
             rows = close(rows, *self._ring(), self.params)
         for state in (self.ring, self.tail):
             state.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if self.idle_ms:
+            self._stop_timers()
         self.ended.update((True,))
         return rows
 
@@ -128,8 +133,7 @@ class TrackTrials(StatefulProcessor):
         if ends:
             out += self._end()
         elif self.idle_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            self._stop_timers()
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield self._rows(key, out)
         if bad:
@@ -163,5 +167,5 @@ def track_trials(stream: DataFrame, rois: DataFrame, params: TrackerParams = Tra
     cols = ["trial_id", "frame_index", "found", "cx", "cy", "area", "ax", "ay", "bx", "by"]
     rings = rois.select("trial_id", "holes", "hole_radius", F.col("target_hole").cast("long").alias("target_hole"))
     return stream.select(*cols).groupBy("trial_id").transformWithStateInPandas(
-        TrackTrials(params, idle_ms), StructType.fromDDL(TRACK), "Append", "ProcessingTime", rings.groupBy("trial_id")
+        TrackTrials(params, idle_ms), StructType.fromDDL(TRACK), "Append", "ProcessingTime" if idle_ms else "None", rings.groupBy("trial_id")
     )

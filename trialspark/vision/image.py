@@ -14,7 +14,12 @@ def rgba_to_gray(rgba: bytes | np.ndarray, width: int, height: int) -> np.ndarra
     data = np.frombuffer(rgba, np.uint8) if isinstance(rgba, (bytes, bytearray, memoryview)) else rgba
     if data.size < width * height * 4:
         raise ValueError("the buffer is shorter than the image")
-    px = data[: width * height * 4].reshape(height, width, 4).astype(float)
+    return rgb_to_gray(data[: width * height * 4].reshape(height, width, 4))
+
+
+def rgb_to_gray(px: np.ndarray) -> np.ndarray:
+    """Luma of (..., red, green, blue, ...) pixels, its fraction cut off."""
+    px = px.astype(float)
     return (0.299 * px[..., 0] + 0.587 * px[..., 1] + 0.114 * px[..., 2]).astype(np.uint8)
 
 
