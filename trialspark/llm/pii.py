@@ -85,18 +85,32 @@ def find(text: str) -> dict[str, list[Span]]:
 
 # Letters of other scripts that look like these ASCII letters.
 _LOOKALIKE = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅαορνΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwABEKMHOPCTYXIJSaopvABEZHIKMNOPTYX", strict=True))
-_DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_SIGN_WORDS = {"at": "@", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
+# Digits and signs as words, in English, German, French and Spanish.
+_DIGIT_WORDS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "une": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+_SIGN_WORDS = {"at": "@", "ät": "@", "arroba": "@", "arobase": "@", "klammeraffe": "@", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
+_AT_WORD, _DOT_WORD = "at|ät|arroba|arobase|klammeraffe", "dot|punkt|punto|point"
 _BRACKETED = re.compile(
-    r"[\x20]*[\[({<][\x20]*(at|dot|punkt|point|punto|@|\.)[\x20]*[\])}>][\x20]*|(?<=[A-Za-z0-9])[_*~-]{1,3}(at|dot)[_*~-]{1,3}(?=[A-Za-z0-9])|&(?:#64|\#x40|commat);()|&(?:\#46|\#x2e|period);()", re.I
+    r"[\x20]*[\[({<][\x20]*(at|ät|arroba|arobase|dot|punkt|point|punto|@|\.)[\x20]*[\])}>][\x20]*|(?<=[A-Za-z0-9])[_*~-]{1,3}(at|dot)[_*~-]{1,3}(?=[A-Za-z0-9])|&(?:#64|\#x40|commat);()|&(?:\#46|\#x2e|period);()", re.I
 )
 # " @ " and " . " with spaces on both sides
 _LOOSE_SIGNS = re.compile(r"(?<=[A-Za-z0-9_%+-])(\x20*@\x20*)((?:[A-Za-z0-9-]+(?:\.|\x20+\.\x20+))+[A-Za-z]{2,})(?![A-Za-z0-9-])")
 _LOOSE_DOT = re.compile(r"\x20+\.\x20+")
-_SPOKEN = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
-# runs of spelled digits and numbers, one spelled digit at least
-_DIGIT_WORD = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9]+[\s,-]+)*+(?:{_SPOKEN})(?:[\s,-]+(?:{_SPOKEN}|[0-9]+))*+(?![A-Za-z0-9])", re.I)
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+")
+_SPOKEN = "|".join(sorted(_DIGIT_WORDS, key=lambda w: -len(w)))
+# runs of spelled digits and numbers, one spelled digit at least, or a spelled plus
+_DIGIT_WORD = re.compile(
+    rf"(?<![^\W_])(?:(?:plus|más)[\s-]+(?=(?:(?:{_SPOKEN}|[0-9])[0-9\s,-]*+){{4}}))?(?:[0-9]+[\s,-]+)*+(?:{_SPOKEN})(?:[\s,-]+(?:{_SPOKEN}|[0-9]+))*+(?![^\W_])", re.I
+)
+_PLUS_DIGITS = re.compile(r"(?<![^\W_])(?:plus|más)[\s-]+(?=[0-9](?:[\x20().-]*+[0-9]){8,14}(?![0-9]))", re.I)
+_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+")
+# four numbers of an address, of digits or of one to three spelled ones
+_SPOKEN_PART = rf"(?:[0-9]{{1,3}}|(?:{_SPOKEN})(?:[\s-]+(?:{_SPOKEN})){{0,2}})"
+_SPOKEN_IP = re.compile(rf"(?<![^\W_])(?<![0-9.]){_SPOKEN_PART}(?:(?:\x20+(?:{_DOT_WORD})\x20+|\x20*\.\x20*){_SPOKEN_PART}){{3}}(?![^\W_])", re.I)
+_IP_DOT = re.compile(rf"\x20+(?:{_DOT_WORD})\x20+|\x20*\.\x20*", re.I)
 # "x at y dot z" in words is an address only with a country's or a common ending.
 _COUNTRIES = (
     "ac ad ae af ag ai al am ao ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
@@ -114,16 +128,30 @@ _END = "(?:" + "|".join(sorted(_COUNTRIES + _GENERIC, key=lambda e: -len(e))) +
 _WORDLIKE = frozenset("ad am as at be by co de do es et fun group id il in is it la life live ma me mu my name news no page post re so space team tech to today tools top us world art".split())
 _NO_DOMAIN = frozenset("the a an this that these those each every any one some another no which what my your our his her its their first second third last next same".split())
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9_%+-]+)*)(\x20+at\x20+)([A-Za-z0-9-]{2,}(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9-]{2,})*\x20+dot\x20+(?:" + _END + r"))(?![A-Za-z0-9-])", re.I)
-_SPACED_DOT = re.compile(r"\x20+dot\x20+", re.I)
+_SPACED_DOT = re.compile(rf"\x20+(?:{_DOT_WORD})\x20+", re.I)
+#: The same with the signs' words of other languages, or with any ending where the
+#: address ends a line, a clause or the text. "at" and "point" are too common together.
+_FOREIGN = re.compile(
+    rf"(?<![{_LOCAL}])([A-Za-z0-9_%+-]+(?:(?:\.|\x20+(?:dot|punkt|punto|point)\x20+)[A-Za-z0-9_%+-]+)*)(\x20+(?:arroba|arobase|klammeraffe|ät)\x20+|\x20+at\x20+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\x20+(?:punkt|punto)\x20))"
+    rf"([A-Za-z0-9-]{{2,}}(?:(?:\.|\x20+(?:{_DOT_WORD})\x20+)[A-Za-z0-9-]{{2,}})*\x20+(?:{_DOT_WORD})\x20+(?:{_END}))(?![A-Za-z0-9-])", re.I,
+)
+_OPEN_END = re.compile(
+    r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9_%+-]+)*)(\x20+at\x20+)([A-Za-z0-9-]{2,}(?:(?:\.|\x20+dot\x20+)[A-Za-z0-9-]{2,})*\x20+dot\x20+[A-Za-z]{2,12})(?=\x20*(?:[.,;:!?)\n]|\Z))", re.I
+)
 # mixed forms: " dot " about a given "@", " at " before a domain whose dot was disguised, " dot " between numbers
 _AT_DOMAIN = re.compile(r"@((?:[A-Za-z0-9-]+(?:\.|\x20+dot\x20+))+" + _END + r")(?![A-Za-z0-9-])", re.I)
+_LABELS = re.compile(rf"\.|\x20+(?:{_DOT_WORD})\x20+", re.I)
 _LOCAL_DOTS = re.compile(rf"(?<![{_LOCAL}])(?:[{_LOCAL}]+\x20+dot\x20+)+[{_LOCAL}]+\Z", re.I)
 _AT_DOTTED = re.compile(rf"(?<=[{_LOCAL}])(\x20+at\x20+)((?:[A-Za-z0-9-]{{2,}}(?:\.|\x20+dot\x20+))*[A-Za-z0-9-]{{2,}}\.{_END})(?![A-Za-z0-9-])", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])\x20+dot\x20+(?=[0-9])", re.I)
 #: A text without any of these has nothing to rewrite.
 _HINT = re.compile(
-    r"[\[({<][\x20]*(?:at|dot|punkt|point|punto|@|\.)[\x20]*[\])}>]|[\x20_*~-]dot[\x20_*~-]|\x20@|@\x20|\x20\.\x20|&(?:\#|commat|period)|(?<![A-Za-z])(?:" + _SPOKEN + r")(?![A-Za-z])", re.I
+    r"[\[({<][\x20]*(?:at|ät|arroba|arobase|dot|punkt|point|punto|@|\.)[\x20]*[\])}>]|[\x20_*~-](?:dot|punkt|punto)[\x20_*~-]|\x20(?:arroba|arobase|klammeraffe|ät)\x20|(?<![^\W_])(?:plus|más)\x20+[0-9]|\x20@|@\x20|\x20\.\x20|&(?:\#|commat|period)", re.I
 )
+#: Nor one without two spelled digits, or one beside a number or a dot's word. It is for
+#: lower-cased text, since a choice of words is slow to match in either case.
+_SPOKEN_HINT = re.compile(rf"(?<![^\W_])(?=[a-zäéf])(?:(?:{_SPOKEN})[\s,-]+(?:{_SPOKEN}|[0-9])|point\x20+(?:{_SPOKEN})(?![^\W_]))|[0-9][\s,-]+(?:{_SPOKEN})(?![^\W_])")
+
 # beyond Latin letters and general punctuation, or invisible
 _LATIN = re.compile("[^\\x00-\\u024f\\u2000-\\u206f]|[\\u00ad\\u200b-\\u200d\\u2060]")
 
@@ -178,8 +206,12 @@ def _sign(found: re.Match) -> str:
     return "@" if found.group(3) is not None else "."
 
 
+def _as_digits(text: str) -> str:
+    return "".join("+" if t.lower() in ("plus", "más") else _DIGIT_WORDS.get(t.lower(), t) for t in _TOKEN.findall(text))
+
+
 def _digits_of(found: re.Match) -> str:
-    return "".join(_DIGIT_WORDS.get(t.lower(), t) for t in _TOKEN.findall(found.group()))
+    return _as_digits(found.group())
 
 
 def _dots(found: re.Match, group: int) -> list[tuple[int, int, str]]:
@@ -189,7 +221,7 @@ def _dots(found: re.Match, group: int) -> list[tuple[int, int, str]]:
 def normalise(text: str) -> Traced | None:
     """The rewritten text, or None where nothing needs rewriting."""
     odd = [(m.start(), m.end(), by) for m in _LATIN.finditer(text) if (by := _plain_char(m.group())) is not None]
-    if not odd and not _HINT.search(text):
+    if not odd and not _HINT.search(text) and not _SPOKEN_HINT.search(text.lower()):
         return None
     out = Traced(text)
     if odd:
@@ -199,15 +231,15 @@ def normalise(text: str) -> Traced | None:
     loose = [e for m in _LOOSE_SIGNS.finditer(out.text) if "\x20" in m.group() for e in [(*m.span(1), "@"), *((d.start() + m.start(2), d.end() + m.start(2), ".") for d in _LOOSE_DOT.finditer(m.group(2)))]]
     if loose:
         out.rewrite(loose)
-    spelled = []
-    for m in _SPELLED.finditer(out.text):
-        labels = re.split(r"\.|\x20+dot\x20+", m.group(3).lower())
-        if labels[-1] in _WORDLIKE and labels[-2] in _NO_DOMAIN:
-            continue
-        edits = [(*m.span(2), "@"), *_dots(m, 1), *_dots(m, 3)]
-        spelled += sorted(edits)
-    if spelled:
-        out.rewrite(spelled)
+    for pattern in (_SPELLED, _FOREIGN, _OPEN_END):
+        spelled = []
+        for m in pattern.finditer(out.text):
+            labels = _LABELS.split(m.group(3).lower())
+            if labels[-2] in _NO_DOMAIN and (labels[-1] in _WORDLIKE or pattern is _OPEN_END):
+                continue
+            spelled += sorted([(*m.span(2), "@"), *_dots(m, 1), *_dots(m, 3)])
+        if spelled:
+            out.rewrite(spelled)
     if dotted := [e for m in _AT_DOTTED.finditer(out.text) if any(out.new[i] for i in range(*m.span(2)) if out.text[i] == ".") for e in [(*m.span(1), "@"), *_dots(m, 2)]]:
         out.rewrite(dotted)
     mixed: set[tuple[int, int, str]] = set()
@@ -219,8 +251,23 @@ def normalise(text: str) -> Traced | None:
     mixed.update((*m.span(), ".") for m in _NUMBER_DOT.finditer(out.text))
     if mixed:
         out.rewrite(sorted(mixed))
+    parts = []
+    for m in _SPOKEN_IP.finditer(out.text):
+        at = m.start()
+        for piece in [*_IP_DOT.finditer(m.group()), None]:
+            end = m.start() + piece.start() if piece else m.end()
+            if not out.text[at:end].isdigit():
+                parts.append((at, end, _as_digits(out.text[at:end])))
+            if piece:
+                at = m.start() + piece.end()
+                if piece.group() != ".":
+                    parts.append((end, at, "."))
+    if parts:
+        out.rewrite(parts)
     if numbers := [(m.start(), m.end(), _digits_of(m)) for m in _DIGIT_WORD.finditer(out.text) if len(_TOKEN.findall(m.group())) > 3]:
         out.rewrite(numbers)
+    if signs := [(m.start(), m.end(), "+") for m in _PLUS_DIGITS.finditer(out.text)]:
+        out.rewrite(signs)
     return out
 
 
