@@ -67,6 +67,9 @@ FILTER_BITS = 1 << 25
 KEYS = 40
 #: Bands of the weight of partners; the last has no upper end.
 BANDS = 16
+#: Elements of a delta up to which it goes with its keys, so that the join counts pairs
+#: out; larger ones are counted out after it.
+CARRIED = 256
 #: Pairs of one hub that share its text in a task.
 BLOCK = 1024
 
@@ -387,8 +390,16 @@ def under_hubs(laid: DataFrame, near: Near) -> DataFrame:
     first = written(counted_out(stars).select("x", "y", "px", "py").distinct(), "first")
     joined = components(first, "px", "py").select(F.col("node").alias("part"), "root")
     keys = keys.join(joined, "part", "left").withColumn("part", F.coalesce("root", "part"))
-    side = lambda d, n: d.select("hub", "key", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part")])
-    met = side(keys.where("top"), "x").join(side(keys, "y"), ["hub", "key"]).where("node_x != node_y and part_x != part_y")
+    still = keys.groupBy("hub", "key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("top").alias("some")).where("low < high and some").select("hub", "key")
+    # deltas as halves of their hashes; halves that fall together are added back as spare
+    half = F.array_distinct(F.transform("delta", lambda v: F.shiftright(v, 32).cast("int")))
+    brief = rows.select("hub", "node", F.when(F.size("delta") <= CARRIED, half).alias("brief"), (F.size("delta") - F.size(half)).alias("spare"), "weight", "slack")
+    keys = written(keys.join(still, ["hub", "key"]).select("hub", "key", "node", "part", "top").join(brief, ["hub", "node"]), "still")
+    side = lambda d, n: d.select("hub", "key", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "part", "brief", "spare", "weight", "slack")])
+    common = F.size(F.array_intersect("brief_x", "brief_y")) + F.col("spare_x") + F.col("spare_y")
+    may = (100 + near.percent) * common >= F.col("weight_x") + F.col("weight_y") - F.col("slack_x")
+    met = side(keys.where("top"), "x").join(side(keys, "y"), ["hub", "key"])
+    met = met.where((F.col("node_x") != F.col("node_y")) & (F.col("part_x") != F.col("part_y")) & (F.col("brief_x").isNull() | F.col("brief_y").isNull() | may))
     pairs = met.select("hub", F.greatest("node_x", "node_y").alias("x"), F.least("node_x", "node_y").alias("y")).distinct()
     return first.select("x", "y").unionByName(counted_out(pairs).select("x", "y")).distinct()
 
