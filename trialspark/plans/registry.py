@@ -806,6 +806,58 @@ def stored_regions(t: Trials) -> DataFrame:
     return s.read("regions").join(counts, "trial_id", "left").select("trial_id", "target_hole", "platform_diameter_cm", "note", F.coalesce("pins", F.lit(0)).alias("pins"))
 
 
+@query(f"""SELECT trial_id, frame_index, round(sqrt((cx - {CX}) * (cx - {CX}) + (cy - {CY}) * (cy - {CY})), 6) AS platform_radius, round(sqrt((ax - {CX}) * (ax - {CX}) + (ay - {CY}) * (ay - {CY})), 6) AS ring_radius,
+  round(atan2(ay - {CY}, ax - {CX}), 6) AS rotation, (5 + event_id % 30)::BIGINT AS hole_count, CASE WHEN event_id % 3 > 0 THEN round(cx / (event_id % 3), 6) END AS cm FROM det""")
+@trials
+def ring_clicks(t: Trials) -> DataFrame:
+    """A ring from three clicks of each frame, and lengths where there is a scale."""
+    c, middle = F.col, (F.lit(CX), F.lit(CY))
+    ring = g.ring_from_clicks(*middle, c("cx"), c("cy"), c("ax"), c("ay"), (5 + c("event_id") % 30).cast("long"))
+    d = t.detections.select("trial_id", "frame_index", ring.alias("r"), g.px_to_cm(c("cx"), (c("event_id") % 3).cast("double")).alias("cm"))
+    return r6(d.select("trial_id", "frame_index", "r.*", "cm"), "platform_radius", "ring_radius", "rotation", "cm")
+
+
+@query("""SELECT event_id, round(CASE WHEN top <= 0 THEN 1 ELSE p * CASE WHEN raw / p < 1.5 THEN 1 WHEN raw / p < 3 THEN 2 WHEN raw / p < 7 THEN 5 ELSE 10 END END, 6) AS step, greatest(-20.0::DOUBLE, least(300.0::DOUBLE, floor(top + 0.5)))::BIGINT AS held
+FROM (SELECT *, pow(10.0::DOUBLE, floor(log10(raw))) AS p FROM (SELECT *, greatest(top, 1e-300::DOUBLE) / 5 AS raw FROM (SELECT event_id, ((event_id % 977 - 40) * 1.37)::DOUBLE AS top FROM events)))""", plain=True)
+def axis_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of an axis up to each value, and values held in a range."""
+    top = (F.col("event_id") % 977 - 40) * F.lit(1.37)
+    held = scalars.clamp(top, F.lit(-20), F.lit(300)).cast("long")
+    return r6(table(spark, sf_dir, "events").select("event_id", scalars.nice_tick_step(top, 5).cast("double").alias("step"), held.alias("held")), "step")
+
+
+@query(f"""WITH first AS (SELECT min(trial_id) AS m FROM roi WHERE trial_id % 4 <> 0)
+SELECT v.trial_id, (CASE WHEN r.trial_id IS NULL THEN (SELECT target_hole FROM roi WHERE trial_id = m) ELSE r.target_hole END)::BIGINT AS target_hole,
+  CASE WHEN r.trial_id IS NULL THEN 'template' ELSE 'own' END AS source, CASE WHEN coalesce(r.trial_id, m) % 3 = 0 THEN 80.5 ELSE {DIAMETER} END::DOUBLE AS platform_diameter_cm
+FROM (SELECT DISTINCT trial_id FROM det) v CROSS JOIN first LEFT JOIN (SELECT * FROM roi WHERE trial_id % 4 <> 0) r USING (trial_id)""".replace("WITH first AS", "SELECT * FROM (WITH first AS") + ")")
+@trials
+def region_defaults(t: Trials) -> DataFrame:
+    """Trials without a region take the template, regions without a diameter the setting."""
+    own = t.rois.where("trial_id % 4 <> 0").select("trial_id", F.col("target_hole").cast("long").alias("target_hole"), F.lit("own").alias("source"), F.when(F.col("trial_id") % 3 != 0, F.col("platform_diameter_cm")).alias("platform_diameter_cm"))
+    setting = table(t.spark, t.sf_dir, "region").where("r_regionkey = 0").select(F.lit(80.5).alias("diameter_cm"))
+    whole = roi.from_template(own, own.orderBy("trial_id"), t.detections.select("trial_id").distinct())
+    return roi.with_default_diameter(whole, setting)
+
+
+@query(f"""SELECT trial_id, k::BIGINT AS k, round(atan2(hy - {CY}, hx - {CX}) + (2 * k + 1) * pi() / 4, 6) AS border FROM roi JOIN hole ON i = target_hole, range(0, 4) r(k)""")
+@trials
+def quadrant_borders(t: Trials) -> DataFrame:
+    d = roi.quadrant_legend(t.rois).select("trial_id", F.posexplode("borders").alias("k", "border"))
+    return r6(d.withColumn("k", F.col("k").cast("long")), "border")
+
+
+@query("""WITH v AS (SELECT user_id AS trial_id, epoch_us(min(ts)) AS us FROM events GROUP BY user_id), e AS (SELECT min(trial_id) AS a, max(trial_id) AS b FROM v)
+SELECT trial_id, CASE trial_id WHEN a THEN (SELECT us FROM v WHERE trial_id = b) WHEN b THEN (SELECT us FROM v WHERE trial_id = a) ELSE us END AS added_at, trial_id % 3 <> 0 AS is_new FROM v, e""", plain=True)
+@trials
+def video_order(t: Trials) -> DataFrame:
+    """Videos after two of them traded places, and which of them weren't loaded yet."""
+    videos = t.detections.groupBy("trial_id").agg(F.min("us").alias("added_at")).withColumn("name", F.concat(F.lit("v"), F.col("trial_id").cast("string")))
+    ends = videos.agg(F.min("trial_id").alias("a"), F.max("trial_id").alias("b")).first()
+    missing = tables.fetch_missing(videos.select("name"), videos.where("trial_id % 3 = 0")).withColumn("is_new", F.lit(True))
+    moved = tables.list_videos(tables.swap_order(videos.withColumn("blob", F.lit(b"x")), ends.a, ends.b))
+    return moved.join(missing, "name", "left").select("trial_id", "added_at", F.coalesce("is_new", F.lit(False)).alias("is_new"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections to trial rows: tracker, overlays, investigations, measures, strategy."""
     return _trial_rows(Trials(spark, sf_dir))
