@@ -27,7 +27,7 @@ def test_stages_take_effect(spark, tmp_path):
 def test_queries_and_sql_names():
     from trialspark.llm import queries
 
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
