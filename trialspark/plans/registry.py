@@ -5,10 +5,11 @@ Doubles are rounded to 6 places on both sides, since sums depend on their order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -541,22 +542,30 @@ def circular_mean(t: Trials) -> DataFrame:
     return t.detections.where("found").select("trial_id", "cx", "cy").groupBy("trial_id").applyInPandas(mean, "trial_id long, mean_angle double")
 
 
-def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gray frames of a blob that moves as the trials do, one an event."""
-    d = Trials(spark, sf_dir).detections
+#: Frames drawn at a time.
+_DRAWN = 512
 
-    def draw(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                img = np.full((120, 160), 180, np.uint8)
-                x, y = int(r.cx) % 120 + 15, int(r.cy) % 80 + 15
-                if r.found:
-                    img[y : y + 8, x : x + 14] = 30
-                rows.append((r.trial_id, r.frame_index, 160, 120, img.tobytes()))
-            yield pd.DataFrame(rows, columns=["trial_id", "frame_index", "width", "height", "pixels"])
 
-    return d.select("trial_id", "frame_index", "found", "cx", "cy").mapInPandas(draw, "trial_id long, frame_index long, width int, height int, pixels binary")
+def _scenes(d: DataFrame) -> DataFrame:
+    """Gray frames of a blob that moves as the trials do, one an event of ``d``."""
+    names = ["trial_id", "frame_index", "width", "height", "pixels"]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _DRAWN):
+                batch = whole.slice(start, _DRAWN)
+                n = batch.num_rows
+                found, cx, cy = (batch.column(i).to_pylist() for i in (2, 3, 4))
+                img = np.full((n, 120, 160), 180, np.uint8)
+                for i in range(n):
+                    if found[i]:
+                        x, y = int(cx[i]) % 120 + 15, int(cy[i]) % 80 + 15
+                        img[i, y : y + 8, x : x + 14] = 30
+                ends = pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (120 * 160))
+                pixels = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(img)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.repeat(pa.scalar(160, pa.int32()), n), pa.repeat(pa.scalar(120, pa.int32()), n), pixels], names)
+
+    return d.select("trial_id", "frame_index", "found", "cx", "cy").mapInArrow(draw, "trial_id long, frame_index long, width int, height int, pixels binary")
 
 
 #: A 14 x 8 block of 30 on 180; its axis is level, so its ends are the middles of its sides.
@@ -568,8 +577,9 @@ _BLOB = "(cx::BIGINT % 120 + 120) % 120 + 15", "(cy::BIGINT % 80 + 80) % 80 + 15
   18::DOUBLE AS threshold, CASE WHEN found THEN 1 ELSE 0 END::INT AS candidate_count, 0::DOUBLE AS runner_up_area
 FROM (SELECT *, {_BLOB[0]} AS x, {_BLOB[1]} AS y FROM det)""")
 def detect_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _scenes(spark, sf_dir)
-    d = detect.detect(frames, detect.backgrounds(frames))
+    events = Trials(spark, sf_dir).detections
+    ground = detect.medians(_scenes(detect.sampled_frames(events)))
+    d = detect.detect(_scenes(events), ground, index=events)
     return d.select("trial_id", "frame_index", "found", "cx", "cy", "area", F.abs(F.round("orientation", 6)).alias("orientation"), F.least("ax", "bx").alias("low_x"), F.greatest("ax", "bx").alias("high_x"), "threshold", "candidate_count", "runner_up_area")
 
 
@@ -585,10 +595,10 @@ FROM (SELECT *, CASE WHEN found THEN {_BLOB[0]} END AS x, CASE WHEN found THEN {
   GROUP BY x, y) m USING (x, y)""")
 def detect_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection inside a round platform, which cuts some of the blobs."""
-    frames = _scenes(spark, sf_dir)
-    ground = detect.backgrounds(frames)
+    events = Trials(spark, sf_dir).detections
+    ground = detect.medians(_scenes(detect.sampled_frames(events)))
     rois = ground.select("trial_id", F.lit(80.0).alias("center_x"), F.lit(60.0).alias("center_y"), F.lit(50.0).alias("platform_radius"))
-    d = detect.detect(frames, ground, rois)
+    d = detect.detect(_scenes(events), ground, rois)
     return r6(d.select("trial_id", "frame_index", "found", "area", "cx", "cy", "candidate_count"), "cx", "cy")
 
 

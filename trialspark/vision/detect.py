@@ -61,7 +61,8 @@ def sample_indices(n: int, k: int = 30) -> list[int]:
 
 def sampled_frames(frames: DataFrame, k: int = 30, seen: DataFrame | None = None) -> DataFrame:
     """The frames of each trial's sample: a semi-join of computed numbers, k a trial.
-    ``seen``: the same frames, where their reading is to be observed."""
+    ``seen``: the same frames, where their reading is to be observed. Frames whose pixels
+    are costly to come by are chosen by their numbers alone, before the pixels are made."""
     n = F.max("frame_index") + 1
     spread = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("n") - 1) / (k - 1) + 0.5).cast("long"))
     wanted = frames.groupBy("trial_id").agg(n.alias("n")).select("trial_id", F.explode(F.array_distinct(spread)).alias("frame_index"))
@@ -70,14 +71,19 @@ def sampled_frames(frames: DataFrame, k: int = 30, seen: DataFrame | None = None
 
 def backgrounds(frames: DataFrame, k: int = 30, seen: DataFrame | None = None) -> DataFrame:
     """(trial_id, width, height, background): the upper median of at most k frames."""
+    return medians(sampled_frames(frames, k, seen))
+
+
+def medians(sampled: DataFrame) -> DataFrame:
+    """Backgrounds of the frames given, few a trial."""
 
     def median(pdf: pd.DataFrame) -> pd.DataFrame:
         stack = np.stack([np.frombuffer(p, np.uint8) for p in pdf.pixels])
         first = pdf.iloc[0]
         return pd.DataFrame({"trial_id": [first.trial_id], "width": [first.width], "height": [first.height], "background": [image.upper_median(stack).tobytes()]})
 
-    id_type = dict(frames.dtypes)["trial_id"]
-    return sampled_frames(frames, k, seen).groupBy("trial_id").applyInPandas(median, f"trial_id {id_type}, width int, height int, background binary")
+    id_type = dict(sampled.dtypes)["trial_id"]
+    return sampled.groupBy("trial_id").applyInPandas(median, f"trial_id {id_type}, width int, height int, background binary")
 
 
 #: Frames of a trial that one task detects in a row; each such block gets the trial's
@@ -85,23 +91,29 @@ def backgrounds(frames: DataFrame, k: int = 30, seen: DataFrame | None = None) -
 BLOCK = 4096
 
 
-def _laid_out(frames: DataFrame, background: DataFrame, rois: DataFrame | None) -> DataFrame:
-    """Frames by blocks of a trial, each block's background (and region) before them."""
+def _laid_out(frames: DataFrame, background: DataFrame, rois: DataFrame | None, index: DataFrame | None) -> DataFrame:
+    """Frames by blocks of a trial, each block's background (and region) before them.
+
+    There are as many partitions as the frames make blocks. Pixels may shrink a hundred
+    times on their way, so sizes of the exchange don't tell what a task has to hold."""
+    index = frames if index is None else index
+    parts = max(index.count() // BLOCK + 1, int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     block = F.floor(F.col("frame_index") / BLOCK).cast("long").alias("_block")
     region = ("center_x", "center_y", "platform_radius")
     plain = frames.select("trial_id", block, F.col("frame_index").cast("long").alias("frame_index"), "width", "height", "pixels", *[F.lit(None).cast("double").alias(c) for c in region])
-    heads = frames.select("trial_id", block).distinct().join(background.select("trial_id", "width", "height", "background"), "trial_id")
+    heads = index.select("trial_id", block).distinct().join(background.select("trial_id", "width", "height", "background"), "trial_id")
     if rois is not None:
         heads = heads.join(rois.select("trial_id", *region), "trial_id", "left")
     else:
         heads = heads.withColumns({c: F.lit(None) for c in region})
     heads = heads.select("trial_id", "_block", F.lit(-1).cast("long").alias("frame_index"), "width", "height", F.col("background").alias("pixels"), *[F.col(c).cast("double").alias(c) for c in region])
-    return plain.unionByName(heads).repartition("trial_id", "_block").sortWithinPartitions("trial_id", "_block", "frame_index")
+    return plain.unionByName(heads).repartition(parts, "trial_id", "_block").sortWithinPartitions("trial_id", "_block", "frame_index")
 
 
-def detect(frames: DataFrame, background: DataFrame, rois: DataFrame | None = None, detector: Detector | None = None) -> DataFrame:
+def detect(frames: DataFrame, background: DataFrame, rois: DataFrame | None = None, detector: Detector | None = None, index: DataFrame | None = None) -> DataFrame:
     """Detections of all frames of trials that have a background. With ``rois``, only
-    inside the platform.
+    inside the platform. ``index``: trial_id and frame_index of the same frames, where
+    they are known without the pixels.
 
     Frames go by trial, in blocks, to a task that reads them as a stream: a block's
     background comes once, before its frames, and its mask is made once. A trial of any
@@ -115,23 +127,24 @@ def detect(frames: DataFrame, background: DataFrame, rois: DataFrame | None = No
         key: tuple | None = None
         ground, mask = np.zeros((0, 0), np.uint8), None
         for batch in batches:
-            trial, block, index, width, height, px, *region = [batch.column(i) for i in range(9)]
+            trial, block, index, width, height = (batch.column(i).to_pylist() for i in range(5))
+            px, *region = (batch.column(i) for i in range(5, 9))
             rows, found = [], []
             for i in range(batch.num_rows):
-                shape = (height[i].as_py(), width[i].as_py())
+                shape = (height[i], width[i])
                 image_of = np.frombuffer(px[i].as_buffer(), np.uint8).reshape(shape)
-                if index[i].as_py() == -1:
-                    key, ground = (trial[i].as_py(), block[i].as_py()), image_of.copy()
+                if index[i] == -1:
+                    key, ground = (trial[i], block[i]), image_of.copy()
                     x, y, r = (c[i].as_py() for c in region)
                     mask = None if r is None else image.circle_mask(shape[1], shape[0], x, y, r)
-                elif key == (trial[i].as_py(), block[i].as_py()):
+                elif key == (trial[i], block[i]):
                     rows.append(i)
                     found.append(backend.detect(image_of, ground, mask))
             kept = batch.select([0, 2]).take(pa.array(rows, pa.int64()))
             columns = [pa.array([f.get(c) for f in found], to_arrow_type(schema[c].dataType)) for c in fields]
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], schema.fieldNames())
 
-    return _laid_out(frames, background, rois).mapInArrow(run, schema)
+    return _laid_out(frames, background, rois, index).mapInArrow(run, schema)
 
 
 def track_frames(frames: DataFrame, rois: DataFrame, params: TrackerParams = TrackerParams(), detector: Detector | None = None) -> DataFrame:
