@@ -597,8 +597,8 @@ def detect_in_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection inside a round platform, which cuts some of the blobs."""
     events = Trials(spark, sf_dir).detections
     ground = detect.medians(_scenes(detect.sampled_frames(events)))
-    rois = ground.select("trial_id", F.lit(80.0).alias("center_x"), F.lit(60.0).alias("center_y"), F.lit(50.0).alias("platform_radius"))
-    d = detect.detect(_scenes(events), ground, rois)
+    rois = events.select("trial_id").distinct().select("trial_id", F.lit(80.0).alias("center_x"), F.lit(60.0).alias("center_y"), F.lit(50.0).alias("platform_radius"))
+    d = detect.detect(_scenes(events), ground, rois, index=events)
     return r6(d.select("trial_id", "frame_index", "found", "area", "cx", "cy", "candidate_count"), "cx", "cy")
 
 
