@@ -499,7 +499,7 @@ def cohort_status(t: Trials) -> DataFrame:
     WINDOW o AS (PARTITION BY l_partkey ORDER BY value), p AS (PARTITION BY l_partkey)) WHERE total > w
 ) QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY variance DESC, value) = 1""", plain=True)
 def otsu_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = (F.round("l_extendedprice").cast("long") % 200).cast("int")
+    v = (F.rint("l_extendedprice").cast("long") % 200).cast("int")  # halves to the even number, as the SQL casts
     counts = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("k"), v.alias("value")).groupBy("k", "value").agg(F.count("*").alias("n"))
     return detect.otsu(counts, ["k"])
 
