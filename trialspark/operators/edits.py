@@ -98,15 +98,19 @@ def nearest_point(path: DataFrame, clicks: DataFrame, reach: float = 14.0) -> Da
     """``clicks``: trial_id, click, x, y. The frame whose point lies nearest to a click
     and within ``reach`` of it, the first of equals; none for a click elsewhere.
 
-    Path and clicks lie on a grid of cells as wide as the reach: a click asks its own
-    cell and the eight around it, by equality, so it meets the points near it and not
-    the trial's path.
+    Path and clicks lie on a grid of cells twice as wide as the reach: a click asks the
+    four cells at most that its reach touches, by equality, so it meets the points near
+    it and not the trial's path. Points in one place count once, by their first frame,
+    and so do clicks in one place: an animal that rests makes no product.
     """
-    cell = lambda x: F.floor(F.col(x) / reach).cast("long")
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    points = path.where(F.col("cx").isNotNull() & F.col("cy").isNotNull()).select("trial_id", "frame_index", "cx", "cy", cell("cx").alias("_i"), cell("cy").alias("_j"))
-    asked = clicks.select("*", around.alias("_c")).select(*clicks.columns, (cell("x") + F.col("_c.i")).alias("_i"), (cell("y") + F.col("_c.j")).alias("_j"))
-    d = asked.join(points, ["trial_id", "_i", "_j"])
-    gap = F.sqrt((F.col("cx") - F.col("x")) ** 2 + (F.col("cy") - F.col("y")) ** 2)
-    best = d.withColumn("d", gap).where(F.col("d") < reach).groupBy("trial_id", "click").agg(F.min(F.struct("d", "frame_index")).alias("b"))
+    cell = lambda x: F.floor(x / F.lit(2 * reach)).cast("long")
+    c = F.col
+    points = path.where(c("cx").isNotNull() & c("cy").isNotNull()).groupBy("trial_id", "cx", "cy").agg(F.min("frame_index").alias("frame_index"))
+    points = points.withColumns({"_i": cell(c("cx")), "_j": cell(c("cy"))})
+    cells = lambda x: F.explode(F.sequence(cell(c(x) - reach), cell(c(x) + reach)))
+    places = clicks.select("trial_id", "x", "y").distinct().withColumn("_i", cells("x")).withColumn("_j", cells("y"))
+    d = places.join(points, ["trial_id", "_i", "_j"])
+    gap = F.sqrt((c("cx") - c("x")) ** 2 + (c("cy") - c("y")) ** 2)
+    near = d.withColumn("d", gap).where(c("d") < reach).groupBy("trial_id", "x", "y").agg(F.min(F.struct("d", "frame_index")).alias("b"))
+    best = clicks.join(near, ["trial_id", "x", "y"]).groupBy("trial_id", "click").agg(F.min("b").alias("b"))
     return best.select("trial_id", "click", F.col("b.frame_index").alias("frame_index"), F.col("b.d").alias("d"))

@@ -679,11 +679,11 @@ def edit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT trial_id, click, frame_index, round(d, 6) AS d FROM (
-  SELECT c.trial_id, c.frame_index AS click, p.frame_index, sqrt((p.cx - c.cx - 2) * (p.cx - c.cx - 2) + (p.cy - c.cy + 1) * (p.cy - c.cy + 1)) AS d FROM det c JOIN det p ON p.trial_id = c.trial_id AND p.found WHERE c.event_id % 50 = 0)
+  SELECT c.trial_id, c.frame_index AS click, p.frame_index, sqrt((p.cx - c.cx - 2) * (p.cx - c.cx - 2) + (p.cy - c.cy + 1) * (p.cy - c.cy + 1)) AS d FROM det c JOIN det p ON p.trial_id = c.trial_id AND p.found)
 WHERE d < 14 QUALIFY row_number() OVER (PARTITION BY trial_id, click ORDER BY d, frame_index) = 1""")
 @trials
 def nearest_click(t: Trials) -> DataFrame:
-    clicks = t.detections.where("event_id % 50 = 0").select("trial_id", F.col("frame_index").alias("click"), (F.col("cx") + 2).alias("x"), (F.col("cy") - 1).alias("y"))
+    clicks = t.detections.select("trial_id", F.col("frame_index").alias("click"), (F.col("cx") + 2).alias("x"), (F.col("cy") - 1).alias("y"))
     return r6(edits.nearest_point(t.simple, clicks), "d")
 
 
