@@ -2,9 +2,14 @@
 
 Every pair of a good and a bad labelled document is a preference. A linear score
 is learnt by logistic loss on the differences of the pair's features, and the
-threshold is the score quantile that cuts off the bad share of all learnable
-labels; the classes of the sample are weighted to that share, since each has a
-bound of its own. The score returned is a logistic function of the ranking score that is 0.7 there.
+threshold is the score quantile that cuts off the bad share of the learnable documents.
+The score returned is a logistic function of the ranking score that is 0.7 there.
+
+All learnable documents are learnt from, by Spark: features are made once and kept as
+files, every document of the larger class meets ROUNDS or more of the smaller one, in
+turn, so that each document is in a pair, and MLlib fits the differences. Few documents
+meet in all their pairs. With ``per_class`` a bounded sample is fitted on the driver
+instead, its classes weighted to the bad share of all learnable labels.
 
 Features come from the whole text, long ones included: square roots of its byte
 shares, its length, mean word length, words a line, and the shares of lines and words
@@ -20,15 +25,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField
 
-from .common import Words, chunks, labelled_sample, learnable, map_texts, segment_sums, text_buffers
+from .common import Words, chunks, held_out, labelled_sample, learnable, map_texts, segment_sums, text_buffers, written
 from .quality_rules import base_rules
 
-#: Labelled documents of either class at most, and their longest text in bytes.
-PER_CLASS, LONGEST = 4000, 1 << 17
+#: The longest text of a bounded sample, in bytes.
+LONGEST = 1 << 17
+#: Documents of the smaller class that each of the larger one meets at least, and the
+#: number of pairs up to which it meets more.
+ROUNDS, PAIRS = 2, 200_000
 CUT = 0.7
 _DIMS = 262
 
@@ -102,13 +113,85 @@ def learnable_bad_share(labels: DataFrame, label: str = "quality") -> float | No
     return learnable(labels, label).agg(F.avg(1.0 - F.col("y"))).first()[0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Ranker | None:
-    sample = labelled_sample(docs, labels, label, per_class, LONGEST)
+def _vectors():
+    return lambda texts: [pa.FixedSizeListArray.from_arrays(pa.array(features(texts).ravel()), _DIMS).cast(pa.list_(pa.float32()))]
+
+
+_VECTOR = StructField("x", ArrayType(FloatType()))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a gapless ``nth`` from 0 in each class: numbers in 1,024 buckets of
+    the hashed id, and the buckets' first numbers."""
+    bucket = rows.withColumn("b", F.pmod(F.xxhash64("_id"), F.lit(1024)))
+    sizes = bucket.groupBy("y", "b").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.sum("n").over(Window.partitionBy("y").orderBy("b")) - F.col("n")).drop("n")
+    own = F.row_number().over(Window.partitionBy("y", "b").orderBy(F.xxhash64("_id"), "_id"))
+    return bucket.withColumn("own", own).join(F.broadcast(starts), ["y", "b"]).select("y", "x", (F.col("start") + F.col("own") - 1).alias("nth"))
 
-    def make():
-        return lambda texts: [pa.FixedSizeListArray.from_arrays(pa.array(features(texts).ravel()), _DIMS).cast(pa.list_(pa.float32()))]
 
-    rows = map_texts(sample, ["y"], make, [StructField("x", ArrayType(FloatType()))]).toPandas()
+def pairs(rows: DataFrame, n: dict[int, int]) -> DataFrame:
+    """(more, less): features of pairs of the larger and the smaller class, of ``n``
+    documents each by label. Every document is in a pair, and no pair comes twice."""
+    few = 1 if n[1] <= n[0] else 0
+    rounds = min(n[few], max(ROUNDS, -(-PAIRS // n[1 - few])))
+    each = _numbered(rows)
+    turn = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
+    more = each.where(F.col("y") != few).select(F.col("x").alias("more"), "nth", turn.alias("turn"))
+    more = more.select("more", F.pmod(F.col("nth") + F.col("turn"), F.lit(n[few])).alias("partner"))
+    less = each.where(F.col("y") == few).select(F.col("x").alias("less"), F.col("nth").alias("partner"))
+    return more.join(less, "partner").select("more", "less")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), _DIMS).astype(float)
+
+
+def fit_whole(docs: DataFrame, labels: DataFrame, label: str = "quality", decay: float = 1e-3) -> Ranker | None:
+    """The ranker of all learnable documents."""
+    known = learnable(labels, label).withColumnRenamed("doc_id", "_id")
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").where(F.col("text").isNotNull() & ~held_out("_id"))
+    made = map_texts(texts, ["_id"], _vectors, [_VECTOR])
+    # an id that many rows repeat counts once
+    rows = written(made.join(known, "_id").groupBy("_id").agg(F.min("x").alias("x"), F.first("y").alias("y")), "ranked")
+    n = {0: 0, 1: 0} | {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    if not n[0] or not n[1]:
+        return None
+    total = n[0] + n[1]
+    stat = rows.select(Summarizer.metrics("mean", "variance").summary(array_to_vector("x")).alias("s")).first().s
+    mean, scale = stat.mean.toArray(), np.sqrt(stat.variance.toArray() * (total - 1) / total) + 1e-3
+    sign = -1.0 if n[1] <= n[0] else 1.0  # good less bad
+
+    def differences(batches):
+        for batch in batches:
+            diff = sign * (_matrix(batch.column(0)) - _matrix(batch.column(1))) / scale
+            good = np.arange(len(diff)) % 2 == 0  # either way round, for a loss of two classes
+            diff[~good] *= -1
+            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(diff) + 1, dtype=np.int32) * _DIMS), pa.array(diff.ravel()))
+            yield pa.RecordBatch.from_arrays([cells, pa.array(good.astype(float))], ["d", "label"])
+
+    # MLlib keeps the differences by these partitions, about 100 MB in each
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, ROUNDS * max(n.values()) // 50_000)
+    examples = pairs(rows, n).repartition(parts).mapInArrow(differences, "d array<double>, label double").select(array_to_vector("d").alias("features"), "label")
+    learner = LogisticRegression(fitIntercept=False, standardization=False, regParam=decay, maxIter=60)
+    w = learner.fit(examples).coefficients.toArray()
+
+    def ranked(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(((_matrix(batch.column(0)) - mean) / scale) @ w)], ["raw"])
+
+    raw = rows.select("x").mapInArrow(ranked, "raw double")
+    # between the last of the bad share and the next: ranks among all rows, to 1 in 100,000
+    around = F.array(F.lit((n[0] - 0.5) / total), F.lit((n[0] + 0.5) / total))
+    cut, spread = raw.agg(F.percentile_approx("raw", around, 100_000), F.stddev_pop("raw")).first()
+    return Ranker(mean, scale, w, float(np.mean(cut)), float(4 / (spread + 1e-9)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int | None = None) -> Ranker | None:
+    """``per_class``: learn from so many documents of either class at most, on the driver."""
+    if per_class is None:
+        return fit_whole(docs, labels, label)
+    rows = map_texts(labelled_sample(docs, labels, label, per_class, LONGEST), ["y"], _vectors, [_VECTOR]).toPandas()
     return fit_pairs(np.array(rows.x.tolist(), np.float32).reshape(len(rows), _DIMS), rows.y.to_numpy(int), bad_share=learnable_bad_share(labels, label)) if len(rows) else None
 
 
