@@ -60,11 +60,14 @@ def rois(detected: DataFrame) -> DataFrame:
 
 
 class Trials:
-    """The fixture's tables of one data set, each a lazy DataFrame."""
+    """The fixture's tables of one data set, each a lazy DataFrame.
+
+    Detections feed nearly every step, so they are kept, on disk beyond memory, with
+    their order by trial: no step makes, exchanges or sorts them again."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.detections = detections(spark, sf_dir)
+        self.detections = detections(spark, sf_dir).persist()
         self.rois = rois(self.detections).persist()
 
     @property
