@@ -6,9 +6,10 @@ threshold is the score quantile that cuts off the bad share of the learnable doc
 The score returned is a logistic function of the ranking score that is 0.7 there.
 
 All learnable documents are learnt from, by Spark: features are made once and kept as
-files, every document of the larger class meets ROUNDS or more of the smaller one, in
-turn, so that each document is in a pair, and MLlib fits the differences. Few documents
-meet in all their pairs. With ``per_class`` a bounded sample is fitted on the driver
+files, in parts that hold both classes. In its part every document of the larger class
+meets ROUNDS or more of the smaller one, in turn, so that each document is in a pair.
+Newton's method goes over the parts, where sums by document stand for the differences,
+which are never made or moved. Few documents meet in all their pairs. With ``per_class`` a bounded sample is fitted on the driver
 instead, its classes weighted to the bad share of all learnable labels.
 
 Features come from the whole text, long ones included: square roots of its byte
@@ -21,11 +22,11 @@ learnable labels of both classes every score is 0.5.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -40,6 +41,9 @@ LONGEST = 1 << 17
 #: Documents of the smaller class that each of the larger one meets at least, and the
 #: number of pairs up to which it meets more.
 ROUNDS, PAIRS = 2, 200_000
+#: Documents of the larger class in a part at least (if there are so many), and Newton
+#: steps at most.
+PART, STEPS = 4096, 40
 CUT = 0.7
 _DIMS = 262
 
@@ -130,21 +134,129 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return bucket.withColumn("own", own).join(F.broadcast(starts), ["y", "b"]).select("y", "x", (F.col("start") + F.col("own") - 1).alias("nth"))
 
 
-def pairs(rows: DataFrame, n: dict[int, int]) -> DataFrame:
-    """(more, less): features of pairs of the larger and the smaller class, of ``n``
-    documents each by label. Every document is in a pair, and no pair comes twice."""
+def _rounds(n: dict[int, int]) -> int:
+    return min(min(n.values()), max(ROUNDS, -(-PAIRS // max(n.values()))))
+
+
+def _parts(rows: DataFrame, n: dict[int, int]) -> DataFrame:
+    """(part, more, x): the larger class cut into parts of PART to twice as many rows, each
+    with its share of the smaller class, ROUNDS of it at least; only where it is too small
+    for that do several parts hold the same ones. A part's rows follow each other in one task."""
     few = 1 if n[1] <= n[0] else 0
-    rounds = min(n[few], max(ROUNDS, -(-PAIRS // n[1 - few])))
+    count = max(1, n[1 - few] // PART)
+    shares = min(count, max(1, n[few] // ROUNDS))
     each = _numbered(rows)
-    turn = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    more = each.where(F.col("y") != few).select(F.col("x").alias("more"), "nth", turn.alias("turn"))
-    more = more.select("more", F.pmod(F.col("nth") + F.col("turn"), F.lit(n[few])).alias("partner"))
-    less = each.where(F.col("y") == few).select(F.col("x").alias("less"), F.col("nth").alias("partner"))
-    return more.join(less, "partner").select("more", "less")
+    more = each.where(F.col("y") != few).select((F.col("nth") % count).cast("int").alias("part"), F.lit(True).alias("more"), "x", "nth")
+    own = F.explode(F.sequence((F.col("nth") % shares).cast("int"), F.lit(count - 1), F.lit(shares)))
+    less = each.where(F.col("y") == few).select(own.alias("part"), F.lit(False).alias("more"), "x", "nth")
+    files = min(count, max(rows.sparkSession.sparkContext.defaultParallelism, count // 16))
+    return more.unionByName(less).repartition(files, "part").sortWithinPartitions("part", "more", "nth").drop("nth")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(larger class, smaller class): features of each part of ``_parts``."""
+    held: list[pa.RecordBatch] = []
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        more = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held])
+        x = np.concatenate([_matrix(b.column(2)) for b in held])
+        return x[more], x[~more]
+
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and b > a and held[0].column(0)[0].as_py() != part[a]:
+                yield block()
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield block()
+
+
+def _partners(more: int, less: int, rounds: int) -> Iterator[np.ndarray]:
+    """For each turn, the row of the smaller class that each of the larger one meets."""
+    for turn in range(min(rounds, less)):
+        yield (np.arange(more) + turn) % less
+
+
+def pairs(rows: DataFrame, n: dict[int, int]) -> DataFrame:
+    """(more, less): features of the pairs that are learnt from, of the larger and the
+    smaller class, of ``n`` documents each by label. Every document is in a pair, and no
+    pair comes twice. The fit doesn't make them: it goes over the parts."""
+    rounds = _rounds(n)
+
+    def run(batches):
+        for more, less in _blocks(batches):
+            for at in _partners(len(more), len(less), rounds):
+                sides = [pa.array(list(m.astype(np.float32)), pa.list_(pa.float32())) for m in (more, less[at])]
+                yield pa.RecordBatch.from_arrays(sides, ["more", "less"])
+
+    return _parts(rows, n).mapInArrow(run, "more array<float>, less array<float>")
+
+
+def _sums(more: np.ndarray, less: np.ndarray, rounds: int, w: np.ndarray) -> np.ndarray:
+    """Of the pairs of a block: their number, logistic loss, its gradient and Hessian in
+    a row. Sums over pairs are taken by document, so that no difference is made."""
+    a, b = more @ w, less @ w
+    lost, bent, met = np.zeros(len(a)), np.zeros(len(a)), np.zeros(more.shape)
+    lost_to, bent_to, n, loss = np.zeros(len(b)), np.zeros(len(b)), 0, 0.0
+    for at in _partners(len(a), len(b), rounds):
+        u = a - b[at]
+        p = np.exp(-np.logaddexp(0, u))
+        c = p * (1 - p)
+        n, loss = n + len(u), loss + np.logaddexp(0, -u).sum()
+        lost, bent = lost + p, bent + c
+        lost_to += np.bincount(at, p, len(b))
+        bent_to += np.bincount(at, c, len(b))
+        met += c[:, None] * less[at]
+    cross = more.T @ met
+    hess = (more.T * bent) @ more + (less.T * bent_to) @ less - cross - cross.T
+    return np.concatenate([[n, loss], less.T @ lost_to - more.T @ lost, hess.ravel()])
+
+
+def learn(parts: DataFrame, rounds: int, scale: np.ndarray, sign: float, decay: float) -> np.ndarray:
+    """Weights of least mean logistic loss of the pairs and ``decay`` / 2 of their square,
+    by Newton's method: a pass over the parts for each step, whose sums alone leave the
+    tasks."""
+
+    def total(batches):
+        sums = sum(np.frombuffer(m, np.float64) for batch in batches for m in batch.column(0).to_pylist())
+        if np.ndim(sums):
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["m"])
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def sums(batches):
+            found = sum(_sums(more / scale * sign, less / scale * sign, rounds, w) for more, less in _blocks(batches))
+            if np.ndim(found):
+                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["m"])
+
+        got = parts.mapInArrow(sums, "m binary").repartition(4).mapInArrow(total, "m binary").collect()
+        m = sum(np.frombuffer(r.m, np.float64) for r in got)
+        d = len(w)
+        return m[1] / m[0] + decay / 2 * w @ w, m[2 : 2 + d] / m[0] + decay * w, m[2 + d :].reshape(d, d) / m[0] + decay * np.eye(d)
+
+    w = np.zeros(len(scale))
+    loss, gradient, hess = at(w)
+    for _ in range(STEPS):
+        step, size = np.linalg.solve(hess, gradient), 1.0
+        gain = float(gradient @ step)
+        if gain < 1e-7:  # the last step needs no pass to see where it led
+            return w - step
+        while True:
+            tried = at(w - size * step)
+            if tried[0] <= loss - 0.25 * size * gain or size < 1e-3:
+                break
+            size /= 2
+        w = w - size * step
+        loss, gradient, hess = tried
+    return w
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), _DIMS).astype(float)
+    cells = column.flatten().to_numpy()
+    return cells.reshape(len(column), len(cells) // max(len(column), 1)).astype(float)
 
 
 def fit_whole(docs: DataFrame, labels: DataFrame, label: str = "quality", decay: float = 1e-3) -> Ranker | None:
@@ -161,20 +273,7 @@ def fit_whole(docs: DataFrame, labels: DataFrame, label: str = "quality", decay:
     stat = rows.select(Summarizer.metrics("mean", "variance").summary(array_to_vector("x")).alias("s")).first().s
     mean, scale = stat.mean.toArray(), np.sqrt(stat.variance.toArray() * (total - 1) / total) + 1e-3
     sign = -1.0 if n[1] <= n[0] else 1.0  # good less bad
-
-    def differences(batches):
-        for batch in batches:
-            diff = sign * (_matrix(batch.column(0)) - _matrix(batch.column(1))) / scale
-            good = np.arange(len(diff)) % 2 == 0  # either way round, for a loss of two classes
-            diff[~good] *= -1
-            cells = pa.ListArray.from_arrays(pa.array(np.arange(len(diff) + 1, dtype=np.int32) * _DIMS), pa.array(diff.ravel()))
-            yield pa.RecordBatch.from_arrays([cells, pa.array(good.astype(float))], ["d", "label"])
-
-    # MLlib keeps the differences by these partitions, about 100 MB in each
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, ROUNDS * max(n.values()) // 50_000)
-    examples = pairs(rows, n).repartition(parts).mapInArrow(differences, "d array<double>, label double").select(array_to_vector("d").alias("features"), "label")
-    learner = LogisticRegression(fitIntercept=False, standardization=False, regParam=decay, maxIter=60)
-    w = learner.fit(examples).coefficients.toArray()
+    w = learn(written(_parts(rows, n), "parts"), _rounds(n), scale, sign, decay)
 
     def ranked(batches):
         for batch in batches:
