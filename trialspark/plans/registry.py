@@ -786,7 +786,9 @@ def stream_tracks(t: Trials) -> DataFrame:
     ends = t.rois.select("trial_id", *[F.lit(None).cast(dict(found.dtypes)[c]).alias(c) for c in cols[1:]])
     folder, out = shared_folder(spark, "frames"), shared_folder(spark, "tracks")
     inputs = found.join(t.rois.select("trial_id"), "trial_id", "left_semi").unionByName(ends)
-    inputs.repartitionByRange(8, F.asc_nulls_last("frame_index")).sortWithinPartitions(F.asc_nulls_last("frame_index")).write.parquet(folder)
+    # videos come one after another, so that few batches meet a trial again
+    order = ["trial_id", F.asc_nulls_last("frame_index")]
+    inputs.repartitionByRange(8, *order).sortWithinPartitions(*order).write.parquet(folder)
     frames = frame_stream.read_frames(spark, folder, found.schema, max_frames=20_000)
     q = tracker.track_trials(frames, t.rois).writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark, "stream")).trigger(processingTime="0 seconds").start()
     try:

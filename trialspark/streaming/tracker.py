@@ -1,11 +1,14 @@
 """The tracker as a stateful stream: each trial on its own ring, closed when it ends.
 
-State of a trial, all typed: its ring (given as initial state), the tail that the next
-frame's judgement needs, and the rows of the run it is in now, as far as the closing
-rules may still change them. Other rows go out as they come. A trial ends with a row
-that has no frame_index, or when nothing has come for ``idle_ms``; then the closing
-rules decide on the held run, which goes out too. The rows are those of
-``operators.tracking.track``.
+State of a trial, all typed: one value with its ring (given as initial state), the tail
+that the next frame's judgement needs and the place of the run it is in now, and a list
+of that run's rows, as far as the closing rules may still change them. Other rows go out
+as they come. A trial ends with a row that has no frame_index, or when nothing has come
+for ``idle_ms``; then the closing rules decide on the held run, which goes out too. The
+rows are those of ``operators.tracking.track``.
+
+Each call of the state costs more than a frame, so a trial's value is read once and
+written once in a batch, and what begins and ends in one batch is never stored.
 """
 
 from __future__ import annotations
@@ -13,8 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -24,12 +26,17 @@ from .sequential import close, extend, nearest
 
 TRACK = "trial_id long, frame_index long, state string, cx double, cy double, nx double, ny double, area double, hole_index long, error string"
 _ROW = "frame_index long, state string, cx double, cy double, nx double, ny double, area double, hole_index long"
-_TAIL = "next long, xs array<double>, ys array<double>, areas array<double>, nose array<double>, gone string, gone_hole long"
-_RING = "xs array<double>, ys array<double>, hole_radius double, target_hole long"
+_TRIAL = (
+    "xs array<double>, ys array<double>, hole_radius double, target_hole long, upto long, tail_xs array<double>, tail_ys array<double>, tail_areas array<double>, "
+    "nose array<double>, gone string, gone_hole long, place string, place_hole long"
+)
+_FRESH = (-1, [], [], [], None, None, None, None, None)
+_OUT = Row(*[c.split()[0] for c in TRACK.split(", ")])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How long an ended trial is remembered, so that frames after its end are told as such:
 #: with timers; without them there is no clock, and it is remembered for good.
 REMEMBERED_MS = 24 * 3600 * 1000
+Ring = tuple[list[tuple[float, float]], float, int | None]
 
 
 class TrackTrials(StatefulProcessor):
@@ -38,117 +45,96 @@ class TrackTrials(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ring = handle.getValueState("ring", _RING)
-        self.tail = handle.getValueState("tail", _TAIL)
-        self.run = handle.getValueState("run", "place string, hole long")
+        self.trial = handle.getValueState("trial", _TRIAL)
         self.held = handle.getListState("held", _ROW)
         self.ended = handle.getValueState("ended", "ended boolean", ttlDurationMs=REMEMBERED_MS if self.idle_ms else None)
 
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        r = initialState.iloc[0]
-        target = None if pd.isna(r.target_hole) else int(r.target_hole)
-        self.ring.update(([float(h["x"]) for h in r.holes], [float(h["y"]) for h in r.holes], float(r.hole_radius), target))
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        r = initialState
+        self.trial.update(([float(h["x"]) for h in r.holes], [float(h["y"]) for h in r.holes], float(r.hole_radius), r.target_hole, *_FRESH))
 
-    def _ring(self) -> tuple[list[tuple[float, float]], float, int | None]:
-        xs, ys, radius, target = self.ring.get()
-        return list(zip(xs, ys, strict=True)), radius, target
-
-    def _memory(self) -> tuple[int, dict]:
-        if not self.tail.exists():
-            return -1, {}
-        upto, xs, ys, areas, nose, gone, hole = self.tail.get()
-        return upto, {"tail": list(zip(xs, ys, areas, strict=True)), "nose": tuple(nose) if nose else None, "gone": [gone, hole] if gone else None}
-
-    def _keep(self, upto: int, memory: dict) -> None:
-        xs, ys, areas = (list(map(float, c)) for c in zip(*memory["tail"], strict=True)) if memory.get("tail") else ([], [], [])
-        gone = memory.get("gone") or (None, None)
-        nose = memory.get("nose")
-        self.tail.update((upto, xs, ys, areas, [float(v) for v in nose] if nose else None, gone[0], gone[1]))
-
-    def _place(self, row: tuple, holes: list[tuple[float, float]], radius: float, target: int | None) -> tuple[str, int] | None:
+    def _place(self, row: tuple, ring: Ring) -> tuple[str, int] | None:
         """What the closing rules go by, if they may change the row."""
+        holes, radius, target = ring
         if row[1] == "TRACKED":
             gap, i = nearest(row[2], row[3], holes)
             return ("near", i) if gap <= radius * self.params.near_factor else None
         return (row[1], row[7]) if row[1] == "OCCLUDED_IN_HOLE" and row[7] == target else None
 
     def _let_go(self) -> list[tuple]:
-        rows = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        rows = [tuple(r) for r in self.held.get()]
         self.held.clear()
-        self.run.clear()
         return rows
 
-    def _forward(self, rows: list[tuple], holes: list[tuple[float, float]], radius: float, target: int | None) -> list[tuple]:
-        """Rows that can go; the last run of those that can't is held."""
+    def _forward(self, rows: list[tuple], ring: Ring, now: tuple[str, int] | None) -> tuple[list[tuple], list[tuple], tuple[str, int] | None, bool]:
+        """Rows that can go; those of the last run, which can't, its place, and whether
+        the state holds earlier rows of it. ``now``: the place of the run before."""
         out: list[tuple] = []
-        now = tuple(self.run.get()) if self.run.exists() else None
         fresh: list[tuple] = []
+        stored = now is not None
         for row in rows:
-            place = self._place(row, holes, radius, target)
+            place = self._place(row, ring)
             if place != now:
-                out += (self._let_go() if self.run.exists() else []) + fresh
-                fresh, now = [], place
-            if place is None:
-                out.append(row)
-            else:
-                fresh.append(row)
-        if fresh:
-            assert now is not None
-            self.run.update(now)
-            self.held.appendList(fresh)
-        return out
+                out += (self._let_go() if stored else []) + fresh
+                fresh, now, stored = [], place, False
+            (out if place is None else fresh).append(row)
+        return out, fresh, now, stored
 
     def _stop_timers(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
 
-    def _end(self) -> list[tuple]:
-        rows = self._let_go()
-        if rows:
-            rows = close(rows, *self._ring(), self.params)
-        for state in (self.ring, self.tail):
-            state.clear()
+    def _end(self, ring: Ring, fresh: list[tuple], stored: bool) -> list[tuple]:
+        rows = (self._let_go() if stored else []) + fresh
+        self.trial.clear()
         if self.idle_ms:
             self._stop_timers()
         self.ended.update((True,))
-        return rows
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
-        ends, frames = bool(pdf.frame_index.isna().any()), pdf[pdf.frame_index.notna()].sort_values("frame_index").to_dict("records")
-        if not self.ring.exists():
-            yield self._errors(key, frames, "the trial has ended" if self.ended.exists() else "the trial has no ring")
+        return close(rows, *ring, self.params) if rows else []
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        came = list(rows)
+        frames = sorted((r.asDict() for r in came if r.frame_index is not None), key=lambda f: f["frame_index"])
+        known = self.trial.get()
+        if known is None:
+            yield from self._errors(key, frames, "the trial has ended" if self.ended.exists() else "the trial has no ring")
             return
-        holes, radius, target = self._ring()
-        upto, memory = self._memory()
+        hole_xs, hole_ys, radius, target, upto, xs, ys, areas, nose, gone, hole, place, place_hole = known
+        ring = list(zip(hole_xs, hole_ys, strict=True)), radius, target
+        memory = {} if upto < 0 else {"tail": list(zip(xs, ys, areas, strict=True)), "nose": tuple(nose) if nose else None, "gone": [gone, hole] if gone else None}
         good, bad = [], []
         for f in frames:
             if f["frame_index"] <= upto:
                 bad.append(f)
             else:
-                upto = int(f["frame_index"])
+                upto = f["frame_index"]
                 good.append((upto, f))
-        out = self._forward(extend(memory, good, holes, radius, self.params), holes, radius, target)
-        self._keep(upto, memory)
-        if ends:
-            out += self._end()
-        elif self.idle_ms:
-            self._stop_timers()
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self._rows(key, out)
-        if bad:
-            yield self._errors(key, bad, "already passed")
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield self._rows(key, self._end() if self.ring.exists() else [])
-
-    def _rows(self, key: Any, rows: list[tuple]) -> pd.DataFrame:
-        names = [c.split()[0] for c in TRACK.split(", ")]
-        return pd.DataFrame([(key[0], *r, None) for r in rows], columns=names).astype({"trial_id": "int64", "frame_index": "int64", "hole_index": "Int64"})
-
-    def _errors(self, key: Any, frames: list[dict], why: str) -> pd.DataFrame:
-        d = self._rows(key, [(int(f["frame_index"]), None, None, None, None, None, None, None) for f in frames])
-        return d.assign(error=why)
+        out, fresh, now, stored = self._forward(extend(memory, good, *ring[:2], self.params), ring, (place, place_hole) if place else None)
+        if len(frames) < len(came):
+            out += self._end(ring, fresh, stored)
+        else:
+            tail = [[float(v) for v in c] for c in zip(*memory["tail"], strict=True)] if memory.get("tail") else [[], [], []]
+            nose, gone = memory.get("nose"), memory.get("gone") or (None, None)
+            self.trial.update((hole_xs, hole_ys, radius, target, upto, *tail, [float(v) for v in nose] if nose else None, *gone, *(now or (None, None))))
+            if fresh:
+                self.held.appendList(fresh)
+            if self.idle_ms:
+                self._stop_timers()
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        for row in out:
+            yield _OUT(key[0], *row, None)
+        yield from self._errors(key, bad, "already passed")
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        known = self.trial.get()
+        if known is not None:
+            ring = list(zip(known[0], known[1], strict=True)), known[2], known[3]
+            for row in self._end(ring, [], known[11] is not None):
+                yield _OUT(key[0], *row, None)
+
+    def _errors(self, key: Any, frames: list[dict], why: str) -> Iterator[Row]:
+        for f in frames:
+            yield _OUT(key[0], f["frame_index"], *[None] * 7, why)
 
     def close(self) -> None:
         pass
@@ -166,6 +152,6 @@ def track_trials(stream: DataFrame, rois: DataFrame, params: TrackerParams = Tra
     use_rocksdb(stream.sparkSession)
     cols = ["trial_id", "frame_index", "found", "cx", "cy", "area", "ax", "ay", "bx", "by"]
     rings = rois.select("trial_id", "holes", "hole_radius", F.col("target_hole").cast("long").alias("target_hole"))
-    return stream.select(*cols).groupBy("trial_id").transformWithStateInPandas(
+    return stream.select(*cols).groupBy("trial_id").transformWithState(
         TrackTrials(params, idle_ms), StructType.fromDDL(TRACK), "Append", "ProcessingTime" if idle_ms else "None", rings.groupBy("trial_id")
     )
