@@ -113,3 +113,13 @@ def test_names_choose_files_before_they_are_opened(spark, tmp_path):
     assert [p.rpartition("/")[2] for p, _ in files.listed(f"file://{tmp_path}/*-1.mp4")] == ["a-1.mp4", "b-1.mp4"]
     assert read_mp4(spark, f"{tmp_path}/b*", columns="name string, length long").count() == 1
     assert read_mp4(spark, str(tmp_path), files_per_partition=2).rdd.getNumPartitions() == 2
+
+
+def test_partitions_grow_with_the_samples_not_with_the_files(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"{i}.mp4").write_bytes(movie(DATA, DELTAS, SHIFTS, [0]))
+    moov = read_mp4(spark, str(tmp_path), "moov")
+    most = 8 * spark.sparkContext.defaultParallelism
+    assert moov.rdd.getNumPartitions() <= most and moov.select("path").distinct().count() == 100
+    found = demux.samples(moov, expected=30 * demux.SAMPLES)
+    assert found.rdd.getNumPartitions() == 30 and found.count() == 2300

@@ -17,17 +17,25 @@ from pyspark.sql import functions as F
 from ..sources.files import reader
 
 
-def samples(moov: DataFrame) -> DataFrame:
+#: Samples that a task should have to sort, of whole files.
+SAMPLES = 50_000
+
+
+def samples(moov: DataFrame, expected: int | None = None) -> DataFrame:
     """One row a sample, in decoding order: path, sample, chunk, offset, size, tick,
     delta, composition_tick, composition_index, is_key.
 
+    ``expected``: about how many samples there are in all, if it is known; tasks then
+    have about SAMPLES of them, however many files there are.
+
     Without ``stss`` all samples are key frames, without ``ctts`` they are shown in
     decoding order. A sample that no chunk holds has no offset: ``incomplete`` tells.
     """
     c, last = F.col, lambda name: F.last(name, ignorenulls=True)
     of = Window.partitionBy("path", "kind").orderBy("at")
     before = of.rowsBetween(Window.unboundedPreceding, -1)
-    d = moov.repartition("path")
+    usual = int(moov.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = moov.repartition("path") if expected is None else moov.repartition(max(usual, -(-expected // SAMPLES)), "path")
     # what each run begins with: the first sample of timing runs, and the ticks before it
     d = d.withColumn("start", F.when(c("kind").isin("stts", "ctts"), F.coalesce(F.sum("n").over(before), F.lit(0))))
     d = d.withColumn("tick", F.when(c("kind") == "stts", F.coalesce(F.sum(c("n") * c("value")).over(before), F.lit(0))))

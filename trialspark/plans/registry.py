@@ -748,7 +748,7 @@ def video_samples(t: Trials) -> DataFrame:
     """A video file of each trial, demuxed: where its samples lie, when they are shown,
     and their bytes as fetched from there."""
     moov = mp4.read_mp4(t.spark, movies.write_movies(t.spark, t.detections), "moov", files_per_partition=8)
-    d = demux.sample_data(demux.samples(moov).sortWithinPartitions("path", "offset"))
+    d = demux.sample_data(demux.samples(moov, expected=t.detections.count()).sortWithinPartitions("path", "offset"))
     byte = F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("long")
     return d.select(_trial_of_path(), "sample", "chunk", "offset", "size", "tick", "delta", "composition_tick", "composition_index", "is_key", byte.alias("first_byte"), (F.octet_length("data") == F.col("size")).alias("whole"))
 
