@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import nearest_hole_within
+from ..functions.geometry import distance, nearest_hole_within
 from ..params import InvestigationParams
 from .tracking import OCCLUDED, TRACKED
 
@@ -30,10 +30,22 @@ def occlusion_runs(frames: DataFrame) -> DataFrame:
 
 
 def near_holes(frames: DataFrame, rois: DataFrame, params: InvestigationParams = InvestigationParams()) -> DataFrame:
-    """``near``: the hole within reach of a tracked nose."""
-    d = frames.join(rois.select("trial_id", "holes", "hole_radius"), "trial_id")
-    hole = nearest_hole_within(F.col("nx"), F.col("ny"), F.col("holes"), F.col("hole_radius") * params.radius_factor)
-    return d.withColumn("near", F.when((F.col("state") == TRACKED) & F.col("nx").isNotNull(), hole)).drop("holes", "hole_radius")
+    """``near``: the hole within reach of a tracked nose.
+
+    A region's holes lie between two distances from their middle; noses that are out of
+    reach of that band are near none, and holes are looked at for the others alone.
+    """
+    known = F.filter("holes", lambda h: h["x"].isNotNull() & h["y"].isNotNull())
+    mean = lambda n: F.aggregate("_known", F.lit(0.0), lambda s, h: s + h[n]) / F.nullif(F.size("_known"), F.lit(0))
+    r = rois.select("trial_id", "holes", (F.col("hole_radius") * params.radius_factor).alias("_reach"), known.alias("_known"))
+    r = r.withColumn("_mx", mean("x")).withColumn("_my", mean("y"))
+    away = F.transform("_known", lambda h: distance(F.col("_mx"), F.col("_my"), h["x"], h["y"]))
+    r = r.withColumn("_away", away).withColumn("_slack", F.col("_reach") + 1e-6 * (1 + F.array_max("_away")))  # more than any rounding
+    r = r.select("trial_id", "holes", "_reach", "_mx", "_my", (F.array_min("_away") - F.col("_slack")).alias("_low"), (F.array_max("_away") + F.col("_slack")).alias("_high"))
+    d = frames.join(r, "trial_id")
+    hole = nearest_hole_within(F.col("nx"), F.col("ny"), F.col("holes"), F.col("_reach"))
+    reachable = distance(F.col("nx"), F.col("ny"), F.col("_mx"), F.col("_my")).between(F.col("_low"), F.col("_high"))
+    return d.withColumn("near", F.when((F.col("state") == TRACKED) & F.col("nx").isNotNull() & reachable, hole)).drop("holes", "_reach", "_mx", "_my", "_low", "_high")
 
 
 def proximity_runs(near: DataFrame, params: InvestigationParams = InvestigationParams()) -> DataFrame:

@@ -12,16 +12,24 @@ QUADRANTS = ("q_target_s", "q_opposite_s", "q_cw_s", "q_ccw_s")
 
 
 def apply_corrections(tracks: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Effective frames: a correction's centroid, and its nose or else centroid."""
-    fixes = corrections.select("trial_id", "frame_index", *[F.col(c).alias(f"fix_{c}") for c in ("cx", "cy", "nx", "ny")], F.lit(True).alias("is_fixed"))
-    both = tracks.join(fixes, ["trial_id", "frame_index"], "left")
-    fixed = F.coalesce("is_fixed", F.lit(False))
+    """Effective frames: a correction's centroid, and its nose or else centroid. A frame
+    has one correction at most.
+
+    Corrections and frames lie in one order by trial, each correction right before its
+    frame: nothing is exchanged or joined by frame, so the tracks' places by trial hold.
+    """
+    kind = tracks.schema["frame_index"].dataType
+    fixes = corrections.select("trial_id", F.col("frame_index").cast(kind).alias("frame_index"), F.struct("cx", "cy", "nx", "ny").alias("_fix"))
+    order = Window.partitionBy("trial_id").orderBy("frame_index", F.col("_fix").isNull())
+    both = tracks.unionByName(fixes, allowMissingColumns=True)
+    both = both.withColumn("_fixed", F.lag("_fix").over(order)).withColumn("_before", F.lag("frame_index").over(order)).where("_fix is null")
+    fixed = F.col("_fixed").isNotNull() & (F.col("_before") == F.col("frame_index"))
     return both.select(
         *[
-            F.when(fixed, F.coalesce(F.col(f"fix_{c}"), F.col(f"fix_c{c[1]}"))).otherwise(F.col(c)).alias(c) if c in ("cx", "cy", "nx", "ny") else F.col(c)
+            F.when(fixed, F.coalesce(F.col(f"_fixed.{c}"), F.col(f"_fixed.c{c[1]}"))).otherwise(F.col(c)).alias(c) if c in ("cx", "cy", "nx", "ny") else F.col(c)
             for c in tracks.columns
         ],
-        fixed.alias("is_corrected"),
+        F.coalesce(fixed, F.lit(False)).alias("is_corrected"),
     )
 
 

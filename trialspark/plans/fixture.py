@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import nearest_hole
 from ..operators import investigations, measures, overlays, strategy, tracking
+from ..sources.files import shared_folder
 
 CX, CY, PLATFORM, RING, ROTATION, HOLES, HOLE_RADIUS, DIAMETER = 320.0, 240.0, 110.0, 60.0, 0.1, 20, 12.0, 92.0
 #: Hole centres, the same doubles for both engines.
@@ -85,17 +86,21 @@ class Trials:
         )
 
     @cached_property
+    def timed_tracks(self) -> DataFrame:
+        return tracking.track(self.detections, self.rois, keep=["t"])
+
+    @property
     def tracks(self) -> DataFrame:
-        return tracking.track(self.detections, self.rois)
+        return self.timed_tracks.drop("t")
 
     @cached_property
     def frames(self) -> DataFrame:
         """Tracks with corrections, times and durations. They feed every later step,
         so they are kept, on disk beyond memory; a lost block is made again."""
-        done = overlays.apply_corrections(self.tracks, self.corrections)
-        d = done.join(self.times, ["trial_id", "frame_index"])
+        d = overlays.apply_corrections(self.timed_tracks, self.corrections)
         nxt = F.lead("t").over(Window.partitionBy("trial_id").orderBy("frame_index"))
-        return d.withColumn("duration", F.coalesce(nxt - F.col("t"), F.lit(0.0))).persist()
+        d = d.withColumn("duration", F.coalesce(nxt - F.col("t"), F.lit(0.0)))
+        return d.select(*self.tracks.columns, "is_corrected", "t", "duration").persist()
 
     @property
     def corrections(self) -> DataFrame:
@@ -106,7 +111,11 @@ class Trials:
 
     @cached_property
     def auto(self) -> DataFrame:
-        return investigations.detect_investigations(self.frames, self.rois)
+        """A few rows a trial, written to the shared folder: later steps read them often,
+        and their plans would else repeat all that lies before."""
+        folder = shared_folder(self.spark, "investigations")
+        investigations.detect_investigations(self.frames, self.rois).write.parquet(folder)
+        return self.spark.read.parquet(folder)
 
     @property
     def removed(self) -> DataFrame:
