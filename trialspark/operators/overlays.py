@@ -22,11 +22,11 @@ def apply_corrections(tracks: DataFrame, corrections: DataFrame) -> DataFrame:
     fixes = corrections.select("trial_id", F.col("frame_index").cast(kind).alias("frame_index"), F.struct("cx", "cy", "nx", "ny").alias("_fix"))
     order = Window.partitionBy("trial_id").orderBy("frame_index", F.col("_fix").isNull())
     both = tracks.unionByName(fixes, allowMissingColumns=True)
-    both = both.withColumn("_fixed", F.lag("_fix").over(order)).withColumn("_before", F.lag("frame_index").over(order)).where("_fix is null")
-    fixed = F.col("_fixed").isNotNull() & (F.col("_before") == F.col("frame_index"))
+    both = both.withColumn("_before", F.lag(F.struct("frame_index", F.col("_fix").alias("fix"))).over(order)).where("_fix is null")
+    fixed = F.col("_before.fix").isNotNull() & (F.col("_before.frame_index") == F.col("frame_index"))
     return both.select(
         *[
-            F.when(fixed, F.coalesce(F.col(f"_fixed.{c}"), F.col(f"_fixed.c{c[1]}"))).otherwise(F.col(c)).alias(c) if c in ("cx", "cy", "nx", "ny") else F.col(c)
+            F.when(fixed, F.coalesce(F.col(f"_before.fix.{c}"), F.col(f"_before.fix.c{c[1]}"))).otherwise(F.col(c)).alias(c) if c in ("cx", "cy", "nx", "ny") else F.col(c)
             for c in tracks.columns
         ],
         F.coalesce(fixed, F.lit(False)).alias("is_corrected"),

@@ -31,9 +31,9 @@ def streaks(detections: DataFrame) -> DataFrame:
     order = Window.partitionBy("trial_id").orderBy("frame_index")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     flip = F.coalesce((F.col("found") != F.lag("found").over(order)).cast("int"), F.lit(1))
-    d = detections.withColumn("flip", flip).withColumn("number", F.row_number().over(order))
+    d = detections.withColumns({"flip": flip, "number": F.row_number().over(order)})
     start = F.max(F.when(F.col("flip") == 1, F.col("number"))).over(upto)
-    return d.withColumn("streak", F.sum("flip").over(upto)).withColumn("place", F.col("number") - start).drop("flip", "number")
+    return d.withColumns({"streak": F.sum("flip").over(upto), "place": F.col("number") - start}).drop("flip", "number")
 
 
 def attribute_vanishes(detections: DataFrame, rois: DataFrame, params: TrackerParams = TrackerParams()) -> DataFrame:
@@ -50,11 +50,10 @@ def attribute_vanishes(detections: DataFrame, rois: DataFrame, params: TrackerPa
     back = params.shrink_window - 1
     at_start = F.last(F.when(c("place") == 0, F.struct("area")), ignorenulls=True).over(upto)["area"]
     first = F.when(c("place") >= back, F.first("area").over(order.rowsBetween(-back, 0))).otherwise(at_start)
-    d = streaks(detections).withColumn("first_area", first).withColumn("end", F.last(F.struct("streak", "cx", "cy")).over(whole))
+    d = streaks(detections).withColumns({"first_area": first, "end": F.last(F.struct("streak", "cx", "cy")).over(whole)})
     shrunk = (F.least(c("place"), F.lit(back)) >= 1) & (c("first_area") > 0) & ((c("first_area") - c("area")) / c("first_area") >= params.shrink_fraction)
     d = d.withColumn("shrunk", F.coalesce(shrunk, F.lit(False)))
-    for n in ("shrunk", "cx", "cy"):
-        d = d.withColumn(f"was_{n}", F.lag(n).over(order))
+    d = d.withColumns({f"was_{n}": F.lag(n).over(order) for n in ("shrunk", "cx", "cy")})
     d = d.join(rois.select("trial_id", "holes", (c("hole_radius") * params.near_factor).alias("reach"), "target_hole"), "trial_id")
     vanishes = (c("place") == 0) & ~c("found") & c("was_shrunk")
     # a little more than two reaches, so that no rounding leaves a row out
@@ -80,9 +79,9 @@ def assign_noses(tracked: DataFrame, params: TrackerParams = TrackerParams()) ->
     point = F.struct("cx", "cy")
     start = F.last(F.when(c("place") == 0, point), ignorenulls=True).over(upto)
     base = F.when(c("place") >= params.nose_window, F.first(point).over(order.rowsBetween(-params.nose_window, -1))).when(c("place") >= 1, start)
-    d = tracked.withColumn("base", base).withColumn("span", F.least(c("place"), F.lit(params.nose_window))).withColumn("ends", c("ax").isNotNull() & c("bx").isNotNull())
-    for n in ("ax", "ay", "bx", "by", "ends"):
-        d = d.withColumn(f"p_{n}", F.when(c("place") >= 1, F.lag(n).over(order)))
+    d = tracked.withColumns({"span": F.least(c("place"), F.lit(params.nose_window)), "ends": c("ax").isNotNull() & c("bx").isNotNull()})
+    before = {f"p_{n}": F.when(c("place") >= 1, F.lag(n).over(order)) for n in ("ax", "ay", "bx", "by", "ends")}
+    d = d.withColumns({"base": base, **before})
     dx, dy = c("cx") - c("base.cx"), c("cy") - c("base.cy")
     fast = (c("span") > 0) & (F.sqrt(dx * dx + dy * dy) / F.nullif(c("span"), F.lit(0)) >= params.nose_speed)
     dot_a = (c("ax") - c("cx")) * dx + (c("ay") - c("cy")) * dy
@@ -130,11 +129,10 @@ def finalize(tracks: DataFrame, params: TrackerParams = TrackerParams()) -> Data
     """
     whole = Window.partitionBy("trial_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     c = F.col
-    d = tracks.withColumn("last_at", F.last("at").over(whole)).withColumn("end_area", F.last("area").over(whole))
+    d = tracks.withColumns({"last_at": F.last("at").over(whole), "end_area": F.last("area").over(whole)})
     rules = {"waits": (c("state") == OCCLUDED) & (c("hole_index") == c("target_hole")), "comes": (c("state") == TRACKED) & (c("at") == c("last_at"))}
-    for n, holds in rules.items():
-        broken = F.max(F.when(~F.coalesce(holds, F.lit(False)), c("frame_index"))).over(whole)
-        d = d.withColumn(n, F.coalesce(c("frame_index") > broken, F.lit(True)))
+    broken = {n: F.max(F.when(~F.coalesce(holds, F.lit(False)), c("frame_index"))).over(whole) for n, holds in rules.items()}
+    d = d.withColumns({n: F.coalesce(c("frame_index") > at, F.lit(True)) for n, at in broken.items()})
     d = d.withColumn("start_area", F.first(F.when(c("comes"), c("area")), ignorenulls=True).over(whole))
     enters = c("comes") & F.coalesce((c("start_area") > 0) & ((c("start_area") - c("end_area")) / c("start_area") >= params.shrink_fraction), F.lit(False))
     state = F.when(c("waits"), ESCAPED).when(enters, F.when(c("last_at") == c("target_hole"), ESCAPED).otherwise(OCCLUDED)).otherwise(c("state"))
